@@ -48,6 +48,26 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tracefold/{name}-{uuid.uuid4().hex}"
 
 
+_FOLDERS: list[tuple[SparkSession, str]] = []
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` as Parquet into the shared folder and reads it back; ``release`` removes the files."""
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    df.write.parquet(path)
+    _FOLDERS.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release() -> None:
+    """Deletes the folders of ``store``; call it when the results that were built on them are written."""
+    while _FOLDERS:
+        spark, path = _FOLDERS.pop()
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def id_bucket(id_col: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; null ids give null."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus

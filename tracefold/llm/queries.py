@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from .decontamination import op3_decontamination
+from .lm_scoring import op2_lm_scoring
 from .packing import op6_packing
 from .simhash import op1_simhash
 from .token_counts import op10_token_counts
+from .token_files import op4_token_files
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_decontamination": op3_decontamination,
+    "op4_token_files": op4_token_files,
     "op6_packing": op6_packing,
     "op10_token_counts": op10_token_counts,
 }
