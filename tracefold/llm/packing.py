@@ -17,6 +17,7 @@ from .tokenizer import encoder
 TOKENIZER = "byte_bpe_50k.json"
 #: Sequences of one task; ids of sequences are ``task * SEQUENCES_A_TASK + index``.
 SEQUENCES_A_TASK = 1 << 33
+COLUMNS = ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "bucket", "ids")
 
 
 def piece_lengths(n: int, longest: int) -> list[int]:
@@ -48,16 +49,15 @@ def pack_documents(
 
         def of(part):
             nonlocal made
-            out = {c: [] for c in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "bucket", "ids")}
+            rows = []
             for doc, ids in zip(part.column("doc_id").to_pylist(), coder.encode(part.column("text").to_pylist()), strict=True):
                 ids += end
                 n, at = len(ids) // 4, 0
                 for size in piece_lengths(n, length):
-                    row = (doc, at, size, n, task * SEQUENCES_A_TASK + made, 0, size.bit_length() - 1, ids[4 * at : 4 * (at + size)])
-                    for c, v in zip(out, row, strict=True):
-                        out[c].append(v)
+                    rows.append((doc, at, size, n, task * SEQUENCES_A_TASK + made, 0, size.bit_length() - 1, ids[4 * at : 4 * (at + size)]))
                     at += size
                     made += 1
+            out = dict(zip(COLUMNS, zip(*rows, strict=True), strict=True))
             return out
 
         return of

@@ -34,7 +34,7 @@ def resolve(path: str) -> str:
 class CachedEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, cache_entries: int = 1 << 19):
+    def __init__(self, path: str, cache_entries: int = 800_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -114,6 +114,6 @@ class CachedEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, cache_entries: int = 1 << 19) -> CachedEncoder:
+def encoder(path: str, cache_entries: int = 800_000) -> CachedEncoder:
     """One encoder per file and Python worker."""
     return CachedEncoder(path, cache_entries)
