@@ -17,19 +17,21 @@ from pyspark.sql import functions as F
 from ._common import map_slices, table
 from .tokenizer import LONGEST_KEPT, encoder
 
+#: Longest text of the sample, in bytes.
+SAMPLE_BYTES = 1 << 15
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def frequent_lengths(docs: DataFrame, text_col: str, path: str, entries: int, sample_docs: int) -> bytes:
     """The most frequent pre-tokens of a bounded sample and their token counts, as one compact blob.
 
-    The sample is read partition by partition until ``sample_docs`` documents are found, so it costs a bounded
-    amount of work at any input size.
+    ``take`` reads partitions until ``sample_docs`` documents of at most ``SAMPLE_BYTES`` are found, so the
+    sample costs a bounded amount of work and memory at any input size.
     """
     counts: Counter[str] = Counter()
     coder = encoder(path)
-    for row in docs.select(text_col).limit(sample_docs).toLocalIterator():
-        counts.update(coder.pretokens(row[0] or "") or ())
+    for row in docs.select(text_col).filter(F.octet_length(text_col) <= SAMPLE_BYTES).take(sample_docs):
+        counts.update(coder.pretokens(row[0]) or ())
     words = [w for w, _ in counts.most_common(entries) if len(w.encode()) < 256 and len(w) <= LONGEST_KEPT and "\x00" not in w]
     lengths = bytes(len(x) // 4 for x in coder.whole(words))
     return zlib.compress("\x00".join(words).encode() + b"\x00\x00" + lengths, 1)
