@@ -5,9 +5,11 @@ from __future__ import annotations
 from .decontamination import op3_decontamination
 from .lm_scoring import op2_lm_scoring
 from .packing import op6_packing
+from .quality import op8_quality
 from .simhash import op1_simhash
 from .token_counts import op10_token_counts
 from .token_files import op4_token_files
+from .toxicity import op7_toxicity
 
 QUERIES = {
     "op1_simhash": op1_simhash,
@@ -15,6 +17,8 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_token_files": op4_token_files,
     "op6_packing": op6_packing,
+    "op7_toxicity": op7_toxicity,
+    "op8_quality": op8_quality,
     "op10_token_counts": op10_token_counts,
 }
 
