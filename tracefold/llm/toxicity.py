@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A linear model over hashed words gives each sentence a probability of being
+A document is a bag of sentences. A linear model over hashed words and word beginnings gives each sentence a probability of being
 offensive; the document's is their noisy-or, 1 - prod(1 - p). Only document labels are needed: the likelihood
 of the labels under the noisy-or is maximised, which moves weight to the words of the sentences that explain
 a positive label. Scoring needs the weights alone, so every document is scored map-side, in one pass.
@@ -26,8 +26,10 @@ TRAIN_EACH = 4_000
 TRAIN_BYTES = 1 << 15
 
 
-def bucket(word: str) -> int:
-    return zlib.crc32(word.encode()) & (BUCKETS - 1)
+def buckets(word: str) -> list[int]:
+    """The word and its beginnings of three to eight characters, which compounds and inflected forms share."""
+    parts = [f"{word}$", *(word[:k] for k in range(3, min(9, len(word) + 1)))]
+    return [zlib.crc32(p.encode()) & (BUCKETS - 1) for p in parts]
 
 
 def sentence_words(text: str) -> list[tuple[int, int, set[str]]]:
@@ -58,7 +60,7 @@ def training_bags(docs: DataFrame, labels: DataFrame, each: int, held_out_remain
                 out = []
                 for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                     if (y := ids.value.get(doc)) is not None:
-                        bags = [sorted({bucket(w) for w in own}) for _, _, own in sentence_words(text)]
+                        bags = [[b for w in sorted(own) for b in buckets(w)] for _, _, own in sentence_words(text)]
                         out.append((y, [b for s in bags for b in s], [len(s) for s in bags]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())))], ["y", "words", "sizes"])
@@ -107,7 +109,7 @@ class NoisyOr:
 
 
 class Weights(dict):
-    """Weight of a word, by its bucket; kept per worker up to a limit."""
+    """Weight of a word, the sum over its buckets; kept per worker up to a limit."""
 
     def __init__(self, w: np.ndarray):
         self.w = w
@@ -115,7 +117,7 @@ class Weights(dict):
     def __missing__(self, word):
         if len(self) >= 400_000:
             self.clear()
-        v = self[word] = float(self.w[bucket(word)])
+        v = self[word] = float(self.w[buckets(word)].sum())
         return v
 
 
