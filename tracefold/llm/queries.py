@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import op3_decontamination
 from .lm_scoring import op2_lm_scoring
 from .packing import op6_packing
+from .pii import op5_pii
 from .quality import op8_quality
 from .simhash import op1_simhash
 from .token_counts import op10_token_counts
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_lm_scoring": op2_lm_scoring,
     "op3_decontamination": op3_decontamination,
     "op4_token_files": op4_token_files,
+    "op5_pii": op5_pii,
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
