@@ -18,6 +18,9 @@ from functools import lru_cache
 _BYTE_LEVEL = r"'(?:[sdmt]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]+|_+)+|\s+(?!\S)|\s+"
 _WORDS = r"'(?:[sdmt]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\s\w]+|_+)+"
 _TEMPLATES = ("a{}a", "1{}1", "!{}!", " {} ", "{0}{0}a", "a {}", "'{}")
+#: Byte-level files write byte b as a printable character: itself where it is one, else the next from U+0100 on.
+_SELF = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_PRINTABLE = {b: 0x100 + k for k, b in enumerate(b for b in range(0x100) if b not in _SELF)}
 #: Longer pre-tokens are encoded but not kept.
 LONGEST_KEPT = 64
 
@@ -77,6 +80,11 @@ class CachedEncoder:
                 return None
         return self.pattern.findall(text.lower() if self.lower else text)
 
+    def single(self, pretokens: list[str]) -> list[bytes]:
+        """Ids of texts that are one pre-token each: the library's model alone, on the bytes' printable characters."""
+        model = self.library.model.tokenize
+        return [array("I", [x.id for x in model(w.encode().decode("latin-1").translate(_PRINTABLE))]).tobytes() for w in pretokens]
+
     def whole(self, texts: list[str]) -> list[bytes]:
         got = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in got]
@@ -93,7 +101,7 @@ class CachedEncoder:
             cache.update(base or {})
             missing = list(wanted.difference(cache))
         room = max(0, self.limit - len(cache))
-        got = self.whole(missing)
+        got = self.single(missing)
         cache.update(zip(missing, map(convert, got) if convert else got, strict=True))
         return [w for k, w in enumerate(missing) if k >= room or len(w) > LONGEST_KEPT]
 
