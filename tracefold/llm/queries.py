@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import op3_decontamination
 from .lm_scoring import op2_lm_scoring
+from .neighbours import op9_neighbours
 from .packing import op6_packing
 from .pii import op5_pii
 from .quality import op8_quality
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
+    "op9_neighbours": op9_neighbours,
     "op10_token_counts": op10_token_counts,
 }
 
