@@ -25,12 +25,13 @@ from pyspark.sql import functions as F
 from ._common import cut, map_slices, slices, table
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-BUCKETS = 1 << 15
+BUCKETS = 1 << 13
 #: Labelled documents of each class that are learned from at most.
 LABELLED = 20_000
 SHARPNESS = 20.0
-#: Pseudo-counts by which the target's model leans to the raw one.
-LEAN = 2_000.0
+#: Pseudo-counts by which the target's model leans to the raw one, so that rare buckets say little.
+LEAN = 64.0 * BUCKETS
+GOOD_WEIGHT = 5.0
 #: Rows in the last bin of the search for the k-th key that may come to the driver.
 LAST_BIN = 50_000
 
@@ -50,6 +51,7 @@ def features(text: str, hashes: Buckets) -> np.ndarray:
     tokens = TOKEN.findall(text.lower())
     h = np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens))
     pairs = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
+    pairs[h[:-1] == h[1:]] = 0  # a token that repeats the one before is one feature, whatever the token
     return np.concatenate((h, pairs >> np.uint64(32))).astype(np.int64) & (BUCKETS - 1)
 
 
@@ -64,9 +66,14 @@ def labelled(labels: DataFrame, most: int) -> dict[int, int]:
     return chosen
 
 
+def for_cut(doc: int) -> bool:
+    """Half of the good labels shapes the target, the other half only the cut, as unlabelled documents would."""
+    return zlib.crc32(f"cut:{doc}".encode()) & 1 == 1
+
+
 def log_ratios(docs: DataFrame, chosen: dict[int, int]) -> np.ndarray:
     """log(target / raw) by bucket, from all texts of ``docs`` (``doc_id``, ``text``)."""
-    ids = docs.sparkSession.sparkContext.broadcast({i for i, q in chosen.items() if q == 1})
+    ids = docs.sparkSession.sparkContext.broadcast({i for i, q in chosen.items() if q == 1 and not for_cut(i)})
 
     def run(batches):
         hashes = Buckets()
@@ -98,12 +105,12 @@ def gumbel(doc: int | None, seed: int) -> float:
 
 
 def best_cut(values: list[tuple[float, int]]) -> float:
-    """The log ratio that separates labelled good from labelled bad with the fewest errors, each class weighing alike."""
+    """The log ratio that separates labelled good from labelled bad at least cost; losing good texts costs ``GOOD_WEIGHT`` times."""
     good, bad = sorted(v for v, q in values if q == 1), sorted(v for v, q in values if q == 0)
     if not good or not bad:
         return -math.inf
     edges = np.unique(np.array(good + bad))
-    wrong = np.searchsorted(good, edges) / len(good) + 1 - np.searchsorted(bad, edges) / len(bad)
+    wrong = GOOD_WEIGHT * np.searchsorted(good, edges) / len(good) + 1 - np.searchsorted(bad, edges) / len(bad)
     least = np.nonzero(wrong == wrong.min())[0]
     k = int(least[len(least) // 2])
     return float((edges[k] + edges[k - 1]) / 2) if k else float(edges[0])
@@ -162,7 +169,7 @@ def fit_selection(docs: DataFrame, labels: DataFrame, k: int | None, sharpness:
     if k is None:
         shared = docs.sparkSession.sparkContext.broadcast(chosen)
         known = scored.select("doc_id", "log_ratio").mapInArrow(lambda batches: keep_known(batches, shared), "doc_id long, log_ratio double")
-        edge = best_cut([(r[1], chosen[r[0]]) for r in known.collect()])  # rows of 2 * most ids
+        edge = best_cut([(r[1], chosen[r[0]]) for r in known.collect() if chosen[r[0]] == 0 or for_cut(r[0])])  # rows of 2 * most ids
         k = scored.filter(F.col("log_ratio") >= edge).count()
     return ratio, scored, kth_largest(scored, k)
 
