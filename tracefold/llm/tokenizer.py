@@ -37,19 +37,20 @@ def resolve(path: str) -> str:
 class CachedEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, cache_entries: int = 800_000):
+    def __init__(self, path: str, cache_entries: int = 500_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         file = resolve(path)
         self.library = Tokenizer.from_file(file)
+        self.tokenize = self.library.model.tokenize
         with open(file, encoding="utf-8") as f:
             config = json.load(f)
         self.special = [t["content"] for t in config["added_tokens"]]
         self.lower = config["normalizer"] is not None
         self.pattern = re.compile(_WORDS if self.lower else _BYTE_LEVEL)
         self.limit = cache_entries
-        self.cache: dict[str, bytes] = {}
+        self.words = Kept(self.one, cache_entries)
         self.lengths: dict[str, int] = {}
         self.agreed = self._agreed()
 
@@ -80,10 +81,12 @@ class CachedEncoder:
                 return None
         return self.pattern.findall(text.lower() if self.lower else text)
 
+    def one(self, pretoken: str) -> bytes:
+        """Ids of a text that is one pre-token: the library's model alone, on the bytes' printable characters."""
+        return array("I", [x.id for x in self.tokenize(pretoken.encode().decode("latin-1").translate(_PRINTABLE))]).tobytes()
+
     def single(self, pretokens: list[str]) -> list[bytes]:
-        """Ids of texts that are one pre-token each: the library's model alone, on the bytes' printable characters."""
-        model = self.library.model.tokenize
-        return [array("I", [x.id for x in model(w.encode().decode("latin-1").translate(_PRINTABLE))]).tobytes() for w in pretokens]
+        return list(map(self.one, pretokens))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         got = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -117,11 +120,35 @@ class CachedEncoder:
             del cache[w]
         return out
 
+    def text(self, text: str) -> bytes:
+        """Ids of a whole text, from its pre-tokens where that is proven equal."""
+        cut = self.pretokens(text)
+        return self.whole([text])[0] if cut is None else b"".join(map(self.words.__getitem__, cut))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        return self.each(texts, self.cache, b"".join)
+        return list(map(self.text, texts))
+
+
+class Kept(dict):
+    """Values made on demand and kept up to a limit; anew when most of what comes is no longer among them."""
+
+    def __init__(self, make, limit: int):
+        self.make, self.limit, self.missed = make, limit, 0
+
+    def __missing__(self, key: str):
+        value = self.make(key)
+        if len(self) < self.limit:
+            if len(key) <= LONGEST_KEPT:
+                self[key] = value
+        else:
+            self.missed += 1
+            if self.missed > 4 * self.limit:
+                self.clear()
+                self.missed = 0
+        return value
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, cache_entries: int = 800_000) -> CachedEncoder:
+def encoder(path: str, cache_entries: int = 500_000) -> CachedEncoder:
     """One encoder per file and Python worker."""
     return CachedEncoder(path, cache_entries)
