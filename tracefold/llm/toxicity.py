@@ -22,7 +22,7 @@ SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W_]+")
 BUCKETS = 1 << 18
 #: Labelled documents of each class that the fit reads at most, and the longest of them in bytes.
-TRAIN_EACH = 4_000
+TRAIN_EACH = 3_000
 TRAIN_BYTES = 1 << 15
 
 
@@ -41,7 +41,7 @@ def sentence_words(text: str) -> list[tuple[int, int, set[str]]]:
     return found
 
 
-def training_bags(docs: DataFrame, labels: DataFrame, each: int, held_out_remainder: int, modulus: int) -> list[tuple[int, list, list]]:
+def training_bags(docs: DataFrame, labels: DataFrame, each: int, held_out_remainder: int, modulus: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """``(label, buckets, sentence sizes)`` of a bounded sample of labelled documents, chosen by a hash of the id."""
     spark = docs.sparkSession
     usable = labels.filter(F.col("toxic").isin(0, 1) & (id_bucket("doc_id", modulus) != held_out_remainder)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
@@ -61,20 +61,21 @@ def training_bags(docs: DataFrame, labels: DataFrame, each: int, held_out_remain
                 for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                     if (y := ids.value.get(doc)) is not None:
                         bags = [[b for w in sorted(own) for b in buckets(w)] for _, _, own in sentence_words(text)]
-                        out.append((y, [b for s in bags for b in s], [len(s) for s in bags]))
+                        out.append((y, np.array([b for s in bags for b in s], np.int32).tobytes(), np.array([len(s) for s in bags], np.int32).tobytes()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())))], ["y", "words", "sizes"])
+                    [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["y", "words", "sizes"])
 
     small = docs.filter(F.octet_length("text") <= TRAIN_BYTES).select("doc_id", "text")
-    return [(r[0], r[1], r[2]) for r in small.mapInArrow(run, "y int, words array<int>, sizes array<int>").toLocalIterator()]
+    found = small.mapInArrow(run, "y int, words binary, sizes binary").toLocalIterator()
+    return [(r[0], np.frombuffer(r[1], np.int32), np.frombuffer(r[2], np.int32)) for r in found]
 
 
 class NoisyOr:
     """Weights over word buckets and a bias, fitted by Adagrad on the noisy-or likelihood."""
 
-    def __init__(self, bags: list[tuple[int, list, list]], epochs: int = 12, rate: float = 0.3, least_docs: int = 3, seed: int = 7):
+    def __init__(self, bags: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 12, rate: float = 0.3, least_docs: int = 3, seed: int = 7):
         self.w, self.b = np.zeros(BUCKETS), -5.0
-        bags = [x for x in bags if x[2]]
+        bags = [x for x in bags if len(x[2])]
         if len({y for y, _, _ in bags}) < 2:
             return
         rng = np.random.default_rng(seed)
@@ -83,11 +84,10 @@ class NoisyOr:
             df[np.unique(words)] += 1
         usable = df >= least_docs
         g2, gb2 = np.full(BUCKETS, 1e-2), 1e-2
-        data = [(y, np.array(words), np.array(sizes)) for y, words, sizes in bags]
         for _ in range(epochs):
-            order = rng.permutation(len(data))
+            order = rng.permutation(len(bags))
             for at in range(0, len(order), 64):
-                some = [data[k] for k in order[at : at + 64]]
+                some = [bags[k] for k in order[at : at + 64]]
                 sizes = np.concatenate([s for _, _, s in some])
                 words = np.concatenate([x for _, x, _ in some])
                 doc = np.repeat(np.arange(len(some)), [len(s) for _, _, s in some])
