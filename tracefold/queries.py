@@ -1,4 +1,10 @@
 """The query catalogue: name to callable, and name to the equivalent SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from .plans import catalogue_sequences
+
+_PARTS = (catalogue_sequences,)
+
+QUERIES: dict = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
+ORACLES: dict = {k: v for part in _PARTS for k, v in part.ORACLES.items()}
