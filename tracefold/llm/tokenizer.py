@@ -21,6 +21,8 @@ _TEMPLATES = ("a{}a", "1{}1", "!{}!", " {} ", "{0}{0}a", "a {}", "'{}")
 #: Byte-level files write byte b as a printable character: itself where it is one, else the next from U+0100 on.
 _SELF = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _PRINTABLE = {b: 0x100 + k for k, b in enumerate(b for b in range(0x100) if b not in _SELF)}
+#: Lengths of pre-tokens that a worker keeps.
+LENGTHS = 600_000
 #: Longer pre-tokens are encoded but not kept.
 LONGEST_KEPT = 64
 
@@ -37,7 +39,7 @@ def resolve(path: str) -> str:
 class CachedEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, cache_entries: int = 500_000):
+    def __init__(self, path: str, cache_entries: int = 300_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -49,7 +51,7 @@ class CachedEncoder:
         self.special = [t["content"] for t in config["added_tokens"]]
         self.lower = config["normalizer"] is not None
         self.pattern = re.compile(_WORDS if self.lower else _BYTE_LEVEL)
-        self.limit = cache_entries
+        self.limit = LENGTHS
         self.words = Kept(self.one, cache_entries)
         self.lengths: dict[str, int] = {}
         self.agreed = self._agreed()
@@ -149,6 +151,6 @@ class Kept(dict):
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, cache_entries: int = 500_000) -> CachedEncoder:
+def encoder(path: str, cache_entries: int = 300_000) -> CachedEncoder:
     """One encoder per file and Python worker."""
     return CachedEncoder(path, cache_entries)
