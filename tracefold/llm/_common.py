@@ -60,9 +60,14 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Deletes the folders of ``store``; call it when the results that were built on them are written."""
-    while _FOLDERS:
+def stored() -> int:
+    """A mark for ``release``: folders stored from now on."""
+    return len(_FOLDERS)
+
+
+def release(since: int = 0) -> None:
+    """Deletes the folders of ``store``, or those since a mark; call it when what was built on them is written."""
+    while len(_FOLDERS) > since:
         spark, path = _FOLDERS.pop()
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

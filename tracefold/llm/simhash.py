@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import cut, map_slices, table
+from ._common import cut, map_slices, release, store, stored, table
 from ._components import components
 
 BITS = 64
@@ -170,8 +170,8 @@ def near_copy_pairs(docs: DataFrame, classes: DataFrame, width: int, similarity:
     """
     keys = F.array(*(F.xxhash64(F.lit(p), F.col(f"m{p // 16}"), v) for p, v in ((p, variants(range(p, p + 1), 8)[0]) for p in range(BITS))))
     index = classes.select(F.col("rep").alias("id"), F.explode(keys).alias("key"))
-    buckets = cut(index.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("n > 1"))
-    more = cut(index.join(buckets.filter("n > 2"), "key"))
+    buckets = store(index.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("n > 1"), "buckets")
+    more = store(index.join(buckets.filter("n > 2"), "key"), "members")
     left = more.filter(F.col("n") <= light).select("key", F.col("id").alias("a"))
     right = more.filter(F.col("n") <= light).select(F.col("key").alias("other"), F.col("id").alias("b"))
     pairs = buckets.filter("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
@@ -200,7 +200,9 @@ def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -
     rows = cut(signatures(docs, width))
     same = rows.groupBy("same").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), *(F.min(f"m{k}").alias(f"m{k}") for k in range(4)))
     classes = cut(same)
+    mark = stored()
     roots = cut(components(near_copy_pairs(docs, classes, width, similarity)))
+    release(mark)
     # of a class its representative may itself give way to a smaller one
     kept = classes.select("rep").distinct().join(roots.filter("node <> root").select(F.col("node").alias("rep")), "rep", "left_anti")
     gone = rows.select("doc_id").distinct().join(kept.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti")
