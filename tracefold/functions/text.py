@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NOT_WORD = r"[^\p{L}\p{N}_]+"
@@ -20,9 +20,9 @@ def words(text: Column) -> Column:
 
 def folded(items: Column) -> Column:
     """An array without adjacent repeats."""
-    n = F.size(items)
-    places = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & ((i == 1) | (F.get(items, i - 1) != F.get(items, i - 2))))
-    return F.transform(places, lambda i: F.get(items, i - 1))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice(items, 1, F.greatest(F.size(items) - 1, F.lit(0))))
+    pairs = F.zip_with(items, before, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    return F.transform(F.filter(pairs, lambda p: ~p["x"].eqNullSafe(p["y"])), lambda p: p["x"])
 
 
 def tokens(text: Column) -> Column:
@@ -35,9 +35,16 @@ def sentences(text: Column) -> Column:
 
 def array_ngrams(items: Column, n: int, separator: str = "\x1f") -> Column:
     """Runs of ``n`` successive elements joined to strings; none where the array is shorter."""
-    size = F.size(items)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(items, i, n), separator))
-    return F.when(size >= n, runs).otherwise(F.array().cast("array<string>"))
+    m = F.greatest(F.size(items) - n + 1, F.lit(0))
+    runs = F.slice(items, 1, m)
+    for k in range(1, n):
+        runs = F.zip_with(runs, F.slice(items, k + 1, m), lambda a, b: F.concat_ws(separator, a, b))
+    return runs
+
+
+def computed(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """``df`` with a column evaluated once a row: later expressions refer to it, the optimizer does not inline it."""
+    return df.select("*", F.explode(F.array(column)).alias(name))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -84,10 +84,10 @@ def scores(spark: SparkSession, d: str) -> DataFrame:
 
 def text_hashes(spark: SparkSession, d: str, table: str, key: str) -> DataFrame:
     """Word 3-grams as hashes, their position as time: ``key, i, h, t``."""
-    from ..functions.text import array_ngrams, words
+    from ..functions.text import array_ngrams, computed, words
 
-    grams = array_ngrams(words(F.col("text")), 3, " ")
-    rows = read(spark, d, table).select(F.col(key).alias("key"), F.posexplode(grams).alias("i", "h"))
+    docs = computed(read(spark, d, table).select(F.col(key).alias("key"), "text"), "w", words(F.col("text")))
+    rows = docs.select("key", F.posexplode(array_ngrams(F.col("w"), 3, " ")).alias("i", "h"))
     return rows.withColumn("t", F.col("i").cast("double"))
 
 
@@ -130,10 +130,10 @@ ver AS (SELECT *, CASE WHEN verdict_class IN ('EXACT', 'MODIFIED', 'EXCERPT_PHON
     "catalogue": """cat AS (SELECT p_partkey AS performance_id, p_brand AS performer, CASE WHEN p_size % 2 = 0 THEN p_name || ' ' || p_type ELSE p_name END AS work_title, p_size % 4 = 0 AS instrumental,
  CASE p_partkey % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'fr' ELSE 'es' END AS language FROM part)""",
     "scores": """sco AS (SELECT l.doc_id, quality::INTEGER AS y, ((n_chars * 37) % 997 + 0.5::DOUBLE) / 998.0::DOUBLE AS p FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE quality IS NOT NULL)""",
-    "words": """wrd AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\s+'), w -> regexp_replace(lower(w), '[^\\p{L}\\p{N}_]+', '', 'g')), w -> w <> '') AS ws FROM documents),
-bwr AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(text, '\\s+'), w -> regexp_replace(lower(w), '[^\\p{L}\\p{N}_]+', '', 'g')), w -> w <> '') AS ws FROM benchmark)""",
-    "hashes": """dh AS (SELECT doc_id, unnest(range(0, len(ws) - 2)) AS i, unnest(list_transform(range(0, len(ws) - 2), k -> array_to_string(ws[k + 1:k + 3], ' '))) AS h FROM wrd WHERE len(ws) >= 3),
-bh AS (SELECT item_id, unnest(range(0, len(ws) - 2)) AS i, unnest(list_transform(range(0, len(ws) - 2), k -> array_to_string(ws[k + 1:k + 3], ' '))) AS h FROM bwr WHERE len(ws) >= 3),
+    "words": """wrd AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\s+'), lambda w: regexp_replace(lower(w), '[^\\p{L}\\p{N}_]+', '', 'g')), lambda w: w <> '') AS ws FROM documents),
+bwr AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(text, '\\s+'), lambda w: regexp_replace(lower(w), '[^\\p{L}\\p{N}_]+', '', 'g')), lambda w: w <> '') AS ws FROM benchmark)""",
+    "hashes": """dh AS (SELECT doc_id, unnest(range(0, len(ws) - 2)) AS i, unnest(list_transform(range(0, len(ws) - 2), lambda k: array_to_string(ws[k + 1:k + 3], ' '))) AS h FROM wrd WHERE len(ws) >= 3),
+bh AS (SELECT item_id, unnest(range(0, len(ws) - 2)) AS i, unnest(list_transform(range(0, len(ws) - 2), lambda k: array_to_string(ws[k + 1:k + 3], ' '))) AS h FROM bwr WHERE len(ws) >= 3),
 hit AS (SELECT b.item_id AS query, d.doc_id AS candidate, b.i AS i, b.i::DOUBLE AS qt, d.i::DOUBLE - b.i::DOUBLE AS dt FROM bh b JOIN dh d ON b.h = d.h)""",
 }
 
