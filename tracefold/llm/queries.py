@@ -30,8 +30,8 @@ ORACLES = {
     "op3_decontamination": """
 WITH dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS t FROM documents),
 iw AS (SELECT DISTINCT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS t FROM benchmark),
-d AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(t) - 3), i -> array_to_string(t[i:i + 4], ' '))) AS s FROM dw),
-i AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(t) - 3), i -> array_to_string(t[i:i + 4], ' '))) AS s FROM iw),
+d AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' '))) AS s FROM dw),
+i AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' '))) AS s FROM iw),
 n AS (SELECT item_id, count(*) AS item_shingles FROM i GROUP BY item_id)
 SELECT doc_id, item_id, count(*) AS shared, any_value(item_shingles) AS item_shingles,
        count(*)::DOUBLE / any_value(item_shingles) AS containment
