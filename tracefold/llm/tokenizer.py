@@ -36,6 +36,17 @@ def resolve(path: str) -> str:
     return public_tokenizers.path(path)
 
 
+def _ranges(chars) -> str:
+    """The characters as the inside of a character set."""
+    spans: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if spans and c == spans[-1][1] + 1:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" if b > a else re.escape(chr(a)) for a, b in spans)
+
+
 class CachedEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes."""
 
@@ -55,6 +66,10 @@ class CachedEncoder:
         self.words = Kept(self.one, cache_entries)
         self.lengths: dict[str, int] = {}
         self.agreed = self._agreed()
+        # explicit sets of the agreed characters are searched about twice as fast as classes
+        letters = _ranges(c for c in self.agreed if re.match(r"[^\W\d_]", c))
+        marks = _ranges(c for c in self.agreed if re.match(r"[^\s\w]|_", c))
+        self.pattern = re.compile(self.pattern.pattern.replace("(?:[^\\s\\w]+|_+)+", f"[{marks}]+").replace("[^\\W\\d_]", f"[{letters}]"))
 
     def _agreed(self) -> frozenset[str]:
         """Characters on which the pattern above and the library's own pre-tokenizer cut alike."""
