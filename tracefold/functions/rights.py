@@ -34,7 +34,7 @@ def modification(semitones: Column, tempo: Column) -> Column:
 
 
 def recognisability(peak: Column) -> Column:
-    return F.least(F.greatest(peak, F.lit(0.0)), F.lit(1.0))
+    return F.when(peak.isNotNull(), F.least(F.greatest(peak, F.lit(0.0)), F.lit(1.0)))
 
 
 def layers(cls: Column) -> Column:
@@ -45,9 +45,9 @@ def layers(cls: Column) -> Column:
 
 
 def span_percent(start: Column, end: Column, duration: Column) -> Column:
-    """A span's share of the duration in percent, cut to the duration; NULL without one."""
+    """A span's share of the duration in percent, cut to the duration; NULL where one of the three is."""
     a, b = (F.least(F.greatest(x, F.lit(0.0)), duration) for x in (start, end))
-    return F.when(duration > 0, 100 * F.greatest(b - a, F.lit(0.0)) / duration)
+    return F.when((duration > 0) & start.isNotNull() & end.isNotNull(), 100 * F.greatest(b - a, F.lit(0.0)) / duration)
 
 
 def window_step(duration: Column, n: Column, width: float = 10.0) -> Column:
@@ -55,7 +55,8 @@ def window_step(duration: Column, n: Column, width: float = 10.0) -> Column:
 
 
 def candidate_position(query_s: Column, query_start: Column, candidate_start: Column) -> Column:
-    return F.greatest(F.lit(0.0), query_s + candidate_start - query_start)
+    at = query_s + candidate_start - query_start
+    return F.when(at.isNotNull(), F.greatest(F.lit(0.0), at))
 
 
 def byte_range(header: Column, size: Column) -> Column:
@@ -74,7 +75,7 @@ def percent_text(x: Column) -> Column:
 
 def clock_text(seconds: Column) -> Column:
     whole = F.floor(seconds)
-    return F.format_string("%d:%02d", F.floor(whole / 60), whole % 60)
+    return F.when(seconds.isNotNull(), F.format_string("%d:%02d", F.floor(whole / 60), whole % 60))
 
 
 def mistakes_per_hundred(precision: Column) -> Column:
