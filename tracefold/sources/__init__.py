@@ -1 +1,169 @@
 """Readers and writers."""
+
+from __future__ import annotations
+
+import io
+import wave
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
+
+from ..functions import kernels
+
+CANDIDATE_SET = T.StructType([
+    T.StructField("set_id", T.StringType()),
+    T.StructField("candidates", T.ArrayType(T.StructType([
+        *(T.StructField(n, T.StringType()) for n in ("id", "name", "artist", "shs_performance_id", "source_url", "audio_path", "published", "published_source", "license")),
+        T.StructField("instrumental", T.BooleanType()), T.StructField("language", T.StringType()), T.StructField("lyrics_path", T.StringType())]))),
+])
+AUDIO_SUFFIXES = ("wav", "mp3", "flac", "ogg", "m4a", "opus", "aac")
+SIZE_CAP = 64 << 20
+HARMONIC_RATE, SPEECH_RATE, LONGEST_S = 22_050, 16_000, 180.0
+CLIP = "clip_id string, status string, reason string, y_harmonic array<float>, y_speech array<float>, duration double, sha256 string, source_offset_s double"
+
+
+def candidate_set(spark: SparkSession, path: str) -> DataFrame:
+    """Candidates of a manifest file, one row each; the schema is declared, not inferred."""
+    return spark.read.schema(CANDIDATE_SET).option("multiLine", True).json(path).select("set_id", F.inline("candidates"))
+
+
+def catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """Performances from CSV: trimmed, empty language NULL, truthy words true, rows without a work title skipped."""
+    names = ("performance_id", "performance_title", "performer", "language", "instrumental", "youtube_url", "work_title")
+    rows = spark.read.option("header", True).schema(", ".join(f"{n} string" for n in names)).csv(path)
+    cleaned = {n: F.trim(n) for n in names} | {"language": F.nullif(F.trim("language"), F.lit("")), "instrumental": F.lower(F.trim("instrumental")).isin("1", "true", "t", "yes", "y")}
+    return rows.select(*(F.coalesce(c, F.lit(False)).alias(n) if n == "instrumental" else c.alias(n) for n, c in cleaned.items())).filter("work_title <> ''")
+
+
+def corpus(spark: SparkSession, path: str) -> DataFrame:
+    """Pattern frequencies; a corpus that is absent is an empty one, not an error."""
+    try:
+        return spark.read.schema("pattern string, df long").parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], "pattern string, df long")
+
+
+def save_corpus(frequencies: DataFrame, path: str) -> None:
+    frequencies.select("pattern", "df").repartitionByRange("pattern").sortWithinPartitions("pattern").write.mode("overwrite").parquet(path)
+
+
+def journal(spark: SparkSession, path: str, schema: str, key: str, order: str) -> DataFrame:
+    """A JSON-lines journal: malformed lines skipped, the last entry of a key wins, failed entries left to be retried."""
+    from ..operators.sampling import first_by_key
+
+    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).filter(F.col(key).isNotNull())
+    return first_by_key(rows.withColumn("_o", -F.col(order)), key, "_o").drop("_o").filter("status = 'ok'")
+
+
+def pending(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """What is still to do: wanted keys that the journal, or an artifact table, lacks."""
+    return wanted.join(done.select(key), key, "left_anti")
+
+
+def artifact_key(*parts: Column) -> Column:
+    """Key of a computed artifact: any change of a parameter, path, time or size is another key."""
+    return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 32)
+
+
+def url_list(spark: SparkSession, path: str) -> DataFrame:
+    """``id, url`` from a text file; blank and comment lines skipped, ids from the URL or its last 32 safe characters."""
+    line = F.trim("value")
+    rows = spark.read.text(path).select(line.alias("url")).filter("url <> '' and not startswith(url, '#')")
+    named = F.regexp_extract("url", r"(?:v=|youtu\.be/)([A-Za-z0-9_-]{11})", 1)
+    return rows.select(F.when(named != "", named).otherwise(F.right(F.regexp_replace("url", "[^A-Za-z0-9_-]", "_"), F.lit(32))).alias("id"), "url")
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    rows.write.mode("append").json(path)
+
+
+def lyrics(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("lyrics_path"), F.col("value").alias("text"))
+
+
+def decode_wav(data: bytes) -> tuple[np.ndarray, int]:
+    """Mono samples in [-1, 1] and their rate; the mean of the channels."""
+    with wave.open(io.BytesIO(data)) as w:
+        width, channels, rate = w.getsampwidth(), w.getnchannels(), w.getframerate()
+        raw = w.readframes(w.getnframes())
+    if width == 2:
+        x = np.frombuffer(raw, "<i2") / 32768.0
+    elif width == 1:
+        x = (np.frombuffer(raw, np.uint8) - 128.0) / 128.0
+    elif width == 4:
+        x = np.frombuffer(raw, "<i4") / 2147483648.0
+    else:
+        raise ValueError(f"{8 * width}-bit samples are not supported")
+    if not len(x):
+        raise ValueError("no samples")
+    return x.reshape(-1, channels).mean(1), rate
+
+
+def normalise(signal: np.ndarray, rate: int) -> dict:
+    """A clip: at most 180 s around the most energy, two rates, target loudness, silence trimmed, digest."""
+    import hashlib
+
+    start = kernels.loudest_stretch(signal, int(LONGEST_S * rate))
+    signal = signal[start : start + int(LONGEST_S * rate)]
+    y = kernels.resampled(signal, rate, HARMONIC_RATE)
+    y = y * kernels.gain_to(y, HARMONIC_RATE)
+    a, b = kernels.sounding(y)
+    y = y[a:b].astype(np.float32)
+    return {"y_harmonic": y, "y_speech": kernels.resampled(y.astype(float), HARMONIC_RATE, SPEECH_RATE).astype(np.float32), "duration": len(y) / HARMONIC_RATE,
+            "sha256": hashlib.sha256(y.tobytes()).hexdigest(), "source_offset_s": start / rate + a / HARMONIC_RATE}
+
+
+def clips(spark: SparkSession, path: str, glob: str = "*.wav") -> DataFrame:
+    """Clips of the audio files under a path; a file that cannot be decoded is a row of status ``failed``."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            out = []
+            for p, size, data in zip(batch["path"], batch["length"], batch["content"], strict=True):
+                row = dict.fromkeys(("y_harmonic", "y_speech", "duration", "sha256", "source_offset_s")) | {"clip_id": p, "status": "failed", "reason": None}
+                try:
+                    if size > SIZE_CAP:
+                        raise ValueError("oversized")
+                    row |= normalise(*decode_wav(data)) | {"status": "ok"}
+                except Exception as error:  # noqa: BLE001  one bad file must not fail the job
+                    row["reason"] = str(error)[:200]
+                out.append(row)
+            yield pd.DataFrame(out, columns=["clip_id", "status", "reason", "y_harmonic", "y_speech", "duration", "sha256", "source_offset_s"])
+
+    return files.select("path", "length", "content").mapInPandas(run, CLIP)
+
+
+def fingerprints_of(found: DataFrame) -> DataFrame:
+    """``clip_id, pt, pf, pa``: spectral landmarks of the clips that are ok."""
+    from ..operators.pairs import map_rows
+
+    return map_rows(found.filter("status = 'ok'"), ["clip_id", "y_harmonic"], "clip_id string, pt double, pf double, pa double",
+                    lambda r: [(r["clip_id"], *map(float, x)) for x in kernels.landmarks(np.array(r["y_harmonic"], float), HARMONIC_RATE)])
+
+
+def representations_of(found: DataFrame) -> DataFrame:
+    """``clip_id, frames, descriptor, chords``: chroma, global descriptor and folded chord sequence."""
+    from ..operators.pairs import map_rows
+
+    def work(r):
+        frames = kernels.chroma(np.array(r["y_harmonic"], float), HARMONIC_RATE)
+        return [(r["clip_id"], frames.T.ravel().tolist(), kernels.descriptor(frames).tolist(), kernels.chords(frames))]
+
+    return map_rows(found.filter("status = 'ok'"), ["clip_id", "y_harmonic"], "clip_id string, frames array<double>, descriptor array<double>, chords array<string>", work)
+
+
+def is_internal(address: str) -> bool:
+    """True for literal addresses that no download may reach."""
+    import ipaddress
+
+    try:
+        ip = ipaddress.ip_address(address)
+    except ValueError:
+        return False
+    return not ip.is_global or ip.is_multicast

@@ -1 +1,73 @@
 """Structured Streaming operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def file_stream(spark: SparkSession, folder: str, schema, files_a_trigger: int = 1) -> DataFrame:
+    """Files of a folder as a stream; the query's checkpoint makes it resumable and exactly-once."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(folder)
+
+
+def document_frequency(patterns: DataFrame, document: str, pattern: str) -> DataFrame:
+    """Incremental document frequencies: a document counts once a pattern, over the whole stream."""
+    return patterns.dropDuplicates([document, pattern]).groupBy(pattern).agg(F.count("*").alias("df"))
+
+
+def sliding(events: DataFrame, time: str, late: str, width: str = "10 seconds", hop: str = "5 seconds", *by: str) -> DataFrame:
+    """Counts in sliding event-time windows; rows later than the watermark are dropped."""
+    return events.withWatermark(time, late).groupBy(F.window(time, width, hop), *by).agg(F.count("*").alias("n"))
+
+
+def folded(events: DataFrame, key: str, order: str, symbol: str) -> DataFrame:
+    """Adjacent repeats folded over a stream: the last symbol of each key is the state."""
+    import pandas as pd
+
+    kinds = dict(events.dtypes)
+
+    def step(keys, frames, state):
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
+        out = []
+        for r in rows.itertuples(index=False):
+            s = getattr(r, symbol)
+            if s != last:
+                out.append((keys[0], getattr(r, order), s))
+                last = s
+        state.update((last,))
+        yield pd.DataFrame(out, columns=[key, order, symbol])
+
+    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {order} {kinds[order]}, {symbol} string", f"last {kinds[symbol]}", "append", "NoTimeout")
+
+
+def write_result_then_event(results: str, events: str, level: int):
+    """A ``foreachBatch`` sink: the result is stored before the event that announces it, both once per batch.
+
+    A batch that is repeated after a failure overwrites its own partition of either table.
+    """
+    def sink(batch: DataFrame, number: int) -> None:
+        kept = batch.persist()
+        try:
+            kept.withColumn("level", F.lit(level)).write.mode("overwrite").parquet(f"{results}/level={level}/batch={number}")
+            said = kept.groupBy("query").agg(F.count("*").alias("entries")).withColumn("status", F.lit("final" if level == 2 else "partial"))
+            said.select("query", F.lit(level).alias("level"), "status", F.to_json(F.struct("entries")).alias("detail")).write.mode("overwrite").parquet(f"{events}/level={level}/batch={number}")
+        finally:
+            kept.unpersist()
+
+    return sink
+
+
+def drain(stream: DataFrame, sink, checkpoint: str, mode: str = "append") -> None:
+    """Runs a query over what is there and stops."""
+    stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def replay(spark: SparkSession, events: str) -> DataFrame:
+    """The whole event log in order, for any listener."""
+    return spark.read.parquet(events).orderBy("query", "level")
+
+
+def latest_by(log: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    return log.groupBy(key).agg(F.max_by(value, order).alias(value))
