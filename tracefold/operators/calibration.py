@@ -33,7 +33,8 @@ def linear_score(weights: dict[str, float], bias: float) -> Column:
 
 
 def fit(df: DataFrame, features: list[str], label: str, cls: str, c: float = 1.0):
-    """L2 logistic regression with inverse strength ``c``; refused for some classes and for a single label."""
+    """L2 logistic regression with inverse strength ``c``; refused for some classes and for a single label. A pipeline model."""
+    from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
@@ -42,8 +43,9 @@ def fit(df: DataFrame, features: list[str], label: str, cls: str, c: float = 1.0
     n, ones = df.agg(F.count("*"), F.sum(F.col(label).cast("long"))).first()
     if not n or ones in (None, 0, n):
         raise ValueError("labels of one kind only")
-    rows = VectorAssembler(inputCols=features, outputCol="_x").transform(df)
-    return LogisticRegression(featuresCol="_x", labelCol=label, regParam=1 / (c * n), standardization=False, maxIter=1000).fit(rows)
+    assembler = VectorAssembler(inputCols=features, outputCol="_x")
+    model = LogisticRegression(featuresCol="_x", labelCol=label, regParam=1 / (c * n), standardization=False, maxIter=1000)
+    return Pipeline(stages=[assembler, model]).fit(df)
 
 
 def model_status(cls: Column, has_model: Column) -> Column:
