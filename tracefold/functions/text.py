@@ -52,3 +52,25 @@ def jaccard(a: Column, b: Column) -> Column:
     shared = F.size(F.array_intersect(a, b))
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, F.lit(0.0)).otherwise(shared / union)
+
+
+def pair_jaccard(a: Column, b: Column, longest: int = 5) -> Column:
+    """Jaccard similarity of the shingles of two token arrays, of as many tokens as the shorter has, five at most.
+
+    0 where either has no tokens.
+    """
+    n = F.least(F.size(a), F.size(b), F.lit(longest))
+    out = F.lit(0.0)
+    for k in range(1, longest + 1):
+        out = F.when(n == k, jaccard(F.array_distinct(array_ngrams(a, k)), F.array_distinct(array_ngrams(b, k)))).otherwise(out)
+    return out
+
+
+def minhash(items: Column, permutations: int = 128) -> Column:
+    """Signature of a set: the least hash of its items under each of the seeds."""
+    return F.transform(F.sequence(F.lit(1), F.lit(permutations)), lambda s: F.array_min(F.transform(items, lambda x: F.xxhash64(s, x))))
+
+
+def estimated_jaccard(a: Column, b: Column) -> Column:
+    """Share of equal places of two signatures."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("double")), F.lit(0.0), lambda s, x: s + x) / F.size(a)
