@@ -60,7 +60,7 @@ def raw_probability(cls: Column) -> Column:
 def explanation(cls: Column) -> Column:
     """Sentences with two decimals; a missing measurement is named, never shown as 0."""
     def said(label, x):
-        return F.concat(F.lit(f"{label} "), F.when(x.isNull(), "no measurement").otherwise(F.format_string("%.2f", x)))
+        return F.concat(F.lit(f"{label} "), F.when(x.isNull(), "no measurement").otherwise(F.format_string("%.2f", F.bround(x, 2))))
     return F.array_join(F.array(F.concat(F.lit("Class "), cls), said("peak ratio", F.col("peak")), said("qmax", F.col("qmax")), said("coverage", F.col("coverage"))), ". ")
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import catalogue_fusion, catalogue_kernels, catalogue_matching, catalogue_sequences
+from .plans import catalogue_events, catalogue_fusion, catalogue_kernels, catalogue_matching, catalogue_sequences
 
-_PARTS = (catalogue_sequences, catalogue_matching, catalogue_fusion, catalogue_kernels)
+_PARTS = (catalogue_sequences, catalogue_matching, catalogue_fusion, catalogue_kernels, catalogue_events)
 
 QUERIES: dict = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLES: dict = {k: v for part in _PARTS for k, v in part.ORACLES.items()}
