@@ -113,11 +113,14 @@ def rank_candidates(entries: DataFrame, query: str, candidate: str, cls: str, sc
     The comparison is not transitive, so its result depends on the sort: each query's entries, a shortlist of
     bounded length, are sorted in one call of a stable sort, from the order of their ids.
     """
-    def ranked(group):
-        rows = sorted(group[[candidate, cls, score, published]].itertuples(index=False), key=lambda r: r[0])
-        live = [(float(r[2]) if r[1] != "NONE" and r[2] is not None and r[2] == r[2] else None, r[3], r[0]) for r in rows]
-        order = sorted(live, key=cmp_to_key(_before))
-        return group.iloc[:0][[query, candidate]].reindex(range(len(order))).assign(**{query: group[query].iloc[0], candidate: [x[2] for x in order], "rank": range(1, len(order) + 1)})
+    from .pairs import map_rows
 
     kinds = dict(entries.dtypes)
-    return entries.groupBy(query).applyInPandas(ranked, f"{query} {kinds[query]}, {candidate} {kinds[candidate]}, rank long")
+    live = F.when(F.col(cls) != "NONE", F.col(score))
+    rows = entries.groupBy(query).agg(F.collect_list(F.struct(F.col(candidate).alias("c"), live.cast("double").alias("s"), F.col(published).alias("d"))).alias("e"))
+
+    def ranked(r):
+        order = sorted(sorted(r["e"], key=lambda x: x["c"]), key=cmp_to_key(lambda x, y: _before((x["s"], x["d"]), (y["s"], y["d"]))))
+        return [(r[query], x["c"], k) for k, x in enumerate(order, 1)]
+
+    return map_rows(rows, [query, "e"], f"{query} {kinds[query]}, {candidate} {kinds[candidate]}, rank long", ranked)

@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.music import cosine
 
+#: Queries broadcast at a time (some kilobytes each).
+QUERY_BLOCK = 10_000
+
 
 def shortlist(queries: DataFrame, candidates: DataFrame, q_id: str, c_id: str, vector: str, k: int = 20) -> DataFrame:
     """``query, candidate, rank, score``: the ``k`` nearest candidates of each of a stated set of queries.
 
-    The queries are the small side: a few descriptors meet all candidates. Only the best ``k`` of each query
-    and partition are shuffled (the rank filter is planned as a group limit below the exchange).
+    The queries meet all candidates in broadcast blocks of at most ``QUERY_BLOCK``, so more queries take more
+    blocks. Only the best ``k`` of each query and partition are shuffled (the rank filter is planned as a group
+    limit below the exchange).
     """
     q = queries.select(F.col(q_id).alias("query"), F.transform(vector, lambda x: x.cast("double")).alias("_q"))
     c = candidates.select(F.col(c_id).alias("candidate"), F.transform(vector, lambda x: x.cast("double")).alias("_c"))
-    pairs = c.join(q, F.col("query") != F.col("candidate")).withColumn("score", F.round(cosine(F.col("_q"), F.col("_c")), 9))
+    n = q.count()
+    blocks = math.ceil(2 * n / QUERY_BLOCK) if n > QUERY_BLOCK else 1
+    parts = [q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b) for b in range(blocks)]
+    pairs = reduce(DataFrame.unionAll, [c.join(F.broadcast(p), F.col("query") != F.col("candidate")) for p in parts])
+    pairs = pairs.withColumn("score", F.round(cosine(F.col("_q"), F.col("_c")), 9))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "candidate")
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query", "candidate", "rank", "score")
 
