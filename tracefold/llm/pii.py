@@ -157,8 +157,8 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def disclosing_pairs(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """``(entity, term, told)``: the words that tell at least the share ``disclosure`` of an entity's bits."""
     n = docs.count()
-    pairs = near_pairs(docs).groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.approx_count_distinct("place", 0.02).alias("places"))
-    pairs = cut(pairs)
+    by_place = near_pairs(docs).groupBy("entity", "term", "place").agg(F.count("*").alias("n"))
+    pairs = cut(by_place.groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("places")))
     entities = pairs.filter("term = ''").select("entity", F.col("n_et").alias("n_e"))
     often = pairs.filter((F.col("term") != "") & (F.col("n_et") >= support) & (F.col("places") >= support)).select("entity", "term", "n_et")
     counts = document_counts(docs, often.select("term").distinct())
