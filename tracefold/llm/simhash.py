@@ -82,9 +82,14 @@ def distance(a: str, b: str):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt out evenly: their 64 variants are much larger than the partitions they come in."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def links_within_two(distinct: DataFrame, light: int = LIGHT) -> DataFrame:
     """Edges ``(a, b)`` between the distinct fingerprints ``fp`` such that those at distance 2 or less are connected."""
-    index = distinct.select("fp", F.explode(variants(range(BITS), 32)).alias("key"))
+    index = spread(distinct.select("fp")).select("fp", F.explode(variants(range(BITS), 32)).alias("key"))
     buckets = cut(index.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"))
     twos = buckets.filter("n = 2").select("a", "b").filter(distance("a", "b") <= 2)
     more = cut(index.join(buckets.filter("n > 2").select("key", "n"), "key"))
@@ -120,7 +125,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     linked = roots.join(named, "root").select("fp", "named")
     classes = distinct.join(linked, "fp", "left").select("fp", F.coalesce("named", "least").alias("component_id"))
     # an exchange of its own on either side lets Spark split a fingerprint that many rows share
-    classes = classes.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    classes = spread(classes)
     return rows.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -169,7 +174,7 @@ def near_copy_pairs(docs: DataFrame, classes: DataFrame, width: int, similarity:
     smallest and largest member, in linear work. Pairs within ``farthest`` bits are verified exactly.
     """
     keys = F.array(*(F.xxhash64(F.lit(p), F.col(f"m{p // 16}"), v) for p, v in ((p, variants(range(p, p + 1), 8)[0]) for p in range(BITS))))
-    index = classes.select(F.col("rep").alias("id"), F.explode(keys).alias("key"))
+    index = spread(classes).select(F.col("rep").alias("id"), F.explode(keys).alias("key"))
     buckets = store(index.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("n > 1"), "buckets")
     more = store(index.join(buckets.filter("n > 2"), "key"), "members")
     left = more.filter(F.col("n") <= light).select("key", F.col("id").alias("a"))
