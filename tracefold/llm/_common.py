@@ -65,12 +65,12 @@ def stored() -> int:
     return len(_FOLDERS)
 
 
-def release(since: int = 0) -> None:
-    """Deletes the folders of ``store``, or those since a mark; call it when what was built on them is written."""
-    while len(_FOLDERS) > since:
-        spark, path = _FOLDERS.pop()
+def release(since: int = 0, until: int | None = None) -> None:
+    """Deletes the folders of ``store``, or those between two marks; call it when what was built on them is written."""
+    for spark, path in _FOLDERS[since:until]:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del _FOLDERS[since:until]
 
 
 def id_bucket(id_col: str, modulus: int):
