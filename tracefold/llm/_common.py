@@ -44,6 +44,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 1 << 20) -> DataFrame:
+    """A computed table of ids, broadcast if it has few enough rows (8 MB of longs), else left to a shuffle join."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tracefold/{name}-{uuid.uuid4().hex}"
 

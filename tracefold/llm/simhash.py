@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import cut, map_slices, release, store, stored, table
+from ._common import broadcast_if_small, cut, map_slices, release, store, stored, table
 from ._components import components
 
 BITS = 64
@@ -186,8 +186,8 @@ def near_copy_pairs(docs: DataFrame, classes: DataFrame, width: int, similarity:
     fps = classes.select(F.col("rep"), "fp")
     near = pairs.filter("a <> b").distinct().join(fps.toDF("a", "fa"), "a").join(fps.toDF("b", "fb"), "b")
     near = cut(near.filter(distance("fa", "fb") <= farthest).select("a", "b"))
-    wanted = near.select(F.col("a").alias("doc_id")).unionAll(near.select("b")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+    wanted = cut(near.select(F.col("a").alias("doc_id")).unionAll(near.select("b")).distinct())
+    texts = docs.select("doc_id", "text").join(broadcast_if_small(wanted), "doc_id", "left_semi")
     sets = cut(shingle_sets(texts, width).dropDuplicates(["doc_id"]))
     both = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -211,7 +211,7 @@ def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -
     # of a class its representative may itself give way to a smaller one
     kept = classes.select("rep").distinct().join(roots.filter("node <> root").select(F.col("node").alias("rep")), "rep", "left_anti")
     gone = rows.select("doc_id").distinct().join(kept.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti")
-    left = docs.join(cut(gone), "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(broadcast_if_small(cut(gone)), "doc_id", "left_anti").select(*docs.columns)
     n = rows.agg(F.count("*").alias("all"), F.countDistinct("doc_id").alias("ids")).first()
     if n["all"] == n["ids"]:
         return left
