@@ -11,7 +11,7 @@ def fold_repeats(df: DataFrame, key: str, order: list[str], symbol: str) -> Data
     w = Window.partitionBy(key).orderBy(*order)
     kept = df.withColumn("_before", F.lag(symbol).over(w)).withColumn("_first", F.row_number().over(w) == 1)
     kept = kept.filter(F.col("_first") | ~F.col(symbol).eqNullSafe(F.col("_before"))).drop("_before", "_first")
-    return kept.withColumn("pos", F.row_number().over(w))
+    return kept.withColumn("pos", F.row_number().over(w).cast("long"))
 
 
 def islands(df: DataFrame, key: str, order: list[str], symbol: str, start: str, end: str) -> DataFrame:
@@ -95,7 +95,7 @@ def loudest_window(df: DataFrame, key: str, order: str, amplitude: str, rows: in
 
 def density_cap(df: DataFrame, key: str, bucket: str, rank_by: list, most: int) -> DataFrame:
     w = Window.partitionBy(key, bucket).orderBy(*rank_by)
-    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+    return df.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= most)
 
 
 def local_maxima(df: DataFrame, key: str, order: list[str], value: str, reach: int, floor: float) -> DataFrame:

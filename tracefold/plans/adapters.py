@@ -29,7 +29,7 @@ def tracks(spark: SparkSession, d: str) -> DataFrame:
 def numbered(df: DataFrame, key: str = "track", order: tuple[str, ...] = ("t", "event_id")) -> DataFrame:
     from pyspark.sql import Window
 
-    return df.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    return df.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))
 
 
 def descriptors(spark: SparkSession, d: str) -> DataFrame:
