@@ -40,7 +40,7 @@ class Buckets(dict):
     """Hash of a token, kept per worker up to a limit."""
 
     def __missing__(self, token):
-        if len(self) >= 500_000:
+        if len(self) >= 150_000:
             self.clear()
         v = self[token] = zlib.crc32(token.encode())
         return v

@@ -115,7 +115,7 @@ class Weights(dict):
         self.w = w
 
     def __missing__(self, word):
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         v = self[word] = float(self.w[buckets(word)].sum())
         return v
