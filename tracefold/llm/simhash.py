@@ -92,7 +92,7 @@ def links_within_two(distinct: DataFrame, light: int = LIGHT) -> DataFrame:
     index = spread(distinct.select("fp")).select("fp", F.explode(variants(range(BITS), 32)).alias("key"))
     buckets = cut(index.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"))
     twos = buckets.filter("n = 2").select("a", "b").filter(distance("a", "b") <= 2)
-    more = cut(index.join(buckets.filter("n > 2").select("key", "n"), "key"))
+    more = cut(index.join(broadcast_if_small(buckets.filter("n > 2").select("key", "n")), "key"))
     left = more.filter(F.col("n") <= light).select("key", F.col("fp").alias("a"))
     right = more.filter(F.col("n") <= light).select(F.col("key").alias("other"), F.col("fp").alias("b"))
     pairs = left.join(right, (F.col("key") == F.col("other")) & (F.col("a") < F.col("b")) & (distance("a", "b") <= 2)).select("a", "b")
