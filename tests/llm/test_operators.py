@@ -115,6 +115,43 @@ def test_near_copies_keep_one_of_each_group(spark, docs):
     assert left.columns == ["doc_id", "text", "fp", "key"]
 
 
+def plain_near_copies(texts, width=5, similarity=0.8):
+    """Ids that give way in a brute-force search."""
+    sets = {i: set(simhash.shingle_hashes(simhash.words(t), width).tolist()) for i, t in texts}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            if len(shared := sets[a] & sets[b]) >= similarity * (len(sets[a]) + len(sets[b]) - len(shared)) - 1e-9:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i for i in ids if find(i) != i}
+
+
+@pytest.mark.parametrize("sampled, most", [(20_000, 500_000), (100, 500_000), (100, 0)])
+def test_near_copies_among_texts_that_share_a_passage(spark, monkeypatch, sampled, most):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(simhash.frequent_shingles, "__defaults__", (sampled, most))
+    passage, texts = [f"p{k}" for k in range(140)], []
+    for k in range(700):
+        own = [f"u{x}" for x in rng.integers(0, 10**9, 60)]
+        texts.append((2 * k, " ".join(passage + own)))
+        if k % 4 == 0:
+            for at in rng.choice(np.arange(5, 55, 8), 4, replace=False):
+                own[at] = f"e{rng.integers(0, 10**9)}"
+            texts.append((2 * k + 1, " ".join(passage + own)))
+    gone = plain_near_copies(texts)
+    assert 100 < len(gone) < 300
+    kept = {r[0] for r in simhash.drop_near_copies(spark.createDataFrame(texts, "doc_id long, text string")).select("doc_id").collect()}
+    assert kept == {i for i, _ in texts} - gone
+
+
 # ---- 2 ---------------------------------------------------------------------------------------------------------
 
 

@@ -13,10 +13,11 @@ on these points (at most 65 fingerprints lie around one) finds all their links i
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import broadcast_if_small, cut, map_slices, release, store, stored, table
@@ -26,8 +27,8 @@ BITS = 64
 SEED = 42
 #: Buckets up to this size are paired directly.
 LIGHT = 64
-#: Odd multipliers that give four independent orders of a shingle's hash (fixed values).
-ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+#: Documents sampled for the frequency of shingles (or every 16th, if more), and the frequent ones kept.
+SAMPLED, FREQUENT = 20_000, 500_000
 
 
 def words(text: str) -> list[bytes]:
@@ -132,81 +133,122 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 # ---- near copies by shingle similarity -----------------------------------------------------------------------
 
 
-def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """``(doc_id, same, fp, m0..m3)``: a digest of the words, the fingerprint, four min-hashes of the shingles."""
-
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     def make():
         def of(part):
-            out = {c: [] for c in ("doc_id", "same", "fp", "m0", "m1", "m2", "m3")}
-            out["doc_id"] = part.column("doc_id")
-            for text in part.column("text").to_pylist():
-                tokens = words(text)
-                h = shingle_hashes(tokens, width)
-                out["same"].append(hashlib.md5(b" ".join(tokens)).digest())
-                out["fp"].append(fingerprint(h))
-                for k, m in enumerate(ORDERS):
-                    out[f"m{k}"].append(int((h * np.uint64(m)).min().view(np.int64)) if len(h) else 0)
-            return out
+            sets = [np.unique(shingle_hashes(words(t), width)).view(np.int64) for t in part.column("text").to_pylist()]
+            return {"doc_id": part.column("doc_id"), "sh": sets}
 
         return of
 
-    work = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).filter("doc_id is not null")
-    return map_slices(work, "doc_id long, same binary, fp long, m0 long, m1 long, m2 long, m3 long", make)
+    return map_slices(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id long, sh array<long>", make)
 
 
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+def frequent_shingles(docs: DataFrame, width: int, sampled: int = SAMPLED, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (ascending) of three or more documents of a sample, and their counts; at least every 16th is read."""
+    every = max(1, min(16, docs.count() // sampled))
+    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    counts = shingle_sets(some, width).select(F.explode("sh").alias("sh")).groupBy("sh").agg(F.count("*").alias("n")).filter("n > 2")
+    found = counts.orderBy(F.desc("n"), "sh").limit(most).toArrow()
+    hashes, n = found.column("sh").to_numpy().astype(np.int64).view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def prefix(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The rarest of a set's shingles, so many that sets of the similarity share one of them.
+
+    Of ``n`` shingles such sets share ``ceil(similarity * n)`` or more, so not all of them can lie beyond the
+    first ``n - ceil(similarity * n) + 1``, in whichever order holds for all sets.
+    """
+    known, counts = frequent
+    n = np.zeros(len(hashes), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        n = np.where(known[at] == hashes, counts[at], 0)
+    keep = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1 if len(hashes) else 0
+    return hashes[np.lexsort((hashes, n))[:keep]]
+
+
+def signatures(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``(doc_id, same, fp, n, rare)``: a digest of the shingle set, the fingerprint, the set's size and its prefix."""
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, width))
+
     def make():
         def of(part):
-            sets = [np.unique(shingle_hashes(words(t), width)).view(np.int64) for t in part.column("text").to_pylist()]
-            return {"doc_id": part.column("doc_id"), "sh": sets}
+            out = {c: [] for c in ("same", "fp", "n", "rare")}
+            for text in part.column("text").to_pylist():
+                h = shingle_hashes(words(text), width)
+                own = np.unique(h)
+                out["same"].append(hashlib.md5(own.tobytes()).digest())
+                out["fp"].append(fingerprint(h))
+                out["n"].append(len(own))
+                out["rare"].append(prefix(own, frequent.value, similarity).view(np.int64))
+            return out | {"doc_id": part.column("doc_id")}
 
         return of
 
-    return map_slices(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id long, sh array<long>", make)
+    work = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).filter("doc_id is not null")
+    return map_slices(work, "doc_id long, same binary, fp long, n int, rare array<long>", make)
 
 
-def near_copy_pairs(docs: DataFrame, classes: DataFrame, width: int, similarity: float, light: int = 16, farthest: int = 22) -> DataFrame:
-    """Edges ``(a, b)`` between class representatives whose shingle sets have the given Jaccard similarity.
+def pairs_within(members: DataFrame, similarity: float, apart: str = "a < b") -> DataFrame:
+    """Pairs of a bucket that may reach the similarity by their sizes and by what follows their first common shingle."""
+    sides = [members.select(F.col("key").alias(f"key_{s}"), F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("pos").alias(f"pos_{s}"), F.col("root").alias(f"root_{s}")) for s in "ab"]
+    most = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    enough = most * F.lit(1 + similarity) >= F.lit(similarity) * (F.col("n_a") + F.col("n_b")) - F.lit(1e-6)
+    sized = F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b") - F.lit(1e-6)
+    return sides[0].join(sides[1], (F.col("key_a") == F.col("key_b")) & F.expr("a < b") & F.expr(apart) & sized & enough).select("a", "b")
 
-    For this looser link (some ten of 64 bits at a similarity of 0.8) the fingerprint is cut into eight
-    segments; an index key is a one-wildcard variant of a segment together with one of four min-hashes, two
-    segments to each, which keeps keys selective. Buckets above ``light`` are joined in a star to their
-    smallest and largest member, in linear work. Pairs within ``farthest`` bits are verified exactly.
-    """
-    keys = F.array(*(F.xxhash64(F.lit(p), F.col(f"m{p // 16}"), v) for p, v in ((p, variants(range(p, p + 1), 8)[0]) for p in range(BITS))))
-    index = spread(classes).select(F.col("rep").alias("id"), F.explode(keys).alias("key"))
-    buckets = store(index.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("n > 1"), "buckets")
-    more = store(index.join(buckets.filter("n > 2"), "key"), "members")
-    left = more.filter(F.col("n") <= light).select("key", F.col("id").alias("a"))
-    right = more.filter(F.col("n") <= light).select(F.col("key").alias("other"), F.col("id").alias("b"))
-    pairs = buckets.filter("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    pairs = pairs.unionAll(left.join(right, (F.col("key") == F.col("other")) & (F.col("a") < F.col("b"))).select("a", "b"))
-    hot = more.filter(F.col("n") > light)
-    pairs = pairs.unionAll(hot.select(F.col("lo").alias("a"), F.col("id").alias("b"))).unionAll(hot.select(F.col("id").alias("a"), F.col("hi").alias("b")))
-    fps = classes.select(F.col("rep"), "fp")
-    near = pairs.filter("a <> b").distinct().join(fps.toDF("a", "fa"), "a").join(fps.toDF("b", "fb"), "b")
+
+def verified(docs: DataFrame, fps: DataFrame, near: DataFrame, width: int, similarity: float, farthest: int) -> DataFrame:
+    """Those of the pairs ``(a, b)`` whose shingle sets have the Jaccard similarity."""
+    near = near.filter("a <> b").distinct().join(fps.toDF("a", "fa"), "a").join(fps.toDF("b", "fb"), "b")
     near = cut(near.filter(distance("fa", "fb") <= farthest).select("a", "b"))
     wanted = cut(near.select(F.col("a").alias("doc_id")).unionAll(near.select("b")).distinct())
     texts = docs.select("doc_id", "text").join(broadcast_if_small(wanted), "doc_id", "left_semi")
     sets = cut(shingle_sets(texts, width).dropDuplicates(["doc_id"]))
     both = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(shared >= F.lit(similarity - 1e-9) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    return cut(both.filter(shared >= F.lit(similarity - 1e-9) * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
+
+
+def near_copy_pairs(docs: DataFrame, sets: DataFrame, width: int, similarity: float, light: int = 16, farthest: int = 22) -> DataFrame:
+    """Edges ``(a, b)`` that connect all ``sets`` (``id, fp, n, rare``) of the given Jaccard similarity.
+
+    Sets are indexed under the shingles of their prefixes, of which two of the similarity share one; what many
+    documents share comes last in the order and so seldom into a prefix. Buckets up to ``light`` are paired. In
+    larger ones all are first paired with the smallest member; then every pair that is not yet connected.
+    """
+    index = sets.select("id", "n", F.posexplode("rare").alias("pos", "key"))
+    of = Window.partitionBy("key")
+    counted = index.withColumn("of", F.count("*").over(of)).withColumn("lo", F.min("id").over(of)).filter("of > 1")
+    members = store(counted.withColumn("root", F.col("id")), "members")
+    hot = members.filter(F.col("of") > light)
+    fps = sets.select("id", "fp")
+    near = pairs_within(members.filter(F.col("of") <= light), similarity).unionAll(hot.select(F.col("lo").alias("a"), F.col("id").alias("b")))
+    first = verified(docs, fps, near, width, similarity, farthest)
+    if hot.isEmpty():
+        return first
+    roots = cut(components(first)).select(F.col("node").alias("id"), F.col("root").alias("known"))
+    apart = hot.join(broadcast_if_small(roots), "id", "left").withColumn("root", F.coalesce("known", "id"))
+    return first.unionAll(verified(docs, fps, pairs_within(apart, similarity, "root_a <> root_b"), width, similarity, farthest))
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` (``doc_id``, ``text`` and any others) with one document of each near-copy group.
 
-    Texts of equal words are copies; texts whose sets of ``width``-word shingles have the Jaccard similarity are
-    linked; of each connected group the document of smallest id stays. Texts without words (null, empty) are
+    Texts of equal shingle sets are copies; texts whose sets of ``width``-word shingles have the Jaccard similarity
+    are linked; of each connected group the document of smallest id stays. Texts without words (null, empty) are
     copies of each other. Rows with a null id take no part and stay. Rows that repeat an id are one document
     and one of them stays. An empty table stays empty; all columns are kept.
     """
-    rows = cut(signatures(docs, width))
-    same = rows.groupBy("same").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), *(F.min(f"m{k}").alias(f"m{k}") for k in range(4)))
-    classes = cut(same)
+    rows = cut(signatures(docs, width, similarity))
+    classes = cut(rows.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")))
+    several = cut(classes.filter("rows > 1").select("same", "rep"))
+    sets = rows.join(broadcast_if_small(several), "same", "left").filter("rep is null or rep = doc_id").withColumnRenamed("doc_id", "id")
     mark = stored()
-    roots = cut(components(near_copy_pairs(docs, classes, width, similarity)))
+    roots = cut(components(near_copy_pairs(docs, sets, width, similarity)))
     release(mark)
     # of a class its representative may itself give way to a smaller one
     kept = classes.select("rep").distinct().join(roots.filter("node <> root").select(F.col("node").alias("rep")), "rep", "left_anti")
