@@ -152,6 +152,17 @@ def test_near_copies_among_texts_that_share_a_passage(spark, monkeypatch, sample
     assert kept == {i for i, _ in texts} - gone
 
 
+def test_near_copies_that_repeat_a_passage(spark):
+    rng = np.random.default_rng(9)
+    texts = []
+    for k in range(60):
+        own, passage = ([f"u{x}" for x in rng.integers(0, 10**9, n)] for n in (200, 50))
+        texts += [(2 * k, " ".join(own + passage)), (2 * k + 1, " ".join(own + passage * 20))]
+    gone = plain_near_copies(texts)
+    assert gone == {2 * k + 1 for k in range(60)}
+    assert {r[0] for r in simhash.drop_near_copies(spark.createDataFrame(texts, "doc_id long, text string")).select("doc_id").collect()} == {i for i, _ in texts} - gone
+
+
 # ---- 2 ---------------------------------------------------------------------------------------------------------
 
 

@@ -171,17 +171,15 @@ def prefix(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similari
 
 
 def signatures(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """``(doc_id, same, fp, n, rare)``: a digest of the shingle set, the fingerprint, the set's size and its prefix."""
+    """``(doc_id, same, n, rare)``: a digest of the shingle set, its size and its prefix."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, width))
 
     def make():
         def of(part):
-            out = {c: [] for c in ("same", "fp", "n", "rare")}
+            out = {c: [] for c in ("same", "n", "rare")}
             for text in part.column("text").to_pylist():
-                h = shingle_hashes(words(text), width)
-                own = np.unique(h)
+                own = np.unique(shingle_hashes(words(text), width))
                 out["same"].append(hashlib.md5(own.tobytes()).digest())
-                out["fp"].append(fingerprint(h))
                 out["n"].append(len(own))
                 out["rare"].append(prefix(own, frequent.value, similarity).view(np.int64))
             return out | {"doc_id": part.column("doc_id")}
@@ -189,7 +187,7 @@ def signatures(docs: DataFrame, width: int, similarity: float) -> DataFrame:
         return of
 
     work = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).filter("doc_id is not null")
-    return map_slices(work, "doc_id long, same binary, fp long, n int, rare array<long>", make)
+    return map_slices(work, "doc_id long, same binary, n int, rare array<long>", make)
 
 
 def pairs_within(members: DataFrame, similarity: float, apart: str = "a < b") -> DataFrame:
@@ -201,10 +199,9 @@ def pairs_within(members: DataFrame, similarity: float, apart: str = "a < b") ->
     return sides[0].join(sides[1], (F.col("key_a") == F.col("key_b")) & F.expr("a < b") & F.expr(apart) & sized & enough).select("a", "b")
 
 
-def verified(docs: DataFrame, fps: DataFrame, near: DataFrame, width: int, similarity: float, farthest: int) -> DataFrame:
+def verified(docs: DataFrame, near: DataFrame, width: int, similarity: float) -> DataFrame:
     """Those of the pairs ``(a, b)`` whose shingle sets have the Jaccard similarity."""
-    near = near.filter("a <> b").distinct().join(fps.toDF("a", "fa"), "a").join(fps.toDF("b", "fb"), "b")
-    near = cut(near.filter(distance("fa", "fb") <= farthest).select("a", "b"))
+    near = cut(near.filter("a <> b").distinct())
     wanted = cut(near.select(F.col("a").alias("doc_id")).unionAll(near.select("b")).distinct())
     texts = docs.select("doc_id", "text").join(broadcast_if_small(wanted), "doc_id", "left_semi")
     sets = cut(shingle_sets(texts, width).dropDuplicates(["doc_id"]))
@@ -213,8 +210,8 @@ def verified(docs: DataFrame, fps: DataFrame, near: DataFrame, width: int, simil
     return cut(both.filter(shared >= F.lit(similarity - 1e-9) * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
 
 
-def near_copy_pairs(docs: DataFrame, sets: DataFrame, width: int, similarity: float, light: int = 16, farthest: int = 22) -> DataFrame:
-    """Edges ``(a, b)`` that connect all ``sets`` (``id, fp, n, rare``) of the given Jaccard similarity.
+def near_copy_pairs(docs: DataFrame, sets: DataFrame, width: int, similarity: float, light: int = 16) -> DataFrame:
+    """Edges ``(a, b)`` that connect all ``sets`` (``id, n, rare``) of the given Jaccard similarity.
 
     Sets are indexed under the shingles of their prefixes, of which two of the similarity share one; what many
     documents share comes last in the order and so seldom into a prefix. Buckets up to ``light`` are paired. In
@@ -225,14 +222,13 @@ def near_copy_pairs(docs: DataFrame, sets: DataFrame, width: int, similarity: fl
     counted = index.withColumn("of", F.count("*").over(of)).withColumn("lo", F.min("id").over(of)).filter("of > 1")
     members = store(counted.withColumn("root", F.col("id")), "members")
     hot = members.filter(F.col("of") > light)
-    fps = sets.select("id", "fp")
     near = pairs_within(members.filter(F.col("of") <= light), similarity).unionAll(hot.select(F.col("lo").alias("a"), F.col("id").alias("b")))
-    first = verified(docs, fps, near, width, similarity, farthest)
+    first = verified(docs, near, width, similarity)
     if hot.isEmpty():
         return first
     roots = cut(components(first)).select(F.col("node").alias("id"), F.col("root").alias("known"))
     apart = hot.join(broadcast_if_small(roots), "id", "left").withColumn("root", F.coalesce("known", "id"))
-    return first.unionAll(verified(docs, fps, pairs_within(apart, similarity, "root_a <> root_b"), width, similarity, farthest))
+    return first.unionAll(verified(docs, pairs_within(apart, similarity, "root_a <> root_b"), width, similarity))
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
