@@ -335,6 +335,19 @@ def test_disclosing_words_are_found_and_common_ones_left(spark):
     assert clean[100]["text"] is None and clean[101]["text"] == "" and "somebody" in clean[12]["text"]
 
 
+def test_disclosing_words_far_from_their_entity(spark):
+    far = lambda k: " ".join(f"filler{'abcdefghij'[j]}{'klmnop'[k]}" for j in range(10)) + " word" * 40
+    texts = [(k, f"Zanzibarius asked. {far(k)} mail bob@corp.example.com now. {far(k)} and so zanzibarius left") for k in range(6)]
+    texts += [(10 + k, f"somebody asked. {far(k % 6)} mail u{k}@corp.example.com now and so left") for k in range(60)]
+    texts.append((80, "zanzibarius without a mail"))
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in texts], "doc_id long, text string, n_chars long")
+    assert {(r["entity"], r["term"]) for r in pii.disclosing_pairs(docs).collect()} == {("email:bob@corp.example.com", "zanzibarius")}
+    spans = {r["doc_id"]: r["spans"] for r in rows(pii.find_pii(docs))}
+    assert all(spans[k].count("term:") == 2 for k in range(6)) and "term:" not in spans[10] + spans[80]
+    clean = {r["doc_id"]: r["text"] for r in rows(pii.sanitise_documents(docs))}
+    assert all(clean[k].startswith("[TERM] asked") and clean[k].endswith("so [TERM] left") for k in range(6)) and clean[80] == texts[-1][1]
+
+
 def test_pii_on_hard_rows(docs):
     got = rows(pii.find_pii(docs))
     assert len(got) == len(TEXTS) and all(r["base"] == r["spans"] == "" for r in got)

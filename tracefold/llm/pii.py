@@ -1,22 +1,24 @@
 """Personal data: patterns, and information-theoretic sanitisation of what gives their owners away.
 
 Patterns find e-mail and IP addresses, card and phone numbers. Each value found is a protected entity. A word
-near an entity reveals it as far as the corpus ties them together: with document counts n(e, t), n(e), n(t) of N
-documents, the word tells PMI(e; t) = log2(N n(e, t) / (n(e) n(t))) of the log2(N / n(e)) bits that identify the
-entity. A word that tells at least the share ``disclosure`` and stands by the entity in ``support`` or more
-different surroundings (copies of a text count once) is a span of kind ``term``.
-
-Three passes over the texts, none of which moves a text: surroundings of the entities, document counts of the
-words in question, marking. Pairs are counted by one aggregation; disclosing pairs are broadcast in blocks of
-bounded size, so more of them take more steps and not more memory.
+of a document that holds an entity reveals it as far as the corpus ties them together: with document counts
+n(e, t), n(e), n(t) of N documents, the word tells PMI(e; t) = log2(N n(e, t) / (n(e) n(t))) of the
+log2(N / n(e)) bits that identify the entity. A word that tells at least the share ``disclosure`` and shares
+``support`` or more different texts with the entity (copies of a text count once) is a span of kind ``term``
+wherever it stands in a document that holds the entity.
+
+Four passes over the texts, none of which moves a text: entities, words of the texts that hold entities of
+enough texts, document counts of the words in question, marking. Disclosing pairs are broadcast in blocks.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,9 +34,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\W\d_]{2,}")
-#: Words on either side of an entity that count as its surroundings, and the characters searched for them.
-REACH_WORDS, REACH_CHARS = 6, 160
-#: A word tells on an entity from this share of its bits, in at least so many different surroundings.
+#: A word tells on an entity from this share of its bits, in at least so many different texts.
 DISCLOSURE, SUPPORT = 0.8, 3
 #: Candidate words, and disclosing pairs, in one broadcast.
 BLOCK = 200_000
@@ -82,31 +82,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def surroundings(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """For each span its entity and the words around it, ``(word, start, end)``, none inside a span."""
-    out = []
-    covered = sorted((a, b) for _, a, b in spans)
-    for kind, a, b in spans:
-        low = max(0, a - REACH_CHARS)
-        while low and low < a and text[low - 1].isalpha():
-            low += 1  # no parts of words
-        before = [(m.group().lower(), *m.span()) for m in _WORD.finditer(text, low, a)][-REACH_WORDS:]
-        high = min(len(text), b + REACH_CHARS)
-        while b < high < len(text) and text[high - 1].isalpha():
-            high -= 1
-        after = []
-        for m in _WORD.finditer(text, b, high):
-            after.append((m.group().lower(), *m.span()))
-            if len(after) == REACH_WORDS:
-                break
-        clear = [w for w in before + after if not any(s < w[2] and w[1] < e for s, e in covered if s < w[2] and e > w[1])]
-        out.append((f"{KINDS[kind]}:{text[a:b].lower()}", clear))
-    return out
+def entities(text: str, spans: list[tuple[int, int, int]]) -> set[str]:
+    return {f"{KINDS[kind]}:{text[a:b].lower()}" for kind, a, b in spans}
+
+
+def clear_words(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """The words of the text, ``(word, start, end)``, none that overlaps a span."""
+    covered, at, until = sorted((a, b) for _, a, b in spans), 0, 0
+    for m in _WORD.finditer(text):
+        a, b = m.span()
+        while at < len(covered) and covered[at][0] < b:
+            until = max(until, covered[at][1])
+            at += 1
+        if until <= a:
+            yield m.group().lower(), a, b
 
 
-def near_pairs(docs: DataFrame) -> DataFrame:
-    """``(entity, term, place)``: each word around an entity once per text; ``place`` is a hash of the surroundings."""
-    import zlib
+def pairs_of(docs: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """``(entity, term, place)``: the words of each text with each of its entities; ``place`` is a hash of the text.
+
+    Without ``of`` the entities alone, with an empty term; with it only entities of that table.
+    """
+    wanted = None
+    if of is not None:
+        few = of.select("entity").limit(BLOCK + 1).toArrow().column("entity").to_pylist()
+        # beyond that many the join below sorts them out
+        wanted = docs.sparkSession.sparkContext.broadcast(frozenset(few) if len(few) <= BLOCK else None)
 
     def run(batches):
         for batch in batches:
@@ -114,16 +115,22 @@ def near_pairs(docs: DataFrame) -> DataFrame:
                 rows = []
                 for text in part.column("text").to_pylist():
                     if spans := base_spans(text):
-                        own = {}
-                        for entity, near in surroundings(text, spans):
-                            place = zlib.crc32(" ".join(w for w, _, _ in near).encode())
-                            own.setdefault((entity, ""), place)
-                            for w, _, _ in near:
-                                own.setdefault((entity, w), place)
-                        rows += [(e, w, p) for (e, w), p in own.items()]
+                        own = entities(text, spans)
+                        if wanted is not None and wanted.value is not None:
+                            own &= wanted.value
+                        place = xxhash.xxh64_intdigest(text.encode()) >> 1
+                        terms = [""] if wanted is None else {w for w, _, _ in clear_words(text, spans)} if own else ()
+                        rows += [(e, w, place) for e in own for w in terms]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["entity", "term", "place"])
 
-    return docs.select("text").mapInArrow(run, "entity string, term string, place long")
+    found = docs.select("text").mapInArrow(run, "entity string, term string, place long")
+    return found if of is None or len(few) <= BLOCK else found.join(of.select("entity"), "entity", "left_semi")
+
+
+def counted(pairs: DataFrame) -> DataFrame:
+    """``(entity, term, n, places)``: the texts that hold both, and the different ones among them."""
+    by_place = pairs.groupBy("entity", "term", "place").agg(F.count("*").alias("n"))
+    return by_place.groupBy("entity", "term").agg(F.sum("n").alias("n"), F.count("*").alias("places"))
 
 
 def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -142,7 +149,7 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
             for batch in batches:
                 for part in slices(batch):
                     for text in part.column("text").to_pylist():
-                        counts.update(of.intersection(_WORD.findall(text.lower())))
+                        counts.update(of.intersection({m.lower() for m in _WORD.findall(text)}))
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
 
         parts.append(docs.select("text").mapInArrow(run, "term string, n long"))
@@ -157,13 +164,13 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def disclosing_pairs(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """``(entity, term, told)``: the words that tell at least the share ``disclosure`` of an entity's bits."""
     n = docs.count()
-    by_place = near_pairs(docs).groupBy("entity", "term", "place").agg(F.count("*").alias("n"))
-    pairs = cut(by_place.groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("places")))
-    entities = pairs.filter("term = ''").select("entity", F.col("n_et").alias("n_e"))
-    often = pairs.filter((F.col("term") != "") & (F.col("n_et") >= support) & (F.col("places") >= support)).select("entity", "term", "n_et")
+    # only entities of enough texts can have words that tell on them
+    held = cut(counted(pairs_of(docs)).filter((F.col("n") < n) & (F.col("n") >= support) & (F.col("places") >= support)).select("entity", F.col("n").alias("n_e")))
+    pairs = counted(pairs_of(docs, held)).filter((F.col("n") >= support) & (F.col("places") >= support))
+    often = cut(pairs.select("entity", "term", F.col("n").alias("n_et")))
     counts = document_counts(docs, often.select("term").distinct())
     told = F.log2(F.col("n_et") * F.lit(float(n)) / F.col("n_e") / F.greatest("n_t", "n_et")) / F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))
-    return cut(often.join(entities, "entity").join(counts, "term").filter(F.col("n_e") < n).withColumn("told", told).filter(F.col("told") >= disclosure).select("entity", "term", "told"))
+    return cut(often.join(held, "entity").join(counts, "term").withColumn("told", told).filter(F.col("told") >= disclosure).select("entity", "term", "told"))
 
 
 def blocks_of(pairs: DataFrame) -> list:
@@ -180,10 +187,11 @@ def blocks_of(pairs: DataFrame) -> list:
 
 
 def term_spans(text: str, base: list[tuple[int, int, int]], told: dict[str, set[str]]) -> list[tuple[int, int, int]]:
-    """Spans of the disclosing words around the text's entities, each word once."""
+    """Spans of every occurrence of the words that disclose the text's entities, in order."""
     if not told or not base:
         return []
-    return sorted({(4, a, b) for entity, near in surroundings(text, base) if (of := told.get(entity)) for w, a, b in near if w in of})
+    of = set().union(*(told.get(e, ()) for e in entities(text, base)))
+    return [(4, a, b) for w, a, b in clear_words(text, base) if w in of] if of else []
 
 
 def digest(spans) -> str:
@@ -194,7 +202,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     """One row per input row: ``doc_id, n_email, n_ip, n_card, n_phone, base, spans`` (``kind:start:end`` joined by commas).
 
     ``base`` holds the pattern spans, ``spans`` also those of disclosing terms, by kind, then start. A null or
-    empty text has none; a null id stays null; repeated rows are searched each and count as one surrounding;
+    empty text has none; a null id stays null; repeated rows are searched each and count as one text;
     texts of any length are searched whole; an empty table gives no rows; other columns are ignored.
     """
     work = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
