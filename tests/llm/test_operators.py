@@ -450,6 +450,27 @@ def test_neighbours_equal_brute_force(spark):
     assert 0 < near <= len(got)
 
 
+@pytest.mark.parametrize("times", [1, 2, 40])
+def test_neighbours_among_repeated_rows(spark, times):
+    rng = np.random.default_rng(10)
+    v = rng.normal(size=(300, 8))
+    near = {q: np.argsort(-(v @ v[q]) / np.linalg.norm(v, axis=1))[1:4] for q in range(0, 300, 50)}
+    rows_ = [(k, x.tolist()) for k, x in enumerate(v)] * min(times, 2) + [(int(k), v[k].tolist()) for of in near.values() for k in of for _ in range(times - 1)]
+    rows_ += [(int(of[0]), (-v[of[0]]).tolist()) for of in near.values()]  # the same id, farther off
+    best = {}
+    for q in near:
+        for k, x in rows_:
+            if k != q:
+                s = max(float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y)) for i, y in rows_ if i == q)
+                best[q, k] = max(best.get((q, k), -2), s)
+    got = neighbours.nearest_neighbours(spark.createDataFrame(rows_, "vec_id long, embedding array<double>"), window=8).collect()
+    for q in near:
+        want = sorted((-s, k) for (x, k), s in best.items() if x == q)[:5]
+        own = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        assert [x[:2] for x in own] == [(j + 1, k) for j, (_, k) in enumerate(want)]
+        assert [x[2] for x in own] == pytest.approx([-s for s, _ in want], abs=1e-12)
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in neighbours.nearest_neighbours(df).collect()] == [(0, 1, 1)]

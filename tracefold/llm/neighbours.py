@@ -89,10 +89,11 @@ def cosines(rows: np.ndarray, norms: np.ndarray, query: np.ndarray, norm: float)
 
 
 def nearest(ids: np.ndarray, rows: np.ndarray, norms: np.ndarray, query_id: int, query: np.ndarray, norm: float, k: int):
-    """The ``k`` nearest of the rows, ties to smaller ids."""
+    """The ``k`` nearest ids of the rows, each by its nearest row, ties to smaller ids."""
     score = cosines(rows, norms, query, norm)
     order = np.lexsort((ids, -score))
-    order = order[ids[order] != query_id][:k]
+    order = order[ids[order] != query_id]
+    order = order[np.sort(np.unique(ids[order], return_index=True)[1])][:k]
     return ids[order], score[order]
 
 
@@ -166,9 +167,13 @@ def checked(chunks: DataFrame, size: int, queries: list, k: int) -> DataFrame:
                     near = unit_q[some] @ unit.T
                     for i, line in zip(some, near, strict=True):
                         hit = np.nonzero(line >= bound[i] - SLACK)[0]
-                        if len(hit) > 4 * k + 4:  # all that can tie with the chunk's k-th best (and the query itself)
-                            least = np.partition(line[hit], len(hit) - k - 1)[len(hit) - k - 1]
-                            hit = hit[line[hit] >= least - SLACK]
+                        if len(hit) > 4 * k + 4:  # all that can tie with the chunk's k-th best id
+                            hit = hit[vid[hit] != qid[i]]
+                            own, at = np.unique(vid[hit], return_inverse=True)
+                            if len(own) > k:
+                                top = np.full(len(own), -np.inf)
+                                np.maximum.at(top, at, line[hit])
+                                hit = hit[line[hit] >= np.partition(top, len(own) - k)[len(own) - k] - SLACK]
                         if len(hit):
                             found, score = nearest(vid[hit], v[hit], norms[hit], qid[i], q[i], qnorm[i], k)
                             out += [(int(qid[i]), int(x), float(s)) for x, s in zip(found, score, strict=True)]
