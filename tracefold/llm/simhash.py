@@ -200,14 +200,23 @@ def pairs_within(members: DataFrame, similarity: float, apart: str = "a < b") ->
 
 
 def verified(docs: DataFrame, near: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those of the pairs ``(a, b)`` whose shingle sets have the Jaccard similarity."""
+    """Those of the pairs ``(a, b)`` whose shingle sets have the Jaccard similarity; texts are shuffled, as they
+    compress and sets of hashes do not."""
     near = cut(near.filter("a <> b").distinct())
     wanted = cut(near.select(F.col("a").alias("doc_id")).unionAll(near.select("b")).distinct())
-    texts = docs.select("doc_id", "text").join(broadcast_if_small(wanted), "doc_id", "left_semi")
-    sets = cut(shingle_sets(texts, width).dropDuplicates(["doc_id"]))
-    both = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return cut(both.filter(shared >= F.lit(similarity - 1e-9) * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
+    texts = store(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(broadcast_if_small(wanted), "doc_id", "left_semi"), "texts")
+
+    def make():
+        def of(part):
+            left, right = part.column("ta").to_pylist(), part.column("tb").to_pylist()
+            sets = {t: np.unique(shingle_hashes(words(t), width)) for t in {*left, *right}}
+            sizes = [(len(sets[x]), len(sets[y]), len(np.intersect1d(sets[x], sets[y], assume_unique=True))) for x, y in zip(left, right, strict=True)]
+            return {"a": part.column("a"), "b": part.column("b"), "near": [n >= (similarity - 1e-9) * (x + y - n) for x, y, n in sizes]}
+
+        return of
+
+    both = near.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
+    return cut(map_slices(both, "a long, b long, near boolean", make).filter("near").select("a", "b"))
 
 
 def near_copy_pairs(docs: DataFrame, sets: DataFrame, width: int, similarity: float, light: int = 16) -> DataFrame:
