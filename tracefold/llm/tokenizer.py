@@ -70,6 +70,10 @@ class CachedEncoder:
         letters = _ranges(c for c in self.agreed if re.match(r"[^\W\d_]", c))
         marks = _ranges(c for c in self.agreed if re.match(r"[^\s\w]|_", c))
         self.pattern = re.compile(self.pattern.pattern.replace("(?:[^\\s\\w]+|_+)+", f"[{marks}]+").replace("[^\\W\\d_]", f"[{letters}]"))
+        # so pieces cover every text of agreed characters, but for white space where words are cut
+        lost = [c for c in self.agreed for x in (c.lower() if self.lower else c) if not (x.isspace() or self.pattern.fullmatch(x))]
+        if lost:
+            raise ValueError(f"characters that the pre-token pattern would lose: {lost}")
 
     def _agreed(self) -> frozenset[str]:
         """Characters on which the pattern above and the library's own pre-tokenizer cut alike."""
@@ -77,7 +81,7 @@ class CachedEncoder:
         normal, cut = self.library.normalizer, self.library.pre_tokenizer.pre_tokenize_str
         good = []
         for c in (chr(i) for span in spans for i in span):
-            if self.lower and not c.isspace() and normal.normalize_str(f"a{c}") != f"a{c}".lower():
+            if self.lower and not c.isspace() and any(normal.normalize_str(t) != t.lower() for t in (f"a{c}", f"{c}a", f"a{c}a")):
                 continue
             for t in _TEMPLATES:
                 text = t.format(c)
@@ -87,7 +91,11 @@ class CachedEncoder:
                     break
             else:
                 good.append(c)
-        return frozenset(good)
+        # the pattern meets what a character becomes in lower case, so that must be agreed too
+        found = frozenset(good)
+        while self.lower and (out := {c for c in found if not found.issuperset(c.lower())}):
+            found -= out
+        return found
 
     def pretokens(self, text: str) -> list[str] | None:
         """Pre-tokens of the text, or None where only the library may cut it."""
