@@ -23,7 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where a session has none (tests on one machine) a temporary folder is made and set.
+    Only a session on one machine (a local master, as in tests) may lack it and gets a temporary folder; on a
+    cluster such a folder would be the driver's alone, so its absence is an error there.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -32,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="tracefold-checkpoint-")
         atexit.register(shutil.rmtree, own, True)
         sc.setCheckpointDir(f"file://{own}")
@@ -39,13 +42,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Computes ``df`` once into the shared folder; Spark removes the files when nothing refers to them."""
+    """Computes ``df`` once into the shared folder. With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark
+    removes the files when nothing refers to them; else they go with the folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 1 << 20) -> DataFrame:
-    """A computed table of ids, broadcast if it has few enough rows (8 MB of longs), else left to a shuffle join."""
+#: Rows of ids (8 MB a column of longs) that are broadcast.
+FEW_ROWS = 1 << 20
+
+
+def broadcast_if_small(df: DataFrame, rows: int = FEW_ROWS) -> DataFrame:
+    """A computed table of ids, broadcast if it has few enough rows, else left to a shuffle join."""
     return F.broadcast(df) if df.count() <= rows else df
 
 
@@ -53,29 +61,37 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tracefold/{name}-{uuid.uuid4().hex}"
 
 
-_FOLDERS: list[tuple[SparkSession, str]] = []
+class Scratch:
+    """Parquet tables of one computation in the shared folder, removed together by ``release``.
+
+    An operator that is given none makes its own and removes what its result does not read; what it reads stays.
+    A caller who wants that removed too passes a ``Scratch`` and releases it once the result is written.
+    """
 
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders = spark, []
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it back; ``release`` removes the files."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    _FOLDERS.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    def folder(self, name: str) -> str:
+        self.folders.append(new_folder(self.spark, name))
+        return self.folders[-1]
 
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written and read back."""
+        path = self.folder(name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
-def stored() -> int:
-    """A mark for ``release``: folders stored from now on."""
-    return len(_FOLDERS)
+    def release(self) -> None:
+        while self.folders:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(self.folders.pop())
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(since: int = 0, until: int | None = None) -> None:
-    """Deletes the folders of ``store``, or those between two marks; call it when what was built on them is written."""
-    for spark, path in _FOLDERS[since:until]:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    del _FOLDERS[since:until]
+def salted(many: DataFrame, few: DataFrame, key: str, by: str, salts: int = 64) -> DataFrame:
+    """The equi-join of ``many`` with ``few`` (one row a key, so ``salts`` copies of it), however many rows share a key."""
+    left = many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [key, "_salt"]).drop("_salt")
 
 
 def id_bucket(id_col: str, modulus: int):

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import broadcast_if_small, cut, map_slices, release, store, stored, table
+from ._common import FEW_ROWS, Scratch, broadcast_if_small, cut, map_slices, salted, table
 from ._components import components
 
 BITS = 64
@@ -111,7 +111,7 @@ def _hot_links(rows: DataFrame) -> DataFrame:
     return around.filter(F.size("fps") > 1).select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a <> b")
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, light: int = LIGHT) -> DataFrame:
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, light: int = LIGHT, few: int = FEW_ROWS) -> DataFrame:
     """One row per input row: ``doc_id, fingerprint, component_id``.
 
     Fingerprints at a distance of 2 or less are linked; ``component_id`` is the smallest id reachable. Texts
@@ -122,8 +122,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = cut(fingerprints(docs, id_col, text_col, width))
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = cut(components(links_within_two(distinct, light)).withColumnRenamed("node", "fp"))
-    named = distinct.join(roots, "fp").groupBy("root").agg(F.min("least").alias("named"))
-    linked = roots.join(named, "root").select("fp", "named")
+    named = cut(distinct.join(roots, "fp").groupBy("root").agg(F.min("least").alias("named")))
+    # one component may hold most fingerprints, so its root is a hot key
+    linked = (roots.join(F.broadcast(named), "root") if named.count() <= few else salted(roots, named, "root", "fp")).select("fp", "named")
     classes = distinct.join(linked, "fp", "left").select("fp", F.coalesce("named", "least").alias("component_id"))
     # an exchange of its own on either side lets Spark split a fingerprint that many rows share
     classes = spread(classes)
@@ -171,15 +172,16 @@ def prefix(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similari
 
 
 def signatures(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """``(doc_id, same, n, rare)``: a digest of the shingle set, its size and its prefix."""
+    """``(doc_id, same, fp, n, rare)``: a digest of the shingle set, its SimHash, its size and its prefix."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, width))
 
     def make():
         def of(part):
-            out = {c: [] for c in ("same", "n", "rare")}
+            out = {c: [] for c in ("same", "fp", "n", "rare")}
             for text in part.column("text").to_pylist():
                 own = np.unique(shingle_hashes(words(text), width))
                 out["same"].append(hashlib.md5(own.tobytes()).digest())
+                out["fp"].append(fingerprint(own))
                 out["n"].append(len(own))
                 out["rare"].append(prefix(own, frequent.value, similarity).view(np.int64))
             return out | {"doc_id": part.column("doc_id")}
@@ -187,7 +189,7 @@ def signatures(docs: DataFrame, width: int, similarity: float) -> DataFrame:
         return of
 
     work = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).filter("doc_id is not null")
-    return map_slices(work, "doc_id long, same binary, n int, rare array<long>", make)
+    return map_slices(work, "doc_id long, same binary, fp long, n int, rare array<long>", make)
 
 
 def pairs_within(members: DataFrame, similarity: float, apart: str = "a < b") -> DataFrame:
@@ -199,12 +201,12 @@ def pairs_within(members: DataFrame, similarity: float, apart: str = "a < b") ->
     return sides[0].join(sides[1], (F.col("key_a") == F.col("key_b")) & F.expr("a < b") & F.expr(apart) & sized & enough).select("a", "b")
 
 
-def verified(docs: DataFrame, near: DataFrame, width: int, similarity: float) -> DataFrame:
+def verified(docs: DataFrame, near: DataFrame, width: int, similarity: float, scratch: Scratch) -> DataFrame:
     """Those of the pairs ``(a, b)`` whose shingle sets have the Jaccard similarity; texts are shuffled, as they
     compress and sets of hashes do not."""
     near = cut(near.filter("a <> b").distinct())
     wanted = cut(near.select(F.col("a").alias("doc_id")).unionAll(near.select("b")).distinct())
-    texts = store(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(broadcast_if_small(wanted), "doc_id", "left_semi"), "texts")
+    texts = scratch.store(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(broadcast_if_small(wanted), "doc_id", "left_semi"), "texts")
 
     def make():
         def of(part):
@@ -219,25 +221,42 @@ def verified(docs: DataFrame, near: DataFrame, width: int, similarity: float) ->
     return cut(map_slices(both, "a long, b long, near boolean", make).filter("near").select("a", "b"))
 
 
+def simhash_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of ids that connect all ``sets`` (``id, fp``) whose fingerprints differ by two bits or less."""
+    first = cut(sets.groupBy("fp").agg(F.min("id").alias("first")))
+    links = links_within_two(first)
+    across = links.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return across.unionAll(sets.join(first, "fp").filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")))
+
+
+def rooted(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """``rows`` (``id``) with the ``root`` of the id among the edges, itself where it has none."""
+    roots = cut(components(edges)).select(F.col("node").alias("id"), F.col("root").alias("_known"))
+    return rows.drop("root").join(broadcast_if_small(roots), "id", "left").withColumn("root", F.coalesce("_known", "id")).drop("_known")
+
+
 def near_copy_pairs(docs: DataFrame, sets: DataFrame, width: int, similarity: float, light: int = 16) -> DataFrame:
-    """Edges ``(a, b)`` that connect all ``sets`` (``id, n, rare``) of the given Jaccard similarity.
+    """Edges ``(a, b)`` that connect all ``sets`` (``id, fp, n, rare``) of the given Jaccard similarity.
 
-    Sets are indexed under the shingles of their prefixes, of which two of the similarity share one; what many
-    documents share comes last in the order and so seldom into a prefix. Buckets up to ``light`` are paired. In
-    larger ones all are first paired with the smallest member; then every pair that is not yet connected.
+    SimHash first: pairs at two bits or less, from the deletion-variant index, are verified and contracted. It
+    misses near copies whose fingerprints lie farther apart, so an exact search over what is not yet connected
+    follows. Sets are indexed under the shingles of their prefixes, of which two of the similarity share one; what
+    many documents share comes last in the order and so seldom into a prefix. Buckets up to ``light`` are paired.
+    In larger ones all are first paired with the smallest member; then every pair that is not yet connected.
     """
-    index = sets.select("id", "n", F.posexplode("rare").alias("pos", "key"))
+    scratch = Scratch(docs.sparkSession)
+    found = verified(docs, simhash_pairs(sets), width, similarity, scratch)
+    index = rooted(sets.select("id", "n", "rare"), found).select("id", "n", "root", F.posexplode("rare").alias("pos", "key"))
     of = Window.partitionBy("key")
-    counted = index.withColumn("of", F.count("*").over(of)).withColumn("lo", F.min("id").over(of)).filter("of > 1")
-    members = store(counted.withColumn("root", F.col("id")), "members")
+    counted = index.withColumn("of", F.count("*").over(of)).withColumn("lo", F.min(F.struct("id", "root")).over(of))
+    members = scratch.store(counted.filter("of > 1").select("key", "id", "n", "pos", "root", "of", F.col("lo.id").alias("lo"), (F.col("lo.root") != F.col("root")).alias("new")), "members")
     hot = members.filter(F.col("of") > light)
-    near = pairs_within(members.filter(F.col("of") <= light), similarity).unionAll(hot.select(F.col("lo").alias("a"), F.col("id").alias("b")))
-    first = verified(docs, near, width, similarity)
-    if hot.isEmpty():
-        return first
-    roots = cut(components(first)).select(F.col("node").alias("id"), F.col("root").alias("known"))
-    apart = hot.join(broadcast_if_small(roots), "id", "left").withColumn("root", F.coalesce("known", "id"))
-    return first.unionAll(verified(docs, pairs_within(apart, similarity, "root_a <> root_b"), width, similarity))
+    near = pairs_within(members.filter(F.col("of") <= light), similarity, "root_a <> root_b").unionAll(hot.filter("new").select(F.col("lo").alias("a"), F.col("id").alias("b")))
+    found = found.unionAll(verified(docs, near, width, similarity, scratch))
+    if not hot.isEmpty():
+        found = found.unionAll(verified(docs, pairs_within(rooted(hot, found), similarity, "root_a <> root_b"), width, similarity, scratch))
+    scratch.release()
+    return found
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -246,15 +265,13 @@ def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -
     Texts of equal shingle sets are copies; texts whose sets of ``width``-word shingles have the Jaccard similarity
     are linked; of each connected group the document of smallest id stays. Texts without words (null, empty) are
     copies of each other. Rows with a null id take no part and stay. Rows that repeat an id are one document
-    and one of them stays. An empty table stays empty; all columns are kept.
+    and one of them stays. Texts of any length are read whole. An empty table stays empty; all columns are kept.
     """
     rows = cut(signatures(docs, width, similarity))
     classes = cut(rows.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")))
     several = cut(classes.filter("rows > 1").select("same", "rep"))
     sets = rows.join(broadcast_if_small(several), "same", "left").filter("rep is null or rep = doc_id").withColumnRenamed("doc_id", "id")
-    mark = stored()
     roots = cut(components(near_copy_pairs(docs, sets, width, similarity)))
-    release(mark)
     # of a class its representative may itself give way to a smaller one
     kept = classes.select("rep").distinct().join(roots.filter("node <> root").select(F.col("node").alias("rep")), "rep", "left_anti")
     gone = rows.select("doc_id").distinct().join(kept.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti")
