@@ -4,11 +4,12 @@ Vectors are projected to a few random orthogonal directions. Several Hilbert ord
 of its own directions and shift, are range-partitioned in Spark; a query's candidates on a curve are the
 ``window`` vectors before and after it, and the windows of all curves are merged and reranked by exact cosine.
 
-That gives each query five neighbours and so a bound: no true neighbour is less near than the worst of them. An
-exact check follows: vectors stored along the first curve form compact chunks, and a chunk is searched only for
-queries to which its cone (centre and half-angle) can hold something nearer than the bound. Queries are
-broadcast in blocks of bounded size. Where vectors have structure most chunks fall away; where they have none
-(independent directions in 64 dimensions) windows find little and the check does the work, so recall is 1.
+That gives each query five neighbours and so a bound: no true neighbour is less near than the worst of them. Where
+the curves keep neighbours together (vectors of low intrinsic dimension) little is left to do; where vectors are
+independent directions no curve does, so the windows are then widened as far as the bound asks: the first curve is
+cut into stretches, each within a cone (centre and half-angle), and a query is sent, by an equi-join on the
+stretch, to those whose cone can hold something nearer than its bound. Chunks of a stretch and blocks of queries
+are rows of bounded size, so no task holds more than one of each, and nothing of either passes through the driver.
 """
 
 from __future__ import annotations
@@ -17,15 +18,18 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, store, table
+from ._common import Scratch, cut, slices, table
 
 CURVES, DIMS, BITS_EACH = 4, 8, 7
 WINDOW = 64
-#: Rows of a chunk of the exact check, and queries of a block.
-CHUNK, QUERY_BLOCK = 2048, 16_384
+#: Vectors of a chunk and queries of a block of the exact check (about 1 MB and 0.25 MB of 64 doubles each).
+CHUNK, QUERY_BLOCK = 2048, 512
+#: Chunks paired with blocks that a Python worker turns into arrays at a time.
+PAIRS_AT_ONCE = 4
 #: Vectors of the sample on which the projections' centre and spread are fitted.
 SAMPLE = 2_000
 SLACK = 1e-9
@@ -140,46 +144,117 @@ def best(found: DataFrame, k: int) -> DataFrame:
     return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def checked(chunks: DataFrame, size: int, queries: list, k: int) -> DataFrame:
-    """Everything in ``chunks`` (along a curve) that is as near to a query of the block as its bound, best ``k`` a chunk."""
-    ids = np.array([q[0] for q in queries], np.int64)
-    rows = np.array([q[1] for q in queries], np.float64).reshape(-1, size)
-    bound = np.array([-2.0 if q[2] is None else q[2] for q in queries])
-    shared = chunks.sparkSession.sparkContext.broadcast((ids, rows, np.linalg.norm(rows, axis=1), bound))
+def unit_rows(rows: np.ndarray) -> np.ndarray:
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
+def packed(ordered: DataFrame, rows: int, more: str | None = None) -> DataFrame:
+    """``part, ids, rows``: successive rows (``vec_id, v``) of a partition as one row of little-endian arrays.
+
+    ``part`` numbers the partition; ``more`` names a column of doubles that is packed too.
+    """
+    names = ["part", "ids", "rows", *([more] if more else [])]
+
+    def run(batches):
+        part = TaskContext.get().partitionId()
+        for batch in batches:
+            for some in slices(batch, rows):
+                values = some.column("v").flatten().to_numpy(zero_copy_only=False).astype("<f8")
+                row = [part, some.column("vec_id").to_numpy().astype("<i8").tobytes(), values.tobytes()]
+                if more:
+                    row.append(some.column(more).to_numpy(zero_copy_only=False).astype("<f8").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32() if k == 0 else pa.binary()) for k, x in enumerate(row)], names)
+
+    return ordered.mapInArrow(run, "part int, ids binary, rows binary" + (f", {more} binary" if more else ""))
+
+
+def cones(chunks: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers, centres and half-angles of the stretches: as many rows as partitions, whatever the input."""
+    spark = chunks.sparkSession
+
+    def sums(batches):
+        for batch in batches:
+            for part, rows in zip(batch.column("part").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+                total = unit_rows(np.frombuffer(rows).reshape(-1, size)).sum(0)
+                yield pa.RecordBatch.from_arrays([pa.array([part] * size, pa.int32()), pa.array(range(size), pa.int32()), pa.array(total)], ["part", "at", "x"])
+
+    found = chunks.select("part", "rows").mapInArrow(sums, "part int, at int, x double").groupBy("part", "at").agg(F.sum("x").alias("x")).collect()
+    parts = sorted({r["part"] for r in found})
+    place = {p: k for k, p in enumerate(parts)}
+    centres = np.zeros((len(parts), size))
+    for p, at, x in found:
+        centres[place[p], at] = x
+    centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300)
+    shared = spark.sparkContext.broadcast((place, centres))
+
+    def widest(batches):
+        place, centres = shared.value
+        for batch in batches:
+            for part, rows in zip(batch.column("part").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+                least = (unit_rows(np.frombuffer(rows).reshape(-1, size)) @ centres[place[part]]).min()
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([float(np.arccos(np.clip(least, -1, 1)))])], ["part", "half"])
+
+    half = {r[0]: r[1] for r in chunks.select("part", "rows").mapInArrow(widest, "part int, half double").groupBy("part").agg(F.max("half")).collect()}
+    return np.array(parts), centres, np.array([half[p] for p in parts])
+
+
+def sent(blocks: DataFrame, of: tuple[np.ndarray, np.ndarray, np.ndarray], size: int) -> DataFrame:
+    """``part, qids, qrows, bounds``: each block's queries under every stretch that can hold something near enough."""
+    shared = blocks.sparkSession.sparkContext.broadcast(of)
 
     def run(batches):
-        qid, q, qnorm, bound = shared.value
-        unit_q = q / qnorm[:, None]
-        limit = np.arccos(np.clip(bound, -1, 1)) + 1e-6
-        limit[bound < -1] = 4.0
+        parts, centres, half = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(at, CHUNK)
-                vid, v = part.column("vec_id").to_numpy(), matrix(part.column("v"), size)
-                norms = np.linalg.norm(v, axis=1)
-                unit = v / norms[:, None]
-                centre = unit.mean(0)
-                centre /= np.linalg.norm(centre) or 1
-                half = np.arccos(np.clip((unit @ centre).min(), -1, 1))
-                live = np.nonzero(np.arccos(np.clip(unit_q @ centre, -1, 1)) - half <= limit)[0]
-                out = []
-                for some in np.array_split(live, max(1, len(live) // 512)):
-                    near = unit_q[some] @ unit.T
-                    for i, line in zip(some, near, strict=True):
-                        hit = np.nonzero(line >= bound[i] - SLACK)[0]
-                        if len(hit) > 4 * k + 4:  # all that can tie with the chunk's k-th best id
-                            hit = hit[vid[hit] != qid[i]]
-                            own, at = np.unique(vid[hit], return_inverse=True)
-                            if len(own) > k:
-                                top = np.full(len(own), -np.inf)
-                                np.maximum.at(top, at, line[hit])
-                                hit = hit[line[hit] >= np.partition(top, len(own) - k)[len(own) - k] - SLACK]
-                        if len(hit):
-                            found, score = nearest(vid[hit], v[hit], norms[hit], qid[i], q[i], qnorm[i], k)
-                            out += [(int(qid[i]), int(x), float(s)) for x, s in zip(found, score, strict=True)]
-                yield result(out)
-
-    return chunks.mapInArrow(run, SCHEMA)
+            for ids, rows, bounds in zip(*(batch.column(c).to_pylist() for c in ("ids", "rows", "bound")), strict=True):
+                ids, rows, bounds = np.frombuffer(ids, "<i8"), np.frombuffer(rows).reshape(-1, size), np.frombuffer(bounds)
+                angle = np.arccos(np.clip(unit_rows(rows) @ centres.T, -1, 1)) - half
+                live = angle <= reach(bounds)[:, None]
+                for k in np.nonzero(live.any(0))[0]:
+                    mine = live[:, k]
+                    yield pa.RecordBatch.from_arrays([pa.array([int(parts[k])], pa.int32()), *(pa.array([x[mine].tobytes()], pa.binary()) for x in (ids, rows, bounds))], ["part", "qids", "qrows", "bounds"])
+
+    return blocks.mapInArrow(run, "part int, qids binary, qrows binary, bounds binary")
+
+
+def reach(bounds: np.ndarray) -> np.ndarray:
+    """Angles within which a vector is as near as the bound; a query without a bound (NaN) reaches everything."""
+    return np.where(np.isnan(bounds), 4.0, np.arccos(np.clip(bounds, -1, 1)) + 1e-6)
+
+
+def checked(pairs: DataFrame, size: int, k: int) -> DataFrame:
+    """The best ``k`` of each chunk for each query of the block beside it, as near as its bound."""
+
+    def search(ids, v, qids, q, bounds):
+        norms, qnorms = np.linalg.norm(v, axis=1), np.linalg.norm(q, axis=1)
+        unit, unit_q = v / norms[:, None], q / qnorms[:, None]
+        centre = unit.mean(0)
+        centre /= np.linalg.norm(centre) or 1
+        half = np.arccos(np.clip((unit @ centre).min(), -1, 1))
+        live = np.nonzero(np.arccos(np.clip(unit_q @ centre, -1, 1)) - half <= reach(bounds))[0]
+        least = np.where(np.isnan(bounds), -2.0, bounds)
+        out = []
+        for i, line in zip(live, unit_q[live] @ unit.T, strict=True):
+            hit = np.nonzero(line >= least[i] - SLACK)[0]
+            if len(hit) > 4 * k + 4:  # all that can tie with the chunk's k-th best id
+                hit = hit[ids[hit] != qids[i]]
+                own, at = np.unique(ids[hit], return_inverse=True)
+                if len(own) > k:
+                    top = np.full(len(own), -np.inf)
+                    np.maximum.at(top, at, line[hit])
+                    hit = hit[line[hit] >= np.partition(top, len(own) - k)[len(own) - k] - SLACK]
+            if len(hit):
+                found, score = nearest(ids[hit], v[hit], norms[hit], qids[i], q[i], qnorms[i], k)
+                out += [(int(qids[i]), int(x), float(s)) for x, s in zip(found, score, strict=True)]
+        return out
+
+    def run(batches):
+        for batch in batches:
+            for some in slices(batch, PAIRS_AT_ONCE):
+                for r in some.to_pylist():
+                    arrays = (np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["rows"]).reshape(-1, size), np.frombuffer(r["qids"], "<i8"), np.frombuffer(r["qrows"]).reshape(-1, size), np.frombuffer(r["bounds"]))
+                    yield result(search(*arrays))
+
+    return pairs.mapInArrow(run, SCHEMA)
 
 
 def nearest_neighbours(
@@ -214,23 +289,21 @@ def nearest_neighbours(
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c.keys(unit)) for c in fitted.value)], ["vec_id", "v", *(f"k{c}" for c in range(curves))])
 
     schema = "vec_id long, v array<double>" + "".join(f", k{c} long" for c in range(curves))
-    keyed = store(sound.mapInArrow(keyed_of, schema), "keyed")
+    scratch = Scratch(spark)
+    keyed = scratch.store(sound.mapInArrow(keyed_of, schema), "keyed")
     merged = cut(best(reduce(DataFrame.unionAll, [windowed(keyed, c, size, k, window, every) for c in range(curves)]), k).select("query_id", "vec_id", "score", "rank"))
     found = merged.select("query_id", "vec_id", "score")
     if exact:
-        bounds = merged.filter(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
-        asked = keyed.filter(F.col("vec_id") % every == 0).join(bounds, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", "bound", "k0")
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        chunks = store(keyed.select("vec_id", "v", "k0").repartitionByRange(n, "k0", "vec_id").sortWithinPartitions("k0").drop("k0"), "chunks")
-        parts, block = [], []
-        for row in asked.toLocalIterator():
-            block.append((row["vec_id"], row["v"], row["bound"]))
-            if len(block) == QUERY_BLOCK:
-                parts.append(checked(chunks, size, block, k))
-                block = []
-        if block:
-            parts.append(checked(chunks, size, block, k))
-        found = reduce(DataFrame.unionAll, parts, found)
+        along = lambda df: df.repartitionByRange(n, "k0", "vec_id").sortWithinPartitions("k0", "vec_id")
+        chunks = scratch.store(packed(along(keyed.select("vec_id", "v", "k0")), CHUNK), "chunks")
+        bounds = merged.filter(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
+        asked = keyed.filter(F.col("vec_id") % every == 0).join(bounds, F.col("vec_id") == F.col("query_id"), "left")
+        blocks = packed(along(asked.select("vec_id", "v", F.coalesce("bound", F.lit(float("nan"))).alias("bound"), "k0")), QUERY_BLOCK, "bound")
+        # dealt by number, as the work lies in the rows' content and not in their count
+        dealt = [df.repartition(2 * n, "part") for df in (chunks, sent(blocks, cones(chunks, size), size))]
+        found = cut(found.unionAll(checked(dealt[0].join(dealt[1], "part"), size, k)))
+    scratch.release()
     return best(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
