@@ -8,11 +8,14 @@ log2(N / n(e)) bits that identify the entity. A word that tells at least the sha
 wherever it stands in a document that holds the entity.
 
 Four passes over the texts, none of which moves a text: entities, words of the texts that hold entities of
-enough texts, document counts of the words in question, marking. Disclosing pairs are broadcast in blocks.
+enough texts, document counts of the words in question, marking. Up to ``BLOCK`` disclosing pairs are broadcast for
+the marking. More are joined: the entities' texts give (entity, word) rows under a digest of the text, those that
+are disclosing pairs remain, and their words meet the texts again by the digest.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -21,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import cut, slices, table
 
@@ -36,7 +40,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 #: A word tells on an entity from this share of its bits, in at least so many different texts.
 DISCLOSURE, SUPPORT = 0.8, 3
-#: Candidate words, and disclosing pairs, in one broadcast.
+#: Entities, candidate words or disclosing pairs in one broadcast.
 BLOCK = 200_000
 
 
@@ -173,24 +177,60 @@ def disclosing_pairs(docs: DataFrame, disclosure: float = DISCLOSURE, support: i
     return cut(often.join(held, "entity").join(counts, "term").withColumn("told", told).filter(F.col("told") >= disclosure).select("entity", "term", "told"))
 
 
-def blocks_of(pairs: DataFrame) -> list:
-    """The pairs as broadcast mappings from entity to its words, of bounded size each."""
-    spark, total = pairs.sparkSession, pairs.count()
-    n = max(1, math.ceil(2 * total / BLOCK)) if total > BLOCK else 1
-    out = []
-    for k in range(n if total else 0):
-        some: dict[str, set[str]] = {}
-        for r in (pairs.filter(F.pmod(F.xxhash64("entity", "term"), F.lit(n)) == k) if n > 1 else pairs).toLocalIterator():
-            some.setdefault(r["entity"], set()).add(r["term"])
-        out.append(spark.sparkContext.broadcast(some))
-    return out
+def digest_of(text: str) -> bytes:
+    return hashlib.blake2b(text.encode(), digest_size=16).digest()
 
 
-def term_spans(text: str, base: list[tuple[int, int, int]], told: dict[str, set[str]]) -> list[tuple[int, int, int]]:
+def words_to_mark(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(text_key, words)``: by a digest of the text, the words of the text that disclose one of its entities.
+
+    The rows joined are the (entity, word) pairs of the texts that hold entities, so no group is larger than a
+    text's different words, and no key hotter than a pair (which Spark may split, the other side being unique).
+    """
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                rows = []
+                for text in part.column("text").to_pylist():
+                    if spans := base_spans(text):
+                        own = {w for w, _, _ in clear_words(text, spans)}
+                        key = digest_of(text)
+                        rows += [(key, e, w) for e in entities(text, spans) for w in own]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.string(), pa.string()))], ["text_key", "entity", "term"])
+
+    held = docs.select("text").mapInArrow(run, "text_key binary, entity string, term string")
+    found = held.join(pairs.select("entity", "term"), ["entity", "term"])
+    return found.groupBy("text_key").agg(F.collect_set("term").alias("words"))
+
+
+def with_words(docs: DataFrame, text_col: str, pairs: DataFrame, name: str, most: int):
+    """``docs`` and a function from a batch to what it discloses: one mapping for all, or a column ``name`` of words."""
+    spark = docs.sparkSession
+    if pairs.count() <= most:
+        told: dict[str, set[str]] = {}
+        for r in pairs.toLocalIterator():
+            told.setdefault(r["entity"], set()).add(r["term"])
+        shared = spark.sparkContext.broadcast(told)
+        return docs, lambda batch: ((shared.value, None) for _ in range(batch.num_rows))
+    texts = docs.select(F.coalesce(text_col, F.lit("")).alias("text"))
+    marks = words_to_mark(texts, pairs).toDF(f"{name}_key", f"{name}_told")
+    names = docs.columns
+
+    def keyed(batches):
+        for batch in batches:
+            keys = [None if t is None or not base_spans(t) else digest_of(t) for t in batch.column(text_col).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], [*names, name])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())])
+    joined = docs.mapInArrow(keyed, schema).join(marks, F.col(name) == F.col(f"{name}_key"), "left").select(*names, F.col(f"{name}_told").alias(name))
+    return joined, lambda batch: ((None, w) for w in batch.column(name).to_pylist())
+
+
+def term_spans(text: str, base: list[tuple[int, int, int]], told: dict[str, set[str]] | None, marked: list[str] | None = None) -> list[tuple[int, int, int]]:
     """Spans of every occurrence of the words that disclose the text's entities, in order."""
-    if not told or not base:
+    if not base or not (told or marked):
         return []
-    of = set().union(*(told.get(e, ()) for e in entities(text, base)))
+    of = set(marked) if marked else set().union(*(told.get(e, ()) for e in entities(text, base)))
     return [(4, a, b) for w, a, b in clear_words(text, base) if w in of] if of else []
 
 
@@ -198,7 +238,7 @@ def digest(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT, block: int = BLOCK) -> DataFrame:
     """One row per input row: ``doc_id, n_email, n_ip, n_card, n_phone, base, spans`` (``kind:start:end`` joined by commas).
 
     ``base`` holds the pattern spans, ``spans`` also those of disclosing terms, by kind, then start. A null or
@@ -206,17 +246,16 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     texts of any length are searched whole; an empty table gives no rows; other columns are ignored.
     """
     work = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    blocks = blocks_of(disclosing_pairs(work, disclosure, support))
+    work, disclosed = with_words(work, "text", disclosing_pairs(work, disclosure, support), "words", block)
     names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "spans"]
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 rows = []
-                for text in part.column("text").to_pylist():
+                for text, told in zip(part.column("text").to_pylist(), disclosed(part), strict=True):
                     found = base_spans(text)
-                    extra = sorted({s for b in blocks for s in term_spans(text, found, b.value)}) if found else []
-                    rows.append((*(sum(k == kind for k, _, _ in found) for kind in range(4)), digest(found), digest(found + extra)))
+                    rows.append((*(sum(k == kind for k, _, _ in found) for kind in range(4)), digest(found), digest(found + term_spans(text, found, *told))))
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], names)
 
@@ -233,30 +272,34 @@ def sanitise(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join(out) + text[last:]
 
 
-def sanitise_documents(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def sanitise_documents(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` with all their columns, ``text`` sanitised and ``n_chars``, where present, counted anew.
 
-    Texts without spans, null ones included, are left as they are.
+    Texts without spans, null ones included, are left as they are. Rows with a null id are sanitised like any
+    other; repeated rows each, counting as one text; texts of any length whole; an empty table stays empty;
+    other columns are kept, whatever their names.
     """
-    blocks = blocks_of(disclosing_pairs(docs.select(F.coalesce("text", F.lit("")).alias("text")), disclosure, support))
-    names = docs.columns
+    pairs = disclosing_pairs(docs.select(F.coalesce("text", F.lit("")).alias("text")), disclosure, support)
+    names, schema = docs.columns, docs.schema
+    free = next(n for k in range(len(names) + 1) if not any(c.lower().startswith(n := f"words_{k}") for c in names))
+    docs, disclosed = with_words(docs, "text", pairs, free, block)
 
     def run(batches):
         for batch in batches:
             texts, sizes = [], []
-            for text in batch.column("text").to_pylist():
+            for text, told in zip(batch.column("text").to_pylist(), disclosed(batch), strict=True):
                 found = base_spans(text) if text else []
                 if found:
-                    text = sanitise(text, found + [s for b in blocks for s in term_spans(text, found, b.value)])
+                    text = sanitise(text, found + term_spans(text, found, *told))
                 texts.append(text)
                 sizes.append(len(text) if found else None)
             columns = {c: batch.column(c) for c in names} | {"text": pa.array(texts, batch.schema.field("text").type)}
             if "n_chars" in columns:
                 old = columns["n_chars"].to_pylist()
                 columns["n_chars"] = pa.array([o if n is None else n for o, n in zip(old, sizes, strict=True)], batch.schema.field("n_chars").type)
-            yield pa.RecordBatch.from_arrays([columns[c] for c in names], schema=batch.schema)
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, schema)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
