@@ -21,7 +21,8 @@ from ._common import id_bucket, map_slices, slices, table
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W_]+")
 BUCKETS = 1 << 18
-#: Labelled documents of each class that the fit reads at most, and the longest of them in bytes.
+#: Labelled documents of each class that the fit reads at most, and the longest of them in bytes: together they
+#: bound what the driver holds. Longer labelled documents are scored like any other and only not learned from.
 TRAIN_EACH = 3_000
 TRAIN_BYTES = 1 << 15
 
@@ -41,8 +42,11 @@ def sentence_words(text: str) -> list[tuple[int, int, set[str]]]:
     return found
 
 
-def training_bags(docs: DataFrame, labels: DataFrame, each: int, held_out_remainder: int, modulus: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """``(label, buckets, sentence sizes)`` of a bounded sample of labelled documents, chosen by a hash of the id."""
+def training_bags(docs: DataFrame, labels: DataFrame, each: int, longest: int, held_out_remainder: int, modulus: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """``(label, buckets, sentence sizes)`` of a bounded sample of labelled documents, chosen by a hash of the id.
+
+    Of rows that repeat an id one is learned from, so the sample is bounded by ids and not by rows.
+    """
     spark = docs.sparkSession
     usable = labels.filter(F.col("toxic").isin(0, 1) & (id_bucket("doc_id", modulus) != held_out_remainder)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
     usable = usable.groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -61,13 +65,13 @@ def training_bags(docs: DataFrame, labels: DataFrame, each: int, held_out_remain
                 for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                     if (y := ids.value.get(doc)) is not None:
                         bags = [[b for w in sorted(own) for b in buckets(w)] for _, _, own in sentence_words(text)]
-                        out.append((y, np.array([b for s in bags for b in s], np.int32).tobytes(), np.array([len(s) for s in bags], np.int32).tobytes()))
+                        out.append((doc, y, np.array([b for s in bags for b in s], np.int32).tobytes(), np.array([len(s) for s in bags], np.int32).tobytes()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["y", "words", "sizes"])
+                    [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["doc_id", "y", "words", "sizes"])
 
-    small = docs.filter(F.octet_length("text") <= TRAIN_BYTES).select("doc_id", "text")
-    found = small.mapInArrow(run, "y int, words binary, sizes binary").toLocalIterator()
-    return [(r[0], np.frombuffer(r[1], np.int32), np.frombuffer(r[2], np.int32)) for r in found]
+    small = docs.filter(F.octet_length("text") <= longest).select("doc_id", "text")
+    found = small.mapInArrow(run, "doc_id long, y int, words binary, sizes binary").groupBy("doc_id").agg(F.min(F.struct("y", "words", "sizes")).alias("bag"))
+    return [(r["y"], np.frombuffer(r["words"], np.int32), np.frombuffer(r["sizes"], np.int32)) for r in found.orderBy("doc_id").select("bag.*").toLocalIterator()]
 
 
 class NoisyOr:
@@ -123,19 +127,19 @@ class Weights(dict):
 
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out_remainder: int = 0, modulus: int = 5,
-    train_each: int = TRAIN_EACH, threshold: float = 0.5,
+    train_each: int = TRAIN_EACH, train_bytes: int = TRAIN_BYTES, threshold: float = 0.5,
 ) -> DataFrame:
     """One row per input row: ``doc_id, held_out, score, predicted, offending`` (``start, end, score`` of sentences).
 
     Only the text is an input of the score. Labels (``doc_id, toxic``) are learned from where crc32 of the id as
-    text does not leave ``held_out_remainder``; null and other labels are ignored, of repeated ones the larger
-    counts. A null, empty or wordless text scores 0; a row with a null id is not held out; repeated rows are
+    text does not leave ``held_out_remainder``, of at most ``train_each`` documents a class and of texts of up to
+    ``train_bytes`` bytes; null and other labels are ignored, of repeated ones the larger counts. A null, empty or wordless text scores 0; a row with a null id is not held out; repeated rows are
     scored each; texts of any length are read whole; without labels of both classes all words weigh nothing; an
     empty table gives no rows; other columns are ignored, whatever their names.
     """
     held = F.coalesce(id_bucket(id_col, modulus) == held_out_remainder, F.lit(False))
     work = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    model = NoisyOr(training_bags(work, labels, train_each, held_out_remainder, modulus))
+    model = NoisyOr(training_bags(work, labels, train_each, train_bytes, held_out_remainder, modulus))
     shared = docs.sparkSession.sparkContext.broadcast((model.w.astype(np.float32), model.b))
 
     def make():
