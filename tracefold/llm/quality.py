@@ -6,8 +6,8 @@ proportion to the ratio: with Gumbel noise added to the log ratio the k largest
 is a hash of the id, so that a lost task repeats it; the k-th key is found by histograms, never by a sort of all
 rows in one task or by collecting them.
 
-``sharpness`` multiplies the log ratios (a power of the weights): at 1 it is plain resampling; the default
-makes chance decide between documents of nearly equal ratio only. Without a given ``k`` the target's size is
+``sharpness`` multiplies the log ratios (a power of the weights): 1 is plain resampling, larger values leave less to
+chance. Without a given ``k`` the target's size is
 estimated: the documents whose ratio is above the cut that best separates the labels.
 """
 
@@ -21,14 +21,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import cut, map_slices, slices, table
+from ._common import Scratch, cut, map_slices, slices, table
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 BUCKETS = 1 << 13
 #: Labelled documents of each class that are learned from at most.
 LABELLED = 20_000
-SHARPNESS = 20.0
+SHARPNESS = 1.0
 #: Pseudo-counts by which the target's model leans to the raw one, so that rare buckets say little.
 LEAN = 64.0 * BUCKETS
 GOOD_WEIGHT = 5.0
@@ -166,12 +167,18 @@ def fit_selection(docs: DataFrame, labels: DataFrame, k: int | None, sharpness:
     chosen = labelled(labels, most)
     ratio = log_ratios(docs, chosen)
     scored = cut(score_quality(docs, ratio, sharpness, seed))
+    return ratio, scored, selection_edge(scored, chosen, k)
+
+
+def selection_edge(scored: DataFrame, chosen: dict[int, int], k: int | None) -> float:
+    """The key from which on rows of ``scored`` (``doc_id, log_ratio, key``) are selected."""
     if k is None:
-        shared = docs.sparkSession.sparkContext.broadcast(chosen)
-        known = scored.select("doc_id", "log_ratio").mapInArrow(lambda batches: keep_known(batches, shared), "doc_id long, log_ratio double")
-        edge = best_cut([(r[1], chosen[r[0]]) for r in known.collect() if chosen[r[0]] == 0 or for_cut(r[0])])  # rows of 2 * most ids
+        shared = scored.sparkSession.sparkContext.broadcast(chosen)
+        # of rows that repeat an id one counts, so at most 2 * most ids come back
+        known = scored.select("doc_id", "log_ratio").mapInArrow(lambda batches: keep_known(batches, shared), "doc_id long, log_ratio double").groupBy("doc_id").agg(F.min("log_ratio"))
+        edge = best_cut([(r[1], chosen[r[0]]) for r in known.collect() if chosen[r[0]] == 0 or for_cut(r[0])])
         k = scored.filter(F.col("log_ratio") >= edge).count()
-    return ratio, scored, kth_largest(scored, k)
+    return kth_largest(scored, k)
 
 
 def keep_known(batches, shared):
@@ -187,7 +194,7 @@ def select_quality(
 
     Labels are ``doc_id, quality`` (null and other labels are ignored, of repeated ones the smaller counts). A
     null, empty or wordless text has log ratio 0; rows of equal id share their noise, so repeated rows are
-    selected together and rows tied at the k-th key all are; rows with a null id have noise of their own; texts
+    selected together and rows tied at the k-th key all are; rows with a null id share theirs too; texts
     of any length are read whole; without good labels all ratios are about 0, without labels of both classes
     everything is selected; an empty table gives no rows; other columns are ignored, whatever their names.
     """
@@ -196,20 +203,33 @@ def select_quality(
     return scored.withColumn("selected", F.col("key") >= F.lit(edge))
 
 
-def keep_selected(docs: DataFrame, labels: DataFrame, k: int | None = None, sharpness: float = SHARPNESS, seed: int = 0, most_labelled: int = LABELLED) -> DataFrame:
-    """The selected rows of ``docs`` with all their columns; edge cases as ``select_quality``."""
-    work = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ratio, _, edge = fit_selection(work, labels, k, sharpness, seed, most_labelled)
-    shared = docs.sparkSession.sparkContext.broadcast(ratio)
+def keep_selected(
+    docs: DataFrame, labels: DataFrame, k: int | None = None, sharpness: float = SHARPNESS, seed: int = 0, most_labelled: int = LABELLED, scratch: Scratch | None = None,
+) -> DataFrame:
+    """The selected rows of ``docs`` with all their columns, whatever their names; edge cases as ``select_quality``.
+
+    Rows are written with their keys once, so that no text is scored again when the k-th key is known.
+    """
+    scratch = scratch or Scratch(docs.sparkSession)
+    names = docs.columns
+    taken = {c.lower() for c in names}
+    extra = [next(n for j in range(len(names) + 1) if (n := f"{c}_{j}") not in taken) for c in ("log_ratio", "key")]
+    chosen = labelled(labels, most_labelled)
+    ratio = docs.sparkSession.sparkContext.broadcast(log_ratios(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), chosen))
 
     def run(batches):
-        hashes, r = Buckets(), shared.value
+        hashes, r = Buckets(), ratio.value
         for batch in batches:
-            pairs = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)
-            keys = [sharpness * float(r[features(t or "", hashes)].sum()) + gumbel(i, seed) for i, t in pairs]
-            yield batch.filter(pa.array([x >= edge for x in keys], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+            for part in slices(batch):
+                ids = part.column("doc_id").to_pylist()
+                logs = [float(r[features(t or "", hashes)].sum()) for t in part.column("text").to_pylist()]
+                keys = [sharpness * v + gumbel(i, seed) for i, v in zip(ids, logs, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(logs, pa.float64()), pa.array(keys, pa.float64())], [*names, *extra])
+
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.DoubleType()) for c in extra)])
+    kept = scratch.store(docs.mapInArrow(run, schema), "scored")
+    scored = kept.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(extra[0]).alias("log_ratio"), F.col(extra[1]).alias("key"))
+    return kept.filter(F.col(extra[1]) >= F.lit(selection_edge(scored, chosen, k))).select(*names)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
