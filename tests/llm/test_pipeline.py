@@ -7,14 +7,14 @@ from tracefold.llm import decontamination, pii, simhash
 
 
 def test_stages(spark, sf):
-    from tracefold.llm._common import store, table
+    from tracefold.llm._common import Scratch, table
 
     docs = table(spark, sf, "documents")
     columns = docs.columns
     inputs = {}
     for name, stage in corpus_pipeline.STAGES:
         inputs[name] = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()} if "text" in docs.columns else {}
-        docs = store(stage(spark, docs, sf), name)
+        docs = Scratch(spark).store(stage(spark, docs, sf), name)
         assert name == "packing" or docs.columns == columns
     kept = inputs["leaks"]
     sets = {i: set(simhash.shingle_hashes(simhash.words(t), 5).tolist()) for i, t in inputs["near_copies"].items()}
