@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracefold.llm._common import store, table
+from tracefold.llm._common import Scratch, table
 from tracefold.llm.decontamination import drop_contaminated
 from tracefold.llm.packing import pack_documents
 from tracefold.llm.pii import sanitise_documents
@@ -44,8 +44,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; each stage's documents are written before the next reads them."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages in order; each stage's documents are written before the next reads them, those before go."""
+    docs, before = table(spark, sf_dir, "documents"), Scratch(spark)
     for name, stage in STAGES[:-1]:
-        docs = store(stage(spark, docs, sf_dir), name)
+        scratch = Scratch(spark)
+        docs = scratch.store(stage(spark, docs, sf_dir), name)
+        before.release()
+        before = scratch
     return STAGES[-1][1](spark, docs, sf_dir)
