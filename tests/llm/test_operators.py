@@ -192,17 +192,16 @@ def test_ppm_probabilities_sum_to_one():
     for w, n in words:
         for g in lm_scoring.grams(w, 3):
             grams[g] += n
-    low = {b"": Counter()}
-    for g, n in grams.items():
-        low.setdefault(g[-2:-1], Counter())[g[-1]] += n
-        low[b""][g[-1]] += n
     counts = {}
     for g, n in grams.items():
-        for k in range(len(g) - 2):
+        for k in range(len(g)):
             counts.setdefault(g[k:-1], Counter())[g[-1]] += n
     for context in (b" ", b" t", b"th", b"he", b"zz", b"the"):
-        logs = [lm_scoring.Escapes(low).code(context, s, counts) for s in range(256)]
-        assert sum(10**x for x in logs) == pytest.approx(1, abs=1e-9)
+        levels = np.zeros((len(context) + 1, 1, 256, 1), np.int64)
+        for k in range(len(context) + 1):
+            for s, n in counts.get(context[k:], {}).items():
+                levels[k, 0, s, 0] = n
+        assert (10 ** lm_scoring.escape_codes(list(levels))).sum() == pytest.approx(1, abs=1e-9)
 
 
 # ---- 3 ---------------------------------------------------------------------------------------------------------
