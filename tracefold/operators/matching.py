@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.music import landmark_hash
+from ..storage import small_side
 
 #: The transformation grid: semitones and tempo ratios (fixed values).
 SEMITONES = tuple(range(-6, 7))
@@ -15,11 +16,13 @@ TEMPOS = (0.80, 0.84, 0.88, 0.92, 0.96, 1.0, 1.04, 1.08, 1.12, 1.16, 1.20)
 def hash_hits(query: DataFrame, candidates: DataFrame, q_key: str = "query", c_key: str = "candidate") -> DataFrame:
     """``query, candidate, i, qt, dt``: an equi-join on the hash, all occurrences with all.
 
-    ``query`` has its key, ``i`` (number of the occurrence), ``h`` and ``t``; ``candidates`` a key, ``h``, ``t``.
+    ``query`` has its key, ``i`` (number of the occurrence), ``h`` and ``t``; ``candidates`` a key, ``h``, ``t``. A
+    query side of few rows is broadcast, so that candidates are matched where they are read and no common hash
+    gathers them in one task.
     """
     q = query.select(F.col(q_key).alias("query"), "i", "h", F.col("t").alias("qt"))
     c = candidates.select(F.col(c_key).alias("candidate"), "h", F.col("t").alias("ct"))
-    return q.join(c, "h").select("query", "candidate", "i", "qt", (F.col("ct") - F.col("qt")).alias("dt"))
+    return c.join(small_side(q), "h").select("query", "candidate", "i", "qt", (F.col("ct") - F.col("qt")).alias("dt"))
 
 
 def matched_hashes(hits: DataFrame, least: int) -> DataFrame:

@@ -44,33 +44,41 @@ def document_frequency(df: DataFrame, document: str, pattern: str, *by: str) ->
     return df.select(document, pattern, *by).distinct().groupBy(pattern, *by).agg(F.count("*").alias("df"))
 
 
-def longest_common_runs(a: DataFrame, b: DataFrame, key: str, order: str, symbol: str, pairs: DataFrame | None = None) -> DataFrame:
-    """``left, right, run``: the longest run of equal successive symbols of two sequences.
+def _seeds(df: DataFrame, key: str, order: str, symbol: str, least: int, side: str, pos: str) -> DataFrame:
+    """``side, pos, gram``: every run of ``least`` successive symbols; ``order`` numbers the symbols without gaps."""
+    g = ngrams(df, key, order, symbol, range(least, least + 1))
+    return g.select(F.col(key).alias(side), F.col("pos").alias(pos), "gram")
 
-    Equal symbols are joined, matches on one diagonal that follow each other form an island.
+
+def diagonal_runs(a: DataFrame, b: DataFrame, key: str, order: str, symbol: str, least: int) -> DataFrame:
+    """``left, right, i, j, run``: maximal common runs of at least ``least`` symbols of pairs with ``left < right``.
+
+    Runs of ``least`` symbols are joined as one key, which leaves only places where that many agree; seeds that
+    follow each other on a diagonal form an island, and a run is as long as its island plus the seed's rest.
     """
-    left = a.select(F.col(key).alias("left"), F.col(order).alias("i"), F.col(symbol).alias("s"))
-    right = b.select(F.col(key).alias("right"), F.col(order).alias("j"), F.col(symbol).alias("s"))
-    if pairs is not None:
-        left = left.join(pairs, "left")
-        hits = left.join(right, ["s", "right"])
-    else:
-        hits = left.join(right, "s").filter("left < right")
+    hits = _seeds(a, key, order, symbol, least, "left", "i").join(_seeds(b, key, order, symbol, least, "right", "j"), "gram").filter("left < right")
     w = Window.partitionBy("left", "right", "d").orderBy("i")
     hits = hits.withColumn("d", F.col("i") - F.col("j")).withColumn("island", F.col("i") - F.row_number().over(w))
-    runs = hits.groupBy("left", "right", "d", "island").agg(F.count("*").alias("run"))
-    return runs.groupBy("left", "right").agg(F.max("run").alias("run"))
-
-
-def longest_common_per_start(a: DataFrame, b: DataFrame, key: str, order: str, symbol: str) -> DataFrame:
-    """``left, right, i, run``: for each position of the left sequence the longest run that starts there."""
-    left = a.select(F.col(key).alias("left"), F.col(order).alias("i"), F.col(symbol).alias("s"))
-    right = b.select(F.col(key).alias("right"), F.col(order).alias("j"), F.col(symbol).alias("s"))
-    hits = left.join(right, "s").filter("left < right").withColumn("d", F.col("i") - F.col("j"))
-    w = Window.partitionBy("left", "right", "d")
-    hits = hits.withColumn("island", F.col("i") - F.row_number().over(w.orderBy("i")))
-    end = F.max("i").over(Window.partitionBy("left", "right", "d", "island"))
-    return hits.withColumn("run", end - F.col("i") + 1).groupBy("left", "right", "i").agg(F.max("run").alias("run"))
+    return hits.groupBy("left", "right", "d", "island").agg(F.min("i").alias("i"), F.min("j").alias("j"), (F.count("*") + least - 1).alias("run")).drop("d", "island")
+
+
+def longest_common_runs(a: DataFrame, b: DataFrame, key: str, order: str, symbol: str, least: int) -> DataFrame:
+    """``left, right, run``: the longest run of equal successive symbols of two sequences, from ``least`` symbols on."""
+    return diagonal_runs(a, b, key, order, symbol, least).groupBy("left", "right").agg(F.max("run").alias("run"))
+
+
+def longest_common_per_start(a: DataFrame, b: DataFrame, key: str, order: str, symbol: str, least: int) -> DataFrame:
+    """``left, right, i, run``: for each position of the left sequence the longest run, of ``least`` or more, that starts there."""
+    runs = diagonal_runs(a, b, key, order, symbol, least)
+    starts = runs.select("left", "right", (F.col("i") + F.col("run")).alias("end"), F.explode(F.sequence(F.col("i"), F.col("i") + F.col("run") - least)).alias("i"))
+    return starts.groupBy("left", "right", "i").agg(F.max(F.col("end") - F.col("i")).alias("run"))
+
+
+def sharing(df: DataFrame, key: str, order: str, symbol: str, least: int) -> DataFrame:
+    """``left, right``: pairs of sequences that have a run of ``least`` symbols in common."""
+    g = ngrams(df, key, order, symbol, range(least, least + 1)).select(key, "gram").distinct()
+    a, b = g.select(F.col(key).alias("left"), "gram"), g.select(F.col(key).alias("right"), "gram")
+    return a.join(b, "gram").filter("left < right").select("left", "right").distinct()
 
 
 def analysis_windows(df: DataFrame, key: str, duration: str, width: float = 10.0, hop: float = 5.0, shortest: float = 1.0) -> DataFrame:

@@ -9,11 +9,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.music import cosine
+from ..storage import small_side
 
 #: Queries broadcast at a time (some kilobytes each).
 QUERY_BLOCK = 10_000
 
 
+def in_blocks(queries: DataFrame, key: str, size: int = QUERY_BLOCK) -> list[DataFrame]:
+    """The queries in blocks of at most ``size`` rows or so, by a hash of their key."""
+    n = queries.count()
+    blocks = math.ceil(2 * n / size) if n > size else 1
+    return [queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b) for b in range(blocks)]
+
+
 def shortlist(queries: DataFrame, candidates: DataFrame, q_id: str, c_id: str, vector: str, k: int = 20) -> DataFrame:
     """``query, candidate, rank, score``: the ``k`` nearest candidates of each of a stated set of queries.
 
@@ -23,20 +31,48 @@ def shortlist(queries: DataFrame, candidates: DataFrame, q_id: str, c_id: str, v
     """
     q = queries.select(F.col(q_id).alias("query"), F.transform(vector, lambda x: x.cast("double")).alias("_q"))
     c = candidates.select(F.col(c_id).alias("candidate"), F.transform(vector, lambda x: x.cast("double")).alias("_c"))
-    n = q.count()
-    blocks = math.ceil(2 * n / QUERY_BLOCK) if n > QUERY_BLOCK else 1
-    parts = [q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b) for b in range(blocks)]
-    pairs = reduce(DataFrame.unionAll, [c.join(F.broadcast(p), F.col("query") != F.col("candidate")) for p in parts])
+    pairs = reduce(DataFrame.unionAll, [c.join(F.broadcast(p), F.col("query") != F.col("candidate")) for p in in_blocks(q, "query")])
     pairs = pairs.withColumn("score", F.round(cosine(F.col("_q"), F.col("_c")), 9))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "candidate")
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query", "candidate", "rank", "score")
 
 
-def mutual_neighbours(pairs: DataFrame, i: str, j: str, distance: str, share: float, slack: float = 1e-9) -> DataFrame:
-    """Cells that are within the percentile of their row and of their column."""
-    row = F.percentile(distance, F.lit(share)).over(Window.partitionBy(i))
-    column = F.percentile(distance, F.lit(share)).over(Window.partitionBy(j))
-    out = pairs.withColumn("_r", row).withColumn("_c", column)
+def distance_cells(queries: DataFrame, candidates: DataFrame, q_id: str, c_id: str, vector: str) -> DataFrame:
+    """``i, j, distance``: cosine distances of a stated set of queries, in broadcast blocks, to all candidates."""
+    q = queries.select(F.col(q_id).alias("i"), F.col(vector).alias("_q"))
+    c = candidates.select(F.col(c_id).alias("j"), F.col(vector).alias("_c"))
+    pairs = reduce(DataFrame.unionAll, [c.join(F.broadcast(p)) for p in in_blocks(q, "i")])
+    return pairs.select("i", "j", F.round(1 - cosine(F.col("_q"), F.col("_c")), 9).alias("distance"))
+
+
+def percentile_by(cells: DataFrame, key: str, x: str, share: float, low: float, high: float, bins: int = 1024) -> DataFrame:
+    """``key, p``: the exact interpolated percentile of ``x`` within each key, without gathering a key's rows.
+
+    Counts by ``bins`` of [low, high] say which bins hold the two order statistics around the percentile; only
+    rows of these bins are ranked. Ties count by value, so equal values are one row.
+    """
+    at = F.least(F.greatest(F.floor((F.col(x) - low) * (bins / (high - low))), F.lit(0)), F.lit(bins - 1))
+    values = cells.groupBy(key, F.col(x).alias("x"), at.alias("bin")).agg(F.count("*").alias("n"))
+    counts = values.groupBy(key, "bin").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy(key)  # at most ``bins`` rows a key
+    upto = F.sum("n").over(w.orderBy("bin"))
+    edges = counts.withColumn("total", F.sum("n").over(w)).withColumn("upto", upto)
+    place = F.lit(share) * (F.col("total") - 1)
+    edges = edges.withColumn("lo", F.floor(place)).withColumn("hi", F.ceil(place)).withColumn("before", F.col("upto") - F.col("n"))
+    wanted = edges.filter((F.col("lo").between(F.col("before"), F.col("upto") - 1)) | (F.col("hi").between(F.col("before"), F.col("upto") - 1)))
+    near = values.withColumnRenamed("n", "m").join(wanted.select(key, "bin", "before", "lo", "hi", place.alias("place")), [key, "bin"])
+    inside = Window.partitionBy(key, "bin").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    near = near.withColumn("to", F.col("before") + F.sum("m").over(inside)).withColumn("from", F.col("to") - F.col("m"))
+    pick = lambda c: F.max(F.when((F.col(c) >= F.col("from")) & (F.col(c) < F.col("to")), F.col("x")))
+    two = near.groupBy(key).agg(pick("lo").alias("a"), pick("hi").alias("b"), F.first("place").alias("place"), F.first("lo").alias("lo"))
+    return two.select(key, (F.col("a") + (F.col("b") - F.col("a")) * (F.col("place") - F.col("lo"))).alias("p"))
+
+
+def mutual_neighbours(cells: DataFrame, i: str, j: str, distance: str, share: float, slack: float = 1e-9, highest: float = 2.0) -> DataFrame:
+    """Cells that are within the percentile of their row and of their column; distances lie in [0, ``highest``]."""
+    row = percentile_by(cells, i, distance, share, 0.0, highest).withColumnRenamed("p", "_r")
+    column = percentile_by(cells, j, distance, share, 0.0, highest).withColumnRenamed("p", "_c")
+    out = cells.join(small_side(row), i).join(column, j)
     return out.filter((F.col(distance) <= F.col("_r") + slack) & (F.col(distance) <= F.col("_c") + slack)).drop("_r", "_c")
 
 
@@ -47,3 +83,21 @@ def chord_heat(a: DataFrame, b: DataFrame, key: str, order: str, chord: str) ->
     right = b.select(F.col(key).alias("right"), F.col(order).alias("j"), F.col(chord).alias("_b"), root.alias("root"))
     same = F.when(F.col("_a") == F.col("_b"), 1.0).otherwise(0.5)
     return left.join(right, "root").filter("root <> ''").select("left", "right", "i", "j", same.alias("heat"))
+
+
+def chord_heat_sums(queries: DataFrame, others: DataFrame, key: str, chord: str) -> DataFrame:
+    """``left, right, cells, heat``: sums of the heat map of a stated set of sequences with all others.
+
+    Equal chords of a sequence make equal rows of the map, so the sequences are counted by chord first and the join
+    on the root sees at most one row a sequence and chord.
+    """
+    root = F.regexp_extract(chord, r"^([A-G][#b]?)", 1)
+
+    def counted(df, side, c, n):
+        return df.groupBy(F.col(key).alias(side), F.col(chord).alias(c), root.alias("root")).agg(F.count("*").alias(n)).filter("root <> ''")
+
+    parts = [counted(others, "right", "_b", "_m").join(F.broadcast(q), "root") for q in in_blocks(counted(queries, "left", "_a", "_n"), "left")]
+    cells = F.col("_n") * F.col("_m")
+    heat = F.when(F.col("_a") == F.col("_b"), cells * 1.0).otherwise(cells * 0.5)
+    both = reduce(DataFrame.unionAll, parts).filter("left <> right")
+    return both.groupBy("left", "right").agg(F.sum(cells).alias("cells"), F.sum(heat).alias("heat"))

@@ -9,6 +9,7 @@ from ..functions import predicates as pr
 from ..functions import rights
 from ..functions import text as tx
 from ..operators import fusion
+from ..storage import small_side
 from .adapters import candidates, measurements, read, rounded, tracks, with_
 
 SIZE = 150
@@ -28,12 +29,20 @@ def q60(spark, d):
     return one.unionByName(two)
 
 
+def signed(spark, d, table, key, permutations=128):
+    """``key, s, band``: MinHash signatures of three-word shingles, once under each band of two places."""
+    rows = tx.computed(read(spark, d, table).select(key, "text"), "w", tx.words(F.col("text")))
+    rows = tx.computed(rows.select(key, "w"), "g", F.array_distinct(tx.array_ngrams(F.col("w"), 3, " "))).filter(F.size("g") > 0)
+    rows = tx.computed(rows.select(key, "g"), "s", tx.minhash(F.col("g"), permutations))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(permutations // 2 - 1)), lambda b: F.xxhash64(b, F.get("s", 2 * b), F.get("s", 2 * b + 1)))
+    return rows.select(key, "s", F.explode(bands).alias("band"))
+
+
 def q73(spark, d):
-    """MinHash estimates of texts against the longest benchmark item; multiples of 1/32."""
-    items = tx.computed(read(spark, d, "benchmark").filter("item_id < 5").select("item_id", "text"), "w", F.array_distinct(tx.array_ngrams(tx.words(F.col("text")), 3, " ")))
-    sig = items.select("item_id", tx.minhash(F.col("w"), 32).alias("s"))
-    both = sig.toDF("a", "sa").join(sig.toDF("b", "sb"), F.col("a") <= F.col("b"))
-    return both.select("a", "b", tx.estimated_jaccard(F.col("sa"), F.col("sb")).alias("estimate"))
+    """Estimated Jaccard similarity of every benchmark item with the documents that agree with it in a band."""
+    a, b = signed(spark, d, "benchmark", "item_id").withColumnRenamed("s", "sa"), signed(spark, d, "documents", "doc_id").withColumnRenamed("s", "sb")
+    met = b.join(small_side(a), "band").dropDuplicates(["item_id", "doc_id"])
+    return met.select("item_id", "doc_id", rounded(tx.estimated_jaccard(F.col("sa"), F.col("sb"))).alias("estimate"))
 
 
 def q74(spark, d):
@@ -49,7 +58,7 @@ def q75(spark, d):
 
 def q76(spark, d):
     """Envelopes through JSON: NULL fields leave no key."""
-    m = measurements(spark, d).filter("query < 800").select("query", "line", "supplier", F.to_json(F.struct("peak", "jaccard", F.col("lyrics_status").alias("status"))).alias("j"))
+    m = measurements(spark, d).select("query", "line", "supplier", F.to_json(F.struct("peak", "jaccard", F.col("lyrics_status").alias("status"))).alias("j"))
     back = m.withColumn("b", F.from_json("j", "peak double, jaccard double, status string"))
     return back.groupBy("b.status").agg(F.count("b.peak").alias("peaks"), F.count("b.jaccard").alias("jaccards"), F.count_if(F.col("j").contains("jaccard")).alias("keys"), rounded(F.sum("b.peak"), 4).alias("peak"))
 
@@ -61,7 +70,7 @@ def q77(spark, d):
 
 
 def q78(spark, d):
-    m = measurements(spark, d).filter("query < 800")
+    m = measurements(spark, d)
     return m.select("query", "line", "supplier", rights.percent_text(F.col("coverage")).alias("coverage"), rights.mistakes_per_hundred(F.col("qmax")).cast("long").alias("mistakes"), F.md5(fusion.explanation(fusion.decide())).alias("explained"))
 
 
@@ -86,8 +95,8 @@ SELECT query, 1 AS level, 'partial' AS status, b.c AS cls, round(CASE WHEN b.p >
 UNION ALL SELECT l.query, 2, 'final', l.b.c, round(CASE WHEN l.b.p >= 0 THEN l.b.p END, 6), f.b.c FROM l LEFT JOIN f ON l.query = f.query""",
     "q74_dominant_share": with_("tracks") + ", n AS (SELECT track, symbol, count(*) AS c FROM trk GROUP BY 1, 2) SELECT track, round(max(c)::DOUBLE / sum(c)::DOUBLE, 6) AS share, sum(c)::BIGINT AS n FROM n GROUP BY track",
     "q75_contract_violations": with_("measurements") + " SELECT supplier, count(*) AS violations FROM meas WHERE supplier % 17 = 0 AND (peak IS NOT NULL OR jaccard IS NOT NULL) GROUP BY supplier",
-    "q76_json_envelopes": with_("measurements") + " SELECT lyrics_status AS status, count(peak) AS peaks, count(jaccard) AS jaccards, count(jaccard) AS keys, round(sum(peak), 4) AS peak FROM meas WHERE query < 800 GROUP BY 1",
+    "q76_json_envelopes": with_("measurements") + " SELECT lyrics_status AS status, count(peak) AS peaks, count(jaccard) AS jaccards, count(jaccard) AS keys, round(sum(peak), 4) AS peak FROM meas GROUP BY 1",
     "q77_earliest_dated": with_("candidates") + ", r AS (SELECT *, row_number() OVER (PARTITION BY license ORDER BY published, candidate) AS r FROM cand WHERE published IS NOT NULL) SELECT license, candidate, published FROM r WHERE r = 1",
-    "q78_texts": with_("measurements", "verdicts") + f" SELECT query, line, supplier, printf('%.0f%%', round_even(coverage * 100, 0)) AS coverage, round((1 - qmax) * 100)::BIGINT AS mistakes, md5('Class ' || rule_class || '. peak ratio ' || {_NUMBER.format('peak')} || '. qmax ' || {_NUMBER.format('qmax')} || '. coverage ' || {_NUMBER.format('coverage')}) AS explained FROM rul WHERE query < 800",
+    "q78_texts": with_("measurements", "verdicts") + f" SELECT query, line, supplier, printf('%.0f%%', round_even(coverage * 100, 0)) AS coverage, round((1 - qmax) * 100)::BIGINT AS mistakes, md5('Class ' || rule_class || '. peak ratio ' || {_NUMBER.format('peak')} || '. qmax ' || {_NUMBER.format('qmax')} || '. coverage ' || {_NUMBER.format('coverage')}) AS explained FROM rul",
     "q79_sliding_windows": """WITH e AS (SELECT event_type, ts, time_bucket(INTERVAL '5 days', ts, TIMESTAMP '1970-01-01') AS b FROM events), w AS (SELECT event_type, b AS s FROM e UNION ALL SELECT event_type, b - INTERVAL '5 days' FROM e) SELECT strftime(s, '%Y-%m-%d') AS start, event_type, count(*) AS n FROM w GROUP BY 1, 2""",
 }

@@ -60,7 +60,7 @@ def q36(spark, d):
 
 
 def q37(spark, d):
-    return engine.ranking(_verdicts(spark, d).filter("query < 2000"), candidates(spark, d), 20).select("query", "candidate", "rank")
+    return engine.ranking(_verdicts(spark, d), candidates(spark, d), 20).select("query", "candidate", "rank")
 
 
 def q38(spark, d):
@@ -176,7 +176,7 @@ def q66(spark, d):
 
 
 def q67(spark, d):
-    m = measurements(spark, d).filter("query < 500")
+    m = measurements(spark, d)
     return m.select("query", "line", "supplier", rounded(rights.span_percent(F.col("semitones"), F.col("span_len"), F.lit(40.0))).alias("share"), rounded(rights.window_step(F.col("span_len"), F.col("line"))).alias("step"),
                     rounded(rights.candidate_position(F.col("span_len"), F.lit(30.0), F.col("tempo"))).alias("position"), rights.clock_text(F.col("span_len") * 7).alias("clock"))
 
@@ -250,6 +250,6 @@ h AS (SELECT *, day - lag(day) OVER (PARTITION BY license ORDER BY day, candidat
 SELECT verdict_class, layer, license, count(*) AS n, round(avg(probability), 6) AS probability, count(*) FILTER (ex AND NOT op AND rc >= 0.5::DOUBLE) AS flagged FROM x GROUP BY 1, 2, 3""",
     "q66_byte_ranges": """SELECT s_suppkey AS candidate, CASE s_suppkey % 6 WHEN 0 THEN 0 WHEN 1 THEN 500 WHEN 2 THEN 800 WHEN 4 THEN 0 END::BIGINT AS start, CASE s_suppkey % 6 WHEN 0 THEN 99 WHEN 1 THEN 999 WHEN 2 THEN 999 WHEN 4 THEN 999 END::BIGINT AS "end" FROM supplier""",
     "q67_display_spans": with_("measurements") + """ SELECT query, line, supplier, round(CASE WHEN span_len IS NOT NULL THEN 100 * greatest(least(greatest(span_len, 0), 40) - least(greatest(semitones, 0), 40), 0) / 40 END, 6) AS share, round(CASE WHEN line > 1 AND span_len > 10 THEN (span_len - 10) / (line - 1) END, 6) AS step,
- round(CASE WHEN span_len IS NULL THEN NULL ELSE greatest(0, span_len + tempo - 30) END, 6) AS position, CASE WHEN span_len IS NOT NULL THEN ((span_len * 7)::BIGINT // 60)::VARCHAR || ':' || lpad(((span_len * 7)::BIGINT % 60)::VARCHAR, 2, '0') END AS clock FROM meas WHERE query < 500""",
+ round(CASE WHEN span_len IS NULL THEN NULL ELSE greatest(0, span_len + tempo - 30) END, 6) AS position, CASE WHEN span_len IS NOT NULL THEN ((span_len * 7)::BIGINT // 60)::VARCHAR || ':' || lpad(((span_len * 7)::BIGINT % 60)::VARCHAR, 2, '0') END AS clock FROM meas""",
     "q68_fetch_report": f"SELECT {_REASON} AS reason, count(*) AS attempted, ceil(count(*) * 1.25::DOUBLE)::BIGINT AS asked FROM orders GROUP BY 1",
 }

@@ -66,15 +66,15 @@ def q07(spark, d):
 
 
 def q08(spark, d):
-    f = _folded(spark, d).filter("track < 20").select("track", "pos", "symbol")
-    return sequences.longest_common_runs(f, f, "track", "pos", "symbol")
+    """Longest common runs of folded event types, from the eight symbols on that count as evidence."""
+    f = _folded(spark, d).select("track", "pos", "symbol")
+    return sequences.longest_common_runs(f, f, "track", "pos", "symbol", 8)
 
 
 def q09(spark, d):
-    s = sequences.intervals(numbered(tracks(spark, d)), "track", "pos", "pitch").filter("track < 40")
-    g = sequences.ngrams(s, "track", "pos", "step", range(2, 4))
-    first = g.groupBy("track", "n", "gram").agg(F.min("pos").alias("pos"))
-    a, b = first.toDF("left", "n", "gram", "i"), first.toDF("right", "n", "gram", "j")
+    s = sequences.intervals(numbered(tracks(spark, d)), "track", "pos", "pitch")
+    g = sequences.ngrams(s, "track", "pos", "step", MELODIC).select("track", "n", "gram").distinct()
+    a, b = g.toDF("left", "n", "gram"), g.toDF("right", "n", "gram")
     shared = a.join(b, ["n", "gram"]).filter("left < right")
     return shared.groupBy("left", "right").agg(F.max("n").alias("longest"), F.count("*").alias("shared"))
 
@@ -129,9 +129,9 @@ def q63(spark, d):
 
 
 def q64(spark, d):
-    t = tracks(spark, d).filter("track < 30").groupBy("track").agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    t = tracks(spark, d).groupBy("track").agg(F.min("t").alias("a"), F.max("t").alias("b"))
     grid = t.select("track", F.explode(F.transform(F.sequence(F.lit(0), F.lit(60)), lambda k: F.col("a") + k * (F.col("b") - F.col("a")) / 60)).alias("beat"))
-    s = sequences.snapped(tracks(spark, d).filter("track < 30"), grid, "track", "t", "beat")
+    s = sequences.snapped(tracks(spark, d), grid, "track", "t", "beat")
     return s.select("track", rounded(F.col("t")).alias("t"), rounded(F.col("beat"), 4).alias("beat"))
 
 
@@ -160,12 +160,12 @@ SELECT degrees, count(*) AS df FROM (SELECT DISTINCT track, degrees FROM dg) GRO
     "q06_intervals": with_("tracks") + f", {_STEPS} SELECT step, count(*) AS n FROM stp GROUP BY step",
     "q07_interval_ngrams": with_("tracks") + f""", {_STEPS}, g AS (SELECT track, step AS a, lead(step, 1) OVER w AS b, lead(step, 2) OVER w AS c, lead(step, 3) OVER w AS d FROM stp WINDOW w AS (PARTITION BY track ORDER BY pos))
 SELECT gram, count(*) AS df FROM (SELECT DISTINCT track, a::VARCHAR || ' ' || b::VARCHAR || ' ' || c::VARCHAR || ' ' || d::VARCHAR AS gram FROM g WHERE d IS NOT NULL) GROUP BY gram HAVING count(*) > 1""",
-    "q08_longest_common_run": with_("tracks", "folded") + """, hits AS (SELECT a.track AS "left", b.track AS "right", a.pos AS i, a.pos - b.pos AS d FROM fld a JOIN fld b ON a.symbol = b.symbol AND a.track < b.track WHERE a.track < 20 AND b.track < 20),
+    "q08_longest_common_run": with_("tracks", "folded") + """, hits AS (SELECT a.track AS "left", b.track AS "right", a.pos AS i, a.pos - b.pos AS d FROM fld a JOIN fld b ON a.symbol = b.symbol AND a.track < b.track),
 isl AS (SELECT *, i - row_number() OVER (PARTITION BY "left", "right", d ORDER BY i) AS island FROM hits), runs AS (SELECT "left", "right", count(*) AS run FROM isl GROUP BY "left", "right", d, island)
-SELECT "left", "right", max(run) AS run FROM runs GROUP BY "left", "right\"""",
-    "q09_shared_ngrams_longest": with_("tracks") + f""", {_STEPS}, g AS (SELECT track, step AS a, lead(step, 1) OVER w AS b, lead(step, 2) OVER w AS c FROM stp WHERE track < 40 WINDOW w AS (PARTITION BY track ORDER BY pos)),
-u AS (SELECT DISTINCT track, 2 AS n, a::VARCHAR || ' ' || b::VARCHAR AS gram FROM g WHERE b IS NOT NULL UNION SELECT DISTINCT track, 3, a::VARCHAR || ' ' || b::VARCHAR || ' ' || c::VARCHAR FROM g WHERE c IS NOT NULL)
-SELECT x.track AS "left", y.track AS "right", max(x.n) AS longest, count(*) AS shared FROM u x JOIN u y ON x.n = y.n AND x.gram = y.gram AND x.track < y.track GROUP BY x.track, y.track""",
+SELECT "left", "right", max(run) AS run FROM runs GROUP BY "left", "right" HAVING max(run) >= 8""",
+    "q09_shared_ngrams_longest": with_("tracks") + f", {_STEPS}, g AS (SELECT track, step::VARCHAR AS s0, " + ", ".join(f"(lead(step, {k}) OVER w)::VARCHAR AS s{k}" for k in range(1, 8)) + " FROM stp WINDOW w AS (PARTITION BY track ORDER BY pos)), u AS ("
+    + " UNION ".join(f"SELECT track, {n} AS n, {" || ' ' || ".join(f's{k}' for k in range(n))} AS gram FROM g WHERE s{n - 1} IS NOT NULL" for n in MELODIC)
+    + """) SELECT x.track AS "left", y.track AS "right", max(x.n) AS longest, count(*) AS shared FROM u x JOIN u y ON x.n = y.n AND x.gram = y.gram AND x.track < y.track GROUP BY x.track, y.track""",
     "q16_density_cap": with_("tracks") + """, r AS (SELECT track, floor(t / 86400)::BIGINT AS hour, event_id, row_number() OVER (PARTITION BY track, floor(t / 86400) ORDER BY amp DESC, event_id) AS rank FROM trk) SELECT * FROM r WHERE rank <= 2""",
     "q17_local_maxima": with_("tracks") + """, m AS (SELECT track, event_id, amp, max(amp) OVER (PARTITION BY track ORDER BY t, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS top FROM trk) SELECT track, event_id, round(amp, 6) AS amp FROM m WHERE amp = top AND amp > 1""",
     "q19_median_smooth": with_("tracks") + """, e AS (SELECT track, event_id, pos, amp, first_value(amp) OVER w AS f, last_value(amp) OVER w AS l, lag(amp, 1) OVER o AS b1, lag(amp, 2) OVER o AS b2, lead(amp, 1) OVER o AS a1, lead(amp, 2) OVER o AS a2 FROM seq
@@ -181,6 +181,6 @@ r AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY energy DESC, star
     "q62_interval_contour": with_("tracks") + f", {_STEPS} SELECT track, pos, (sum(step) OVER (PARTITION BY track ORDER BY pos))::BIGINT AS contour FROM stp",
     "q63_merge_islands": with_("tracks") + """, c AS (SELECT *, CASE WHEN lag(symbol) OVER (PARTITION BY track ORDER BY t, event_id) = symbol THEN 0 ELSE 1 END AS ch FROM trk), g AS (SELECT *, sum(ch) OVER (PARTITION BY track ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS island FROM c)
 SELECT track, island::BIGINT AS island, any_value(symbol) AS symbol, round(min(t), 6) AS t, round(max(t), 6) AS t_end, count(*) AS n FROM g GROUP BY track, island""",
-    "q64_snap_to_grid": with_("tracks") + """, x AS (SELECT track, min(t) AS a, max(t) AS b FROM trk WHERE track < 30 GROUP BY track), g AS (SELECT track, a + k * (b - a) / 60 AS beat FROM x, (SELECT unnest(range(0, 61)) AS k)),
+    "q64_snap_to_grid": with_("tracks") + """, x AS (SELECT track, min(t) AS a, max(t) AS b FROM trk GROUP BY track), g AS (SELECT track, a + k * (b - a) / 60 AS beat FROM x, (SELECT unnest(range(0, 61)) AS k)),
 p AS (SELECT s.event_id, s.track, s.t, g.beat, row_number() OVER (PARTITION BY s.event_id ORDER BY round(abs(s.t - g.beat), 9), g.beat) AS r FROM trk s JOIN g ON s.track = g.track) SELECT track, round(t, 6) AS t, round(beat, 4) AS beat FROM p WHERE r = 1""",
 }
