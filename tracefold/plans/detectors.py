@@ -45,15 +45,18 @@ class Fingerprint:
             return plain
         judged = harmonic.join(plain.select("query", "candidate", "peak_ratio"), ["query", "candidate"], "left")
         tried = judged.filter(predicates.grid_eligible(F.col("qmax"), F.col("peak_ratio"))).select("query", "candidate")
-        grid = F.broadcast(matching.grid(spark))
+        grid = F.broadcast(matching.grid(spark).withColumn("drift", F.pow(F.lit(2.0), F.col("semitones") / 12) / F.col("tempo") - 1))
         variants = _landmark_pairs(queries).join(tried.select(F.col("query").alias("clip_id")).distinct(), "clip_id", "left_semi").crossJoin(grid)
         moved = _hashed(variants, "variant", "semitones", "tempo", semitones=F.col("semitones"), tempo=F.col("tempo"))
         moved = moved.select(F.concat_ws("\x1f", "clip_id", F.col("variant").cast("string")).alias("clip_id"), "i", "h", "t")
         wanted = c.join(tried.select(F.col("candidate").alias("clip_id")).distinct(), "clip_id", "left_semi")
-        results = pairs.offset_analyses(matching.hash_hits(moved, wanted, "clip_id", "clip_id"), least)
+        slopes = variants.select(F.concat_ws("\x1f", "clip_id", F.col("variant").cast("string")).alias("query"), "drift").distinct()
+        results = pairs.offset_analyses(matching.hash_hits(moved, wanted, "clip_id", "clip_id"), least, slopes)
         key = F.split("query", "\x1f")
         results = results.withColumn("variant", F.element_at(key, -1).cast("int")).withColumn("query", F.element_at(key, 1)).join(tried, ["query", "candidate"], "left_semi")
         best = matching.best_variant(results.join(grid, "variant"), "query", "candidate").filter(F.col("peak_ratio") >= floor)
+        # query times of a stretched query, in its own seconds
+        best = best.withColumn("q_start", F.col("q_start") * F.col("tempo")).withColumn("q_end", F.col("q_end") * F.col("tempo"))
         return matching.upsert(plain, best.select(*plain.columns), ["query", "candidate"])
 
 
@@ -66,31 +69,38 @@ class Harmonic:
         q, c = sources.representations_of(queries), sources.representations_of(candidates)
         short = vectors.shortlist(q, c, "clip_id", "clip_id", "descriptor", context.get("shortlist", SHORTLIST)).select("query", "candidate")
         both = short.join(q.select(F.col("clip_id").alias("query"), F.col("frames").alias("a")), "query").join(c.select(F.col("clip_id").alias("candidate"), F.col("frames").alias("b")), "candidate")
-        return pairs.map_rows(both, ["query", "candidate", "a", "b"], "query string, candidate string, status string, reason string, qmax double, transposition int, coverage double, tempo_ratio double", _harmonic)
-
-
-def _harmonic(r: dict) -> list[tuple]:
-    import numpy as np
-
-    found = kernels.harmonic_match(*(np.array(r[x], float).reshape(-1, 12).T for x in ("a", "b")))
-    if found is None:
-        return [(r["query"], r["candidate"], "not_applicable", "no frames", None, None, None, None)]
-    return [(r["query"], r["candidate"], "ok", None, found["qmax"], found["transposition"], found["coverage"], found["tempo_ratio"])]
+        return pairs.harmonic_matches(both, "query", "candidate", context.get("alignment", kernels.DEFAULT))
 
 
 class Lyrics:
-    """Word shingles of texts (``clip_id, text, instrumental``); meaning needs a model and stays NULL without one."""
+    """Word shingles of texts (``clip_id, text, instrumental``), and their meaning where a sentence model is given.
+
+    ``context["embed"]`` maps a list of sentences to a matrix, one row each; without it ``semantic`` stays NULL.
+    """
 
     name, level = "lyrics", 2
 
     def run(self, spark: SparkSession, queries: DataFrame, candidates: DataFrame, context: dict) -> DataFrame:
-        q = tx.computed(queries, "a", tx.tokens(F.coalesce("text", F.lit("")))).select(F.col("clip_id").alias("query"), "a")
-        c = tx.computed(candidates, "b", tx.tokens(F.coalesce("text", F.lit("")))).select(F.col("clip_id").alias("candidate"), "b", "instrumental")
+        q = tx.computed(queries, "a", tx.tokens(F.coalesce("text", F.lit("")))).select(F.col("clip_id").alias("query"), "a", F.col("text").alias("ta"))
+        c = tx.computed(candidates, "b", tx.tokens(F.coalesce("text", F.lit("")))).select(F.col("clip_id").alias("candidate"), "b", "instrumental", F.col("text").alias("tb"))
         both = context["pairs"].join(q, "query").join(c, "candidate")
         empty, silent = (F.size("a") == 0) | (F.size("b") == 0), F.coalesce("instrumental", F.lit(False))
         status = F.when(silent | empty, "not_applicable").otherwise("ok")
         reason = F.when(silent, "instrumental").when(empty, "no_lyrics")
-        return both.select("query", "candidate", status.alias("status"), reason.alias("reason"), F.when(status == "ok", tx.pair_jaccard(F.col("a"), F.col("b"))).alias("jaccard"), F.lit(None).cast("double").alias("semantic"))
+        found = both.select("query", "candidate", status.alias("status"), reason.alias("reason"), F.when(status == "ok", tx.pair_jaccard(F.col("a"), F.col("b"))).alias("jaccard"),
+                            F.when(status == "ok", tx.sentences(F.col("ta"))).alias("sa"), F.when(status == "ok", tx.sentences(F.col("tb"))).alias("sb"))
+        if (embed := context.get("embed")) is None:
+            return found.drop("sa", "sb").withColumn("semantic", F.lit(None).cast("double"))
+        kinds = dict(found.dtypes)
+        names = ["query", "candidate", "status", "reason", "jaccard"]
+
+        def work(r):
+            near = kernels.sentence_agreement(embed(r["sa"]), embed(r["sb"])) if r["sa"] and r["sb"] else None
+            return [(*(r[n] for n in names), near)]
+
+        schema = f"query {kinds['query']}, candidate {kinds['candidate']}, status string, reason string, jaccard double, semantic double"
+        # a model that fails leaves the shingles' number
+        return pairs.map_rows(found, [*names, "sa", "sb"], schema, work, lambda r, _why: (*(r[n] for n in names), None))
 
 
 class Melodic:
@@ -110,7 +120,8 @@ class Melodic:
             run = max((n for _, _, n in kernels.common_runs(a, b, 1)), default=0)
             return [(r["query"], r["candidate"], "ok", None, run, kernels.melodic_distance(a, b), len(kernels.shared_phrases(a, b)))]
 
-        return pairs.map_rows(both, ["query", "candidate", "a", "b"], "query string, candidate string, status string, reason string, run int, distance double, phrases int", work)
+        return pairs.map_rows(both, ["query", "candidate", "a", "b"], "query string, candidate string, status string, reason string, run int, distance double, phrases int", work,
+                              lambda r, why: (r["query"], r["candidate"], "failed", why, None, None, None))
 
 
 for _detector in (Fingerprint(), Harmonic(), Lyrics(), Melodic()):

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import fusion
+from ..storage import materialised
 
 #: Longest shortlist that is ranked or measured expensively.
 SHORTLIST = 20
@@ -35,10 +36,15 @@ def get(name: str) -> Detector:
     return _DETECTORS[name]
 
 
-def run_guarded(spark: SparkSession, detector: Detector, queries: DataFrame, candidates: DataFrame, context: dict) -> tuple[str, str | None, DataFrame | None]:
-    """``(status, reason, results)``: an error while planning is a failed run, and a failed run has no results."""
+def run_guarded(spark: SparkSession, detector: Detector, queries: DataFrame, candidates: DataFrame, context: dict, store: bool = False) -> tuple[str, str | None, DataFrame | None]:
+    """``(status, reason, results)``: an error is a failed run, and a failed run has no results.
+
+    Planning errors always are; with ``store`` the results are also computed here, once, into the shared folder, so
+    that errors of tasks are caught too and plans built on the results do not repeat the detector.
+    """
     try:
-        return "ok", None, detector.run(spark, queries, candidates, context)
+        found = detector.run(spark, queries, candidates, context)
+        return "ok", None, materialised(found, detector.name) if store else found
     except Exception as error:  # noqa: BLE001  any failure of a detector becomes its status
         return "failed", f"{type(error).__name__}: {str(error)[:200]}", None
 
