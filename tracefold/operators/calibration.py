@@ -48,6 +48,16 @@ def fit(df: DataFrame, features: list[str], label: str, cls: str, c: float = 1.0
     return Pipeline(stages=[assembler, model]).fit(df)
 
 
+def save_model(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
+
+
 def model_status(cls: Column, has_model: Column) -> Column:
     return F.when(has_model & ~cls.isin(*REFUSED), "calibrated").otherwise("raw")
 

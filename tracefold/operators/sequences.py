@@ -144,3 +144,14 @@ def snapped(df: DataFrame, grid: DataFrame, key: str, time: str, beat: str) -> D
     out = both.withColumn("_a", earlier).withColumn("_b", later).filter("_kind = 1")
     near = F.when(F.col("_b").isNull() | (F.col("t") - F.col("_a") <= F.col("_b") - F.col("t")), F.col("_a")).otherwise(F.col("_b"))
     return out.select(key, F.col("t").alias(time), near.alias(beat))
+
+
+def contained(items: DataFrame, spans: DataFrame, key: str, start: str, end: str, width: float) -> DataFrame:
+    """The rows of ``items`` that lie wholly in one of the ``spans`` of their key.
+
+    A range join made an equi-join on buckets of ``width``: an item stands under the bucket of its start, a span
+    under all that it touches.
+    """
+    i = items.withColumn("_b", F.floor(F.col(start) / width))
+    s = spans.select(F.col(key), F.col(start).alias("_s"), F.col(end).alias("_e"), F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))).alias("_b"))
+    return i.alias("i").join(s.alias("s"), (F.col(f"i.{key}") == F.col(f"s.{key}")) & (F.col("i._b") == F.col("s._b")) & (F.col(f"i.{start}") >= F.col("_s")) & (F.col(f"i.{end}") <= F.col("_e")), "left_semi").drop("_b")

@@ -101,3 +101,8 @@ def chord_heat_sums(queries: DataFrame, others: DataFrame, key: str, chord: str)
     heat = F.when(F.col("_a") == F.col("_b"), cells * 1.0).otherwise(cells * 0.5)
     both = reduce(DataFrame.unionAll, parts).filter("left <> right")
     return both.groupBy("left", "right").agg(F.sum(cells).alias("cells"), F.sum(heat).alias("heat"))
+
+
+def chosen_descriptor(injected, own, width: int = 256):
+    """The descriptor that was injected, else the clip's own, else one that is as near to everything."""
+    return F.coalesce(injected, own, F.array_repeat(F.lit(1.0), width))

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import io
+import os
 import wave
+from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,12 +33,40 @@ def candidate_set(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CANDIDATE_SET).option("multiLine", True).json(path).select("set_id", F.inline("candidates"))
 
 
+CATALOGUE = ("performance_id", "performance_title", "performer", "language", "instrumental", "youtube_url", "work_title")
+TRUTHY = ("1", "true", "t", "yes", "y")
+
+
+def performances(rows: DataFrame) -> DataFrame:
+    """Catalogue rows of strings cleaned: trimmed, empty language NULL, truthy words true, rows without a work title skipped."""
+    cleaned = {n: F.trim(n) for n in CATALOGUE} | {"language": F.nullif(F.trim("language"), F.lit("")), "instrumental": F.coalesce(F.lower(F.trim("instrumental")).isin(*TRUTHY), F.lit(False))}
+    return rows.select(*(c.alias(n) for n, c in cleaned.items())).filter("work_title <> ''")
+
+
 def catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """Performances from CSV: trimmed, empty language NULL, truthy words true, rows without a work title skipped."""
-    names = ("performance_id", "performance_title", "performer", "language", "instrumental", "youtube_url", "work_title")
-    rows = spark.read.option("header", True).schema(", ".join(f"{n} string" for n in names)).csv(path)
-    cleaned = {n: F.trim(n) for n in names} | {"language": F.nullif(F.trim("language"), F.lit("")), "instrumental": F.lower(F.trim("instrumental")).isin("1", "true", "t", "yes", "y")}
-    return rows.select(*(F.coalesce(c, F.lit(False)).alias(n) if n == "instrumental" else c.alias(n) for n, c in cleaned.items())).filter("work_title <> ''")
+    """Performances from a CSV file with a header, plain or the only member of a zip archive; a missing column is an error."""
+    schema = ", ".join(f"{n} string" for n in CATALOGUE)
+    if not path.endswith(".zip"):
+        rows = spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(path)
+        return performances(rows)
+
+    def lines(batches):
+        import csv
+        import zipfile
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for data in batch.column("content").to_pylist():
+                with zipfile.ZipFile(io.BytesIO(data)) as z, z.open(z.namelist()[0]) as f:
+                    found = csv.DictReader(io.TextIOWrapper(f, "utf-8"))
+                    if lacking := set(CATALOGUE) - set(found.fieldnames or ()):
+                        raise ValueError(f"columns are missing: {sorted(lacking)}")
+                    while part := list(islice(found, 4096)):
+                        yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in part], pa.string()) for n in CATALOGUE], list(CATALOGUE))
+
+    # an archive is one stream, so one task unpacks it; what it holds is dealt out again
+    return performances(spark.read.format("binaryFile").load(path).select("content").mapInArrow(lines, schema).repartition(spark.sparkContext.defaultParallelism))
 
 
 def corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -72,8 +103,25 @@ def url_list(spark: SparkSession, path: str) -> DataFrame:
     """``id, url`` from a text file; blank and comment lines skipped, ids from the URL or its last 32 safe characters."""
     line = F.trim("value")
     rows = spark.read.text(path).select(line.alias("url")).filter("url <> '' and not startswith(url, '#')")
-    named = F.regexp_extract("url", r"(?:v=|youtu\.be/)([A-Za-z0-9_-]{11})", 1)
-    return rows.select(F.when(named != "", named).otherwise(F.right(F.regexp_replace("url", "[^A-Za-z0-9_-]", "_"), F.lit(32))).alias("id"), "url")
+    return rows.select(url_identifier(F.col("url")).alias("id"), "url")
+
+
+def url_identifier(url: Column) -> Column:
+    """The video's id in the URL, else the URL's last 32 safe characters."""
+    named = F.regexp_extract(url, r"(?:v=|youtu\.be/)([A-Za-z0-9_-]{11})", 1)
+    return F.when(named != "", named).otherwise(F.right(F.regexp_replace(url, "[^A-Za-z0-9_-]", "_"), F.lit(32)))
+
+
+def first_given(*columns: str) -> Column:
+    """The first of the columns that is not empty."""
+    return F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in columns))
+
+
+def reason_text(message: Column) -> Column:
+    """An error message in one line of at most 300 characters: no colour codes, no ``ERROR:``, no ``[tag]`` before it."""
+    plain = F.regexp_replace(message, r"\x1b\[[0-9;]*m", "")
+    plain = F.regexp_replace(F.trim(F.regexp_replace(plain, r"\s+", " ")), r"^ERROR: ?", "")
+    return F.left(F.regexp_replace(plain, r"^\[[^\]]*\] ?", ""), F.lit(300))
 
 
 def append_log(rows: DataFrame, path: str) -> None:
@@ -93,6 +141,9 @@ def decode_wav(data: bytes) -> tuple[np.ndarray, int]:
         x = np.frombuffer(raw, "<i2") / 32768.0
     elif width == 1:
         x = (np.frombuffer(raw, np.uint8) - 128.0) / 128.0
+    elif width == 3:
+        b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
+        x = (((b[:, 2] << 24) | (b[:, 1] << 16) | (b[:, 0] << 8)) >> 8) / 8388608.0
     elif width == 4:
         x = np.frombuffer(raw, "<i4") / 2147483648.0
     else:
@@ -167,3 +218,49 @@ def is_internal(address: str) -> bool:
     except ValueError:
         return False
     return not ip.is_global or ip.is_multicast
+
+
+def inside(path: str, root: str) -> bool:
+    """True where the path, symbolic links resolved, lies in the folder."""
+    real, folder = os.path.realpath(path), os.path.realpath(root)
+    return os.path.commonpath([real, folder]) == folder
+
+
+def allowed_source(source: str, root: str) -> str:
+    """The source if it is a web address of a public host, or a path inside the folder of queries; else an error."""
+    from urllib.parse import urlsplit
+
+    parts = urlsplit(source)
+    if parts.scheme in ("http", "https"):
+        if not parts.hostname or parts.hostname == "localhost" or is_internal(parts.hostname):
+            raise ValueError("the address is not a public one")
+        return source
+    if parts.scheme or not inside(source, root):
+        raise ValueError("neither a web address nor a file of the queries' folder")
+    return source
+
+
+def with_urls(entries: DataFrame, files: DataFrame, base: str, path: str = "audio_path") -> DataFrame:
+    """Entries with ``url``, NULL where the file (``files``: the paths there are) does not exist."""
+    there = files.select(F.col(files.columns[0]).alias(path)).distinct().withColumn("_there", F.lit(True))
+    return entries.join(there, path, "left").withColumn("url", F.when(F.col("_there"), F.concat(F.lit(base), F.col(path)))).drop("_there")
+
+
+def parameter_text(**parameters) -> str:
+    """Parameters as one text in order of their names, so that any change of one is another key."""
+    return ";".join(f"{k}={parameters[k]!r}" for k in sorted(parameters))
+
+
+def artifacts(spark: SparkSession, path: str, wanted: DataFrame, key: Column, compute: Callable[[DataFrame], DataFrame], schema: str) -> DataFrame:
+    """Read-through table of computed artifacts: ``wanted`` rows whose key is stored are read, the others computed and stored.
+
+    ``key`` is an expression over ``wanted`` (``artifact_key`` of path, time, size and parameters); ``compute`` maps
+    rows with ``artifact`` to ``schema``, which has ``artifact``. What cannot be read counts as not stored.
+    """
+    try:
+        stored = spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        stored = spark.createDataFrame([], schema)
+    keyed = wanted.withColumn("artifact", key)
+    compute(pending(keyed, stored, "artifact")).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path).join(keyed.select("artifact").distinct(), "artifact", "left_semi")

@@ -64,6 +64,26 @@ def drain(stream: DataFrame, sink, checkpoint: str, mode: str = "append") -> Non
     stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+#: Status of a detector's run as the stream says it (fixed values).
+STAGE = {"ok": "done", "not_applicable": "skipped", "gated": "gated", "failed": "failed"}
+
+
+def stage_status(status):
+    """The stream's word for a run's status."""
+    return F.coalesce(*(F.when(status == k, F.lit(v)) for k, v in STAGE.items()), F.lit("failed"))
+
+
+def pump(spark: SparkSession, work, events: str, query: str, level: int) -> bool:
+    """Runs ``work``; its failure is a last event ``failed`` of the query, so that listeners are never left waiting."""
+    try:
+        work()
+        return True
+    except Exception as error:  # noqa: BLE001  whatever went wrong, listeners are told
+        row = [(query, level, "failed", f'{{"reason": "{type(error).__name__}"}}')]
+        spark.createDataFrame(row, "query string, level int, status string, detail string").coalesce(1).write.mode("append").parquet(events)
+        return False
+
+
 def replay(spark: SparkSession, events: str) -> DataFrame:
     """The whole event log in order, for any listener."""
     return spark.read.parquet(events).orderBy("query", "level")
