@@ -1,7 +1,6 @@
 """The ten operators on hard rows (nulls, empty and long texts, ties, repeats, clashing columns), on empty tables
 and against brute-force versions."""
 
-import hashlib
 import math
 import re
 import zlib
@@ -351,7 +350,7 @@ def test_disclosing_words_far_from_their_entity(spark):
 def test_pii_on_hard_rows(docs):
     got = rows(pii.find_pii(docs))
     assert len(got) == len(TEXTS) and all(r["base"] == r["spans"] == "" for r in got)
-    assert hashlib.sha256(b"").hexdigest() == docs.limit(1).select(F.sha2(F.lit(""), 256)).first()[0]
+    assert all(r[f"n_{kind}"] == 0 for r in got for kind in ("email", "ip", "card", "phone"))
 
 
 # ---- 7, 8 ------------------------------------------------------------------------------------------------------
