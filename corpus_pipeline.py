@@ -13,27 +13,47 @@ from tracefold.llm.simhash import drop_near_copies
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents selected by importance resampling; those rejected go."""
+    """Documents selected by importance resampling; those rejected go.
+
+    Null, empty and wordless texts have ratio 0 and are judged by it; rows of equal id (null ids too) share their
+    chance; without labels of both classes all stay; an empty table stays empty; other columns are kept.
+    """
     return keep_selected(docs, table(spark, sf_dir, "labels"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies (five-word shingles, similarity 0.8)."""
+    """One document of each group of copies and near copies (five-word shingles, similarity 0.8): the smallest id.
+
+    Texts without words (null, empty) are copies of each other; rows with a null id all stay; of rows that repeat
+    an id one stays; an empty table stays empty; other columns are kept.
+    """
     return drop_near_copies(docs)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item.
+
+    Null and wordless texts stay; rows with a null id are judged by their text; repeated rows stay or go together;
+    items without id or words find nothing; an empty table stays empty; other columns are kept.
+    """
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data and disclosing terms generalised in their texts."""
+    """All documents, personal data and disclosing terms generalised in their texts.
+
+    Texts without any, null ones included, are left as they are; every row stays, with a null id or repeated too;
+    ``n_chars`` follows a changed text; an empty table stays empty; other columns are kept.
+    """
     return sanitise_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of power-of-two length, none across documents."""
+    """Token sequences of power-of-two length, none across documents.
+
+    A null or empty text is the end id alone; a null id stays null; repeated rows are packed each; an empty table
+    gives no rows; other columns are ignored.
+    """
     return pack_documents(docs)
 
 
