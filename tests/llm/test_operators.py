@@ -9,7 +9,6 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from tracefold.llm import decontamination, lm_scoring, neighbours, packing, pii, quality, simhash, token_counts, token_files, toxicity
 from tracefold.llm._components import _by_stars, _by_union
