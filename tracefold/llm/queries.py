@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from .decontamination import op3_decontamination
+from .filter_audit import OP12_SQL, op12_filter_audit
 from .lm_scoring import op2_lm_scoring
+from .merkle import OP13_SQL, op13_merkle
+from .mixing import OP11_SQL, op11_mixing
 from .neighbours import op9_neighbours
 from .packing import op6_packing
 from .pii import op5_pii
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_neighbours": op9_neighbours,
     "op10_token_counts": op10_token_counts,
+    "op11_mixing": op11_mixing,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLES = {
@@ -37,4 +43,7 @@ SELECT doc_id, item_id, count(*) AS shared, any_value(item_shingles) AS item_shi
        count(*)::DOUBLE / any_value(item_shingles) AS containment
 FROM d JOIN i USING (s) JOIN n USING (item_id)
 GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(item_shingles) - 1e-9""",
+    "op11_mixing": OP11_SQL,
+    "op12_filter_audit": OP12_SQL,
+    "op13_merkle": OP13_SQL,
 }
