@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+from dataclasses import asdict, dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.music import sigmoid
@@ -58,6 +61,65 @@ def load_model(path: str):
     return PipelineModel.load(path)
 
 
+#: Features of a calibrated score, as columns of the measurement table (fixed values).
+FEATURES = ("peak", "qmax", "coverage", "run", "jaccard", "semantic", "mean_idf")
+
+
+@dataclass(frozen=True)
+class Model:
+    """A calibrated score of one class as numbers: it is applied as a column expression, wherever the columns are."""
+
+    verdict_class: str
+    features: tuple[str, ...]
+    means: tuple[float, ...]
+    weights: tuple[float, ...]
+    flags: tuple[float, ...]
+    bias: float
+    trained_on: int
+
+    def score(self) -> Column:
+        """Missing features count as their mean, and their absence by its own weight."""
+        z = F.lit(self.bias)
+        for c, mean, w, flag in zip(self.features, self.means, self.weights, self.flags, strict=True):
+            x = F.col(c).cast("double")
+            known = x.isNotNull() & ~F.isnan(x)
+            z = z + F.when(known, x).otherwise(F.lit(mean)) * F.lit(w) + F.when(known, F.lit(flag)).otherwise(F.lit(0.0))
+        return sigmoid(z)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        spark.createDataFrame([(json.dumps(asdict(self)),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Model:
+        kept = json.loads(spark.read.text(path).first()["value"])
+        return Model(**{k: tuple(v) if isinstance(v, list) else v for k, v in kept.items()})
+
+
+def train(df: DataFrame, label: str, cls: str, features: tuple[str, ...] = FEATURES, c: float = 1.0) -> Model:
+    """The model of a class from measurements and a 0/1 label; refusals as in ``fit``."""
+    means = feature_means(df, list(features))
+    n = df.count()
+    flags = [f"has_{f}" for f in features]
+    fitted = fit(design(df, list(features), means), [*features, *flags], label, cls, c).stages[-1]
+    weights = [float(x) for x in fitted.coefficients]
+    return Model(cls, tuple(features), tuple(float(x) for x in means.first()), tuple(weights[: len(features)]), tuple(weights[len(features) :]), float(fitted.intercept), n)
+
+
+def calibrated(verdicts: DataFrame, models: dict[str, Model]) -> DataFrame:
+    """Verdicts with ``probability_status``; where their class has a model, its score replaces the raw probability.
+
+    Models of classes that are never calibrated are ignored.
+    """
+    usable = {k: m for k, m in models.items() if k not in REFUSED}
+    p, known = F.col("probability"), F.lit(False)
+    for k, m in usable.items():
+        p, known = F.when(F.col("verdict_class") == k, m.score()).otherwise(p), known | (F.col("verdict_class") == k)
+    columns = {"_p": p.cast("double"), "probability_status": F.when(known, "calibrated").otherwise("uncalibrated")}
+    for c in {f for m in usable.values() for f in m.features} - set(verdicts.columns):
+        verdicts = verdicts.withColumn(c, F.lit(None).cast("double"))
+    return verdicts.withColumns(columns).drop("probability").withColumnRenamed("_p", "probability")
+
+
 def model_status(cls: Column, has_model: Column) -> Column:
     return F.when(has_model & ~cls.isin(*REFUSED), "calibrated").otherwise("raw")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import distinguishable_title
+from ..storage import materialised, small_side
 
 
 def draw_order(seed: int, *columns: str) -> Column:
@@ -58,6 +59,67 @@ def hard_negatives(catalogue: DataFrame, exclude: DataFrame, key: str, seed: int
         key, F.col("x.performance_id").alias("a"), F.col("y.performance_id").alias("b"))
 
 
+def one_pair_a_key(entries: DataFrame, key: str, seed: int, used: DataFrame | None = None) -> DataFrame:
+    """``key, title_a, a, title_b, b``: for each key two works that no other key has, by rounds of mutual choice.
+
+    ``entries`` has ``key, work_title, performance_id``; ``used`` titles are taken. Keys have an order of precedence
+    and a work's standing within a key its own, both hashes of the seed. The result is that of going through the keys
+    by precedence, each taking its two best works that are left. Keys do not wait for that: in a round a key settles
+    when its two best works have no unsettled key of higher precedence, so the first one always does, and a chain of
+    keys that wait for each other is short at random precedence. A key with fewer than two works left has no pair,
+    which makes the result maximal.
+
+    What is gathered at a key is two rows, chosen before rows move; what is gathered at a work is the least
+    precedence of its keys.
+    """
+    rank = draw_order(seed, "_key")
+    rows = entries.filter(F.col(key).isNotNull()).select(F.col(key).alias("_key"), "work_title", "performance_id")
+    rows = rows.groupBy("_key", "work_title").agg(F.min_by("performance_id", F.struct(draw_order(seed, "performance_id"), F.col("performance_id"))).alias("performance_id"))
+    if used is not None:
+        rows = rows.join(used.select("work_title").distinct(), "work_title", "left_anti")
+    rows = rows.withColumn("_rank", F.struct(rank.alias("h"), F.col("_key").cast("string").alias("k"))).withColumn("_o", draw_order(seed, "_key", "work_title"))
+    left, found = materialised(rows, "free-works"), []
+    while True:
+        two = Window.partitionBy("_key").orderBy("_o", "work_title")
+        best = left.withColumn("_r", F.row_number().over(two)).filter("_r <= 2")
+        able = best.groupBy("_key").agg(F.count("*").alias("_n")).filter("_n = 2").select("_key")
+        # works of keys that can no longer have a pair wait for nobody
+        live = left.join(small_side(able), "_key", "left_semi")
+        first = live.groupBy("work_title").agg(F.min("_rank").alias("_first"))
+        own = best.join(able, "_key", "left_semi").join(first, "work_title").groupBy("_key").agg(
+            F.every(F.col("_rank") == F.col("_first")).alias("_all"), F.min(F.struct("_o", "work_title", "performance_id")).alias("x"), F.max(F.struct("_o", "work_title", "performance_id")).alias("y"))
+        settled = materialised(own.filter("_all").select("_key", F.col("x.work_title").alias("title_a"), F.col("x.performance_id").alias("a"), F.col("y.work_title").alias("title_b"), F.col("y.performance_id").alias("b")), "settled")
+        if settled.isEmpty():
+            break
+        found.append(settled)
+        gone = settled.select(F.explode(F.array("title_a", "title_b")).alias("work_title"))
+        left = materialised(live.join(small_side(settled.select("_key")), "_key", "left_anti").join(small_side(gone), "work_title", "left_anti"), "free-works")
+    none = settled if not found else found[0]
+    for more in found[1:]:
+        none = none.unionByName(more)
+    return none.withColumnRenamed("_key", key)
+
+
+def matched_negatives(catalogue: DataFrame, exclude: DataFrame, seed: int, most: int | None = None) -> DataFrame:
+    """``kind, key, title_a, a, title_b, b``: works of one performer, then works of one language, each work used once.
+
+    Vocal performances only; works of ``exclude`` (``work_title``) are taken. All pairs, or ``most`` of them, those of
+    performers first; languages are only tried for what is missing.
+    """
+    vocal = catalogue.filter(~F.col("instrumental") & (F.trim("work_title") != ""))
+    out, used, missing = [], exclude.select("work_title"), most
+    for key, kind in (("performer", "negative_same_performer"), ("language", "negative_same_language")):
+        pairs = one_pair_a_key(vocal.filter(F.trim(key) != ""), key, seed, used).select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), "title_a", "a", "title_b", "b")
+        chosen = materialised(pairs if missing is None else pairs.orderBy(draw_order(seed, "key"), "key").limit(missing), "negatives")
+        out.append(chosen)
+        if missing is not None:
+            missing -= chosen.count()
+            if missing <= 0:
+                break
+        used = used.unionAll(chosen.select(F.explode(F.array("title_a", "title_b"))))
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+
+
 def first_by_key(df: DataFrame, key: str, *order: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(*order)
     return df.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import sources
 from ..functions import kernels, predicates
 from ..functions import text as tx
-from ..operators import matching, pairs, vectors
+from ..operators import commonality, matching, pairs, vectors
 from ..thresholds import threshold
 from .engine import SHORTLIST, register
 
@@ -72,10 +72,35 @@ class Harmonic:
         return pairs.harmonic_matches(both, "query", "candidate", context.get("alignment", kernels.DEFAULT))
 
 
+def spans_with_idf(spans: DataFrame, corpus: tuple[DataFrame, int] | None, fields: list[str]) -> DataFrame:
+    """``query, candidate, spans``: spans in order of ``fields``, each with the mean idf of its ``patterns``.
+
+    ``corpus`` is a table ``pattern, df`` and the number of its documents; the spans' patterns are joined with it.
+    Without a corpus, and in an empty one, ``idf`` is NULL: unknown is not common.
+    """
+    numbered = spans.withColumn("_s", F.struct(*fields))
+    if corpus is None or corpus[1] <= 0:
+        valued = numbered.select("query", "candidate", "_s", F.lit(None).cast("double").alias("idf"))
+    else:
+        frequencies, size = corpus
+        each = numbered.select("query", "candidate", "_s", F.explode_outer("patterns").alias("pattern"))
+        one = spans.sparkSession.createDataFrame([(size,)], "n long")
+        known = commonality.with_idf(each, frequencies.select("pattern", "df"), one, ["pattern"])
+        valued = known.groupBy("query", "candidate", "_s").agg(F.avg(F.when(F.col("pattern").isNotNull(), F.col("idf"))).alias("idf"))
+    # at most as many as the shorter sequence has symbols
+    return valued.groupBy("query", "candidate").agg(F.array_sort(F.collect_list(F.struct("_s.*", "idf"))).alias("spans"))
+
+
+#: Words of a shingle of the text corpus, and the least run of words that is a span (fixed values).
+SHINGLE, SPAN_WORDS = 3, 2
+
+
 class Lyrics:
-    """Word shingles of texts (``clip_id, text, instrumental``), and their meaning where a sentence model is given.
+    """Word shingles of texts (``clip_id, text, instrumental``), common runs of words, and meaning where a sentence model is given.
 
     ``context["embed"]`` maps a list of sentences to a matrix, one row each; without it ``semantic`` stays NULL.
+    ``context["shingles"]`` is a corpus of three-word shingles. ``spans`` say where common runs stand and how many
+    words and characters they have, never what they say.
     """
 
     name, level = "lyrics", 2
@@ -89,22 +114,47 @@ class Lyrics:
         reason = F.when(silent, "instrumental").when(empty, "no_lyrics")
         found = both.select("query", "candidate", status.alias("status"), reason.alias("reason"), F.when(status == "ok", tx.pair_jaccard(F.col("a"), F.col("b"))).alias("jaccard"),
                             F.when(status == "ok", tx.sentences(F.col("ta"))).alias("sa"), F.when(status == "ok", tx.sentences(F.col("tb"))).alias("sb"))
-        if (embed := context.get("embed")) is None:
-            return found.drop("sa", "sb").withColumn("semantic", F.lit(None).cast("double"))
-        kinds = dict(found.dtypes)
+        spans = spans_with_idf(self.spans(both.filter(status == "ok")), context.get("shingles"), ["query_from", "candidate_from", "words", "query_len", "candidate_len"])
         names = ["query", "candidate", "status", "reason", "jaccard"]
+        if (embed := context.get("embed")) is None:
+            scored = found.drop("sa", "sb").withColumn("semantic", F.lit(None).cast("double"))
+        else:
+            kinds = dict(found.dtypes)
+
+            def work(r):
+                near = kernels.sentence_agreement(embed(r["sa"]), embed(r["sb"])) if r["sa"] and r["sb"] else None
+                return [(*(r[n] for n in names), near)]
+
+            schema = f"query {kinds['query']}, candidate {kinds['candidate']}, status string, reason string, jaccard double, semantic double"
+            # a model that fails leaves the shingles' number
+            scored = pairs.map_rows(found, [*names, "sa", "sb"], schema, work, lambda r, _why: (*(r[n] for n in names), None))
+        return scored.join(spans, ["query", "candidate"], "left")
+
+    @staticmethod
+    def spans(both: DataFrame) -> DataFrame:
+        """Common runs of words of rows with token arrays ``a`` and ``b``: places, lengths, shingles."""
+        kinds = dict(both.dtypes)
 
         def work(r):
-            near = kernels.sentence_agreement(embed(r["sa"]), embed(r["sb"])) if r["sa"] and r["sb"] else None
-            return [(*(r[n] for n in names), near)]
+            a, b = r["a"], r["b"]
+            out = []
+            for i, j, n in kernels.common_runs(a, b, max(1, min(SPAN_WORDS, len(a), len(b)))):
+                said = a[i : i + n]
+                grams = ["\x1f".join(said[k : k + SHINGLE]) for k in range(max(1, n - SHINGLE + 1))]
+                length = len(" ".join(said))
+                out.append((r["query"], r["candidate"], i, j, n, length, length, grams))
+            return out
 
-        schema = f"query {kinds['query']}, candidate {kinds['candidate']}, status string, reason string, jaccard double, semantic double"
-        # a model that fails leaves the shingles' number
-        return pairs.map_rows(found, [*names, "sa", "sb"], schema, work, lambda r, _why: (*(r[n] for n in names), None))
+        schema = f"query {kinds['query']}, candidate {kinds['candidate']}, query_from int, candidate_from int, words int, query_len int, candidate_len int, patterns array<string>"
+        return pairs.map_rows(both, ["query", "candidate", "a", "b"], schema, work)
 
 
 class Melodic:
-    """Interval sequences (``clip_id, intervals``): longest common run, edit distance, shared phrases."""
+    """Interval sequences (``clip_id, intervals``): longest common run, edit distance, shared phrases.
+
+    ``context["phrases"]`` is a corpus of interval patterns; ``spans`` are the shared phrases, longest first in
+    ``query``, with their places and idf.
+    """
 
     name, level = "melodic", 2
 
@@ -112,16 +162,21 @@ class Melodic:
         q = queries.select(F.col("clip_id").alias("query"), F.col("intervals").alias("a"))
         c = candidates.select(F.col("clip_id").alias("candidate"), F.col("intervals").alias("b"))
         both = context["pairs"].join(q, "query").join(c, "candidate")
+        kinds = dict(both.dtypes)
 
         def work(r):
             a, b = r["a"] or [], r["b"] or []
             if not a or not b:
                 return [(r["query"], r["candidate"], "not_applicable", "no melody", None, None, None)]
-            run = max((n for _, _, n in kernels.common_runs(a, b, 1)), default=0)
-            return [(r["query"], r["candidate"], "ok", None, run, kernels.melodic_distance(a, b), len(kernels.shared_phrases(a, b)))]
-
-        return pairs.map_rows(both, ["query", "candidate", "a", "b"], "query string, candidate string, status string, reason string, run int, distance double, phrases int", work,
-                              lambda r, why: (r["query"], r["candidate"], "failed", why, None, None, None))
+            phrases = [(n, i, j, ["\x1f".join(map(str, a[i : i + n]))]) for n, i, j in kernels.shared_phrases(a, b)]
+            return [(r["query"], r["candidate"], "ok", None, kernels.longest_run(a, b), kernels.melodic_distance(a, b), phrases)]
+
+        schema = (f"query {kinds['query']}, candidate {kinds['candidate']}, status string, reason string, run int, distance double, "
+                  "found array<struct<size: int, query_from: int, candidate_from: int, patterns: array<string>>>")
+        rows = pairs.map_rows(both, ["query", "candidate", "a", "b"], schema, work, lambda r, why: (r["query"], r["candidate"], "failed", why, None, None, None))
+        flat = rows.select("query", "candidate", F.explode("found").alias("f")).select("query", "candidate", "f.*")
+        spans = spans_with_idf(flat, context.get("phrases"), ["size", "query_from", "candidate_from"])
+        return rows.withColumn("phrases", F.size("found")).drop("found").join(spans, ["query", "candidate"], "left")
 
 
 for _detector in (Fingerprint(), Harmonic(), Lyrics(), Melodic()):

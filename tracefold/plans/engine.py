@@ -36,6 +36,18 @@ def get(name: str) -> Detector:
     return _DETECTORS[name]
 
 
+class Unavailable(Exception):
+    """A detector that gave no results: status and reason."""
+
+    def __init__(self, status: str, reason: str | None):
+        super().__init__(reason)
+        self.status, self.reason = status, reason
+
+
+def named(error: Exception) -> str:
+    return f"{type(error).__name__}: {str(error)[:200]}"
+
+
 def run_guarded(spark: SparkSession, detector: Detector, queries: DataFrame, candidates: DataFrame, context: dict, store: bool = False) -> tuple[str, str | None, DataFrame | None]:
     """``(status, reason, results)``: an error is a failed run, and a failed run has no results.
 
@@ -46,7 +58,7 @@ def run_guarded(spark: SparkSession, detector: Detector, queries: DataFrame, can
         found = detector.run(spark, queries, candidates, context)
         return "ok", None, materialised(found, detector.name) if store else found
     except Exception as error:  # noqa: BLE001  any failure of a detector becomes its status
-        return "failed", f"{type(error).__name__}: {str(error)[:200]}", None
+        return "failed", named(error), None
 
 
 def with_results(candidates: DataFrame, results: DataFrame | None, key: str) -> DataFrame:

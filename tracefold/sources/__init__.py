@@ -209,6 +209,14 @@ def representations_of(found: DataFrame) -> DataFrame:
     return map_rows(found.filter("status = 'ok'"), ["clip_id", "y_harmonic"], "clip_id string, frames array<double>, descriptor array<double>, chords array<string>", work)
 
 
+def beats_of(found: DataFrame) -> DataFrame:
+    """``clip_id, grid``: beats and their subdivisions; an empty grid where no pulse is found."""
+    from ..operators.pairs import map_rows
+
+    return map_rows(found.filter("status = 'ok'"), ["clip_id", "y_harmonic"], "clip_id string, grid array<double>",
+                    lambda r: [(r["clip_id"], kernels.subdivided(kernels.beat_times(np.array(r["y_harmonic"], float), HARMONIC_RATE)))])
+
+
 def is_internal(address: str) -> bool:
     """True for literal addresses that no download may reach."""
     import ipaddress
