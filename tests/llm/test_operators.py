@@ -290,6 +290,34 @@ def test_pieces_are_powers_of_two_and_cover_every_id(docs):
         packing.pack_documents(docs, length=100)
 
 
+def test_batches_hold_one_length_and_every_id_once(docs, spark, tmp_path):
+    many = docs.unionAll(docs).repartition(5)
+    tokens = 512
+
+    def batches(got):
+        by = {}
+        for r in got:
+            by.setdefault(r["batch"], []).append(r)
+        return by
+
+    pieces = lambda got: Counter((r["doc_id"], r["start"], r["length"], bytes(r["ids"])) for r in got)
+    made = rows(packing.pack_documents(many, batch_tokens=tokens))
+    by = batches(made)
+    assert all(len({(r["length"], r["full"]) for r in b}) == 1 for b in by.values())
+    assert all((len(b) == packing.batch_size(b[0]["bucket"], tokens)) == b[0]["full"] for b in by.values())
+    path = str(tmp_path / "batches")
+    packing.write_batches(many, path, tokens)
+    kept = rows(packing.read_batches(spark, path))
+    assert pieces(kept) == pieces(made) and len({r["sequence_id"] for r in kept}) == len(kept)
+    by = batches(kept)
+    assert all({r["length"] for r in b} == {1 << b[0]["bucket"]} for b in by.values())
+    short = [b for b in by.values() if len(b) < packing.batch_size(b[0]["bucket"], tokens)]
+    assert len(short) == len({b[0]["bucket"] for b in short}) and all(not b[0]["full"] for b in short)  # one of a length at most
+    one = rows(packing.read_batches(spark, path, 3))
+    assert one and {r["length"] for r in one} == {8}
+    assert packing.batch_size(11, tokens) == 1
+
+
 def test_token_counts(docs):
     got = Counter((r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in rows(token_counts.count_tokens(docs, sample_docs=3)))
     want = Counter((i, len((t or "").encode()), n := len(library_ids(BYTE, t)), n > 1024) for i, t in TEXTS)
