@@ -280,3 +280,42 @@ def test_scratch_removes_its_own_tables_only(spark):
     with pytest.raises(Exception):
         a.collect()
     two.release()
+
+
+# ---- near copies -----------------------------------------------------------------------------------------------
+
+
+def plain_pairs(members, s):
+    out = set()
+    for k, a, n, p, r in members:
+        for k2, b, m, q, r2 in members:
+            if k == k2 and a < b and r != r2 and min(n - p, m - q) * (1 + s) >= s * (n + m) - 1e-6 and min(n, m) >= s * max(n, m) - 1e-6:
+                out.add((a, b))
+    return out
+
+
+@pytest.mark.parametrize("block", [2, 5, 1000])
+def test_crowded_buckets_block_against_block(spark, block):
+    """Every pair that may reach the similarity and is not connected is found, whatever the blocks."""
+    rng = np.random.default_rng(block)
+    members = [(int(k), i + 1000 * int(k), int(n), int(rng.integers(0, max(1, n // 4))), int(rng.integers(0, 4)) if rng.random() < 0.3 else i) for k in (1, 2, 3) for i, n in enumerate(rng.integers(5, 60 if k > 1 else 8, 50))]
+    df = spark.createDataFrame(members, "key long, id long, n int, pos int, root long")
+    got = [tuple(r) for r in simhash.crowded_pairs(df, 0.8, block).collect()]
+    assert set(got) == plain_pairs(members, 0.8) and len(got) == len(set(got))
+
+
+def test_pages_of_one_template_are_not_all_compared(spark):
+    """Pages that share 86 % of their shingles are no near copies (similarity 0.75): their blocks never meet."""
+    n, own = 4000, 20
+    template = " ".join(f"frame{k}" for k in range(120))
+    rows = [(i, f"{' '.join(f'own{i}x{k}' for k in range(own))} {template}") for i in range(n)]
+    rows += [(n + 1, rows[7][1] + " tail")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    sets = simhash.signatures(docs, 5, 0.8).select(F.col("doc_id").alias("id"), "n", "rare", "cold")
+    index = sets.select("id", "n", F.col("id").alias("root"), "cold", F.posexplode("rare").alias("pos", "key")).filter("pos >= cold")
+    crowd = index.groupBy("key").agg(F.count("*").alias("of")).filter("of > 16")
+    assert crowd.agg(F.max("of")).first()[0] > n
+    blocked, cells = simhash.block_cells(index.join(crowd.select("key"), "key", "left_semi"), 0.8)
+    buckets, blocks = crowd.count(), blocked.select("key", "blk").distinct().count()
+    assert blocks > 10 * buckets and cells.count() == 0
+    assert {r["doc_id"] for r in simhash.drop_near_copies(docs).collect()} == {i for i in range(n)}

@@ -27,8 +27,10 @@ BITS = 64
 SEED = 42
 #: Buckets up to this size are paired directly.
 LIGHT = 64
-#: Documents sampled for the frequency of shingles (or every 16th, if more), and the frequent ones kept.
-SAMPLED, FREQUENT = 20_000, 500_000
+#: Documents sampled for the frequency of shingles, and the frequent ones kept.
+SAMPLED, FREQUENT = 50_000, 500_000
+#: Least members of a block of a crowded bucket.
+BLOCK = 256
 
 
 def words(text: str) -> list[bytes]:
@@ -146,8 +148,11 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def frequent_shingles(docs: DataFrame, width: int, sampled: int = SAMPLED, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles (ascending) of three or more documents of a sample, and their counts; at least every 16th is read."""
-    every = max(1, min(16, docs.count() // sampled))
+    """Shingles (ascending) of three or more documents of a sample of about ``sampled``, and their counts.
+
+    They only order shingles and say which keys may be crowded, so the sample does not bear on what is found.
+    """
+    every = max(1, docs.count() // sampled)
     some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
     counts = shingle_sets(some, width).select(F.explode("sh").alias("sh")).groupBy("sh").agg(F.count("*").alias("n")).filter("n > 2")
     found = counts.orderBy(F.desc("n"), "sh").limit(most).toArrow()
@@ -156,8 +161,8 @@ def frequent_shingles(docs: DataFrame, width: int, sampled: int = SAMPLED, most:
     return hashes[order], n[order]
 
 
-def prefix(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
-    """The rarest of a set's shingles, so many that sets of the similarity share one of them.
+def prefix(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, int]:
+    """The rarest of a set's shingles, so many that sets of the similarity share one of them, and how many are not frequent.
 
     Of ``n`` shingles such sets share ``ceil(similarity * n)`` or more, so not all of them can lie beyond the
     first ``n - ceil(similarity * n) + 1``, in whichever order holds for all sets.
@@ -168,28 +173,31 @@ def prefix(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similari
         at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
         n = np.where(known[at] == hashes, counts[at], 0)
     keep = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1 if len(hashes) else 0
-    return hashes[np.lexsort((hashes, n))[:keep]]
+    order = np.lexsort((hashes, n))[:keep]
+    return hashes[order], int(np.count_nonzero(n[order] == 0))
 
 
 def signatures(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """``(doc_id, same, fp, n, rare)``: a digest of the shingle set, its SimHash, its size and its prefix."""
+    """``(doc_id, same, fp, n, rare, cold)``: a digest of the shingle set, its SimHash, its size, its prefix, and how many of that are not frequent."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, width))
 
     def make():
         def of(part):
-            out = {c: [] for c in ("same", "fp", "n", "rare")}
+            out = {c: [] for c in ("same", "fp", "n", "rare", "cold")}
             for text in part.column("text").to_pylist():
                 own = np.unique(shingle_hashes(words(text), width))
                 out["same"].append(hashlib.md5(own.tobytes()).digest())
                 out["fp"].append(fingerprint(own))
                 out["n"].append(len(own))
-                out["rare"].append(prefix(own, frequent.value, similarity).view(np.int64))
+                rare, cold = prefix(own, frequent.value, similarity)
+                out["rare"].append(rare.view(np.int64))
+                out["cold"].append(cold)
             return out | {"doc_id": part.column("doc_id")}
 
         return of
 
     work = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).filter("doc_id is not null")
-    return map_slices(work, "doc_id long, same binary, fp long, n int, rare array<long>", make)
+    return map_slices(work, "doc_id long, same binary, fp long, n int, rare array<long>, cold int", make)
 
 
 def pairs_within(members: DataFrame, similarity: float, apart: str = "a < b") -> DataFrame:
@@ -201,6 +209,47 @@ def pairs_within(members: DataFrame, similarity: float, apart: str = "a < b") ->
     return sides[0].join(sides[1], (F.col("key_a") == F.col("key_b")) & F.expr("a < b") & F.expr(apart) & sized & enough).select("a", "b")
 
 
+def block_cells(members: DataFrame, similarity: float, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """``members`` with their block ``blk``, and the pairs of blocks ``key, i, j`` (``i <= j``) that may hold a pair.
+
+    A bucket's members are cut into blocks by the size of their sets, as many as the root of their number at most.
+    A set of size ``n`` at place ``pos`` reaches the similarity only with sets up to a size that ``n - pos`` bounds,
+    so blocks whose least size is beyond each other's reach never meet, nor do blocks of one connected group. What
+    is compared then follows the blocks that are left, each pair of them on its own, and not the square of a bucket.
+    """
+    reach = (F.col("n") - F.col("pos")) * F.lit((1 + similarity) / similarity) - F.col("n") + F.lit(1e-6)
+    members = members.withColumn("reach", reach)
+    sizes = members.groupBy("key", "n").agg(F.count("*").alias("_c"))
+    of = Window.partitionBy("key")
+    before = F.coalesce(F.sum("_c").over(of.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    long = F.greatest(F.lit(block), F.ceil(F.sqrt(F.sum("_c").over(of)))).cast("long")
+    sizes = cut(sizes.withColumn("_long", long).withColumn("_at", F.floor(before / F.col("_long"))).withColumn("_of", F.ceil(F.col("_c") / F.col("_long"))).select("key", "n", "_at", "_of"))
+    blocked = cut(members.join(broadcast_if_small(sizes), ["key", "n"]).withColumn("blk", F.col("_at") + F.pmod(F.xxhash64("id"), F.col("_of"))).drop("_at", "_of"))
+    kept = ("n", "top", "reach", "root", "last")
+    stats = blocked.groupBy("key", "blk").agg(F.min("n").alias("n"), F.max("n").alias("top"), F.max("reach").alias("reach"), F.min("root").alias("root"), F.max("root").alias("last"))
+    sides = [stats.select("key", F.col("blk").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in kept)) for k in "ij"]
+    met = sides[0].join(sides[1], "key").filter("i <= j and n_j <= reach_i and n_i <= reach_j and not (root_i = last_i and root_j = last_j and root_i = root_j)")
+    sized = (F.col("top_i") >= F.lit(similarity) * F.col("n_j") - F.lit(1e-6)) & (F.col("top_j") >= F.lit(similarity) * F.col("n_i") - F.lit(1e-6))
+    return blocked, cut(met.filter(sized).select("key", "i", "j"))
+
+
+def crowded_pairs(members: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Pairs of crowded buckets that may reach the similarity and are not connected."""
+    blocked, cells = block_cells(members, similarity, block)
+
+    def side(own: str, s: str) -> DataFrame:
+        rows = blocked.withColumnRenamed("blk", own).join(spread(cells), ["key", own])
+        return rows.select(F.col("key").alias(f"key_{s}"), F.col("i").alias(f"i_{s}"), F.col("j").alias(f"j_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "pos", "root")))
+
+    a, b = side("i", "a"), side("j", "b")
+    most = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    enough = most * F.lit(1 + similarity) >= F.lit(similarity) * (F.col("n_a") + F.col("n_b")) - F.lit(1e-6)
+    sized = F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b") - F.lit(1e-6)
+    once = (F.col("i_a") < F.col("j_a")) | (F.col("id_a") < F.col("id_b"))
+    same = (F.col("key_a") == F.col("key_b")) & (F.col("i_a") == F.col("i_b")) & (F.col("j_a") == F.col("j_b"))
+    return a.join(b, same & once & (F.col("root_a") != F.col("root_b")) & sized & enough).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+
+
 def verified(docs: DataFrame, near: DataFrame, width: int, similarity: float, scratch: Scratch) -> DataFrame:
     """Those of the pairs ``(a, b)`` whose shingle sets have the Jaccard similarity; texts are shuffled, as they
     compress and sets of hashes do not."""
@@ -242,19 +291,24 @@ def near_copy_pairs(docs: DataFrame, sets: DataFrame, width: int, similarity: fl
     misses near copies whose fingerprints lie farther apart, so an exact search over what is not yet connected
     follows. Sets are indexed under the shingles of their prefixes, of which two of the similarity share one; what
     many documents share comes last in the order and so seldom into a prefix. Buckets up to ``light`` are paired.
-    In larger ones all are first paired with the smallest member; then every pair that is not yet connected.
+    In larger ones all are first paired with the smallest member; then, block against block, every pair that is not
+    yet connected. Members of keys that a sample knows as frequent are counted by an aggregation and not gathered
+    by key; a key that it does not know has a small share of all documents.
     """
     scratch = Scratch(docs.sparkSession)
     found = verified(docs, simhash_pairs(sets), width, similarity, scratch)
-    index = rooted(sets.select("id", "n", "rare"), found).select("id", "n", "root", F.posexplode("rare").alias("pos", "key"))
+    index = rooted(sets.select("id", "n", "rare", "cold"), found).select("id", "n", "root", "cold", F.posexplode("rare").alias("pos", "key"))
     of = Window.partitionBy("key")
-    counted = index.withColumn("of", F.count("*").over(of)).withColumn("lo", F.min(F.struct("id", "root")).over(of))
-    members = scratch.store(counted.filter("of > 1").select("key", "id", "n", "pos", "root", "of", F.col("lo.id").alias("lo"), (F.col("lo.root") != F.col("root")).alias("new")), "members")
-    hot = members.filter(F.col("of") > light)
-    near = pairs_within(members.filter(F.col("of") <= light), similarity, "root_a <> root_b").unionAll(hot.filter("new").select(F.col("lo").alias("a"), F.col("id").alias("b")))
+    kept = ("key", "id", "n", "pos", "root", "of", "lo")
+    cold = index.filter("pos < cold").withColumn("of", F.count("*").over(of)).withColumn("lo", F.min(F.struct("id", "root")).over(of)).filter("of > 1").select(*kept)
+    warm = index.filter("pos >= cold")
+    counts = cut(warm.groupBy("key").agg(F.count("*").alias("of"), F.min(F.struct("id", "root")).alias("lo")).filter("of > 1"))  # of frequent keys: a bounded table
+    members = scratch.store(cold.unionAll(warm.join(broadcast_if_small(counts), "key").select(*kept)).select("key", "id", "n", "pos", "root", "of", F.col("lo.id").alias("lo"), (F.col("lo.root") != F.col("root")).alias("new")), "members")
+    crowded = members.filter(F.col("of") > light)
+    near = pairs_within(members.filter(F.col("of") <= light), similarity, "root_a <> root_b").unionAll(crowded.filter("new").select(F.col("lo").alias("a"), F.col("id").alias("b")))
     found = found.unionAll(verified(docs, near, width, similarity, scratch))
-    if not hot.isEmpty():
-        found = found.unionAll(verified(docs, pairs_within(rooted(hot, found), similarity, "root_a <> root_b"), width, similarity, scratch))
+    if not crowded.isEmpty():
+        found = found.unionAll(verified(docs, crowded_pairs(rooted(crowded.select("key", "id", "n", "pos"), found), similarity), width, similarity, scratch))
     scratch.release()
     return found
 
