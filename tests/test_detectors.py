@@ -34,6 +34,18 @@ def test_the_same_recording_is_found_and_no_other(spark, recordings):
     assert "other" not in rows or rows["other"]["peak_ratio"] < 0.5
 
 
+def test_a_stored_index_stands_for_the_candidates_clips(spark, recordings, tmp_path):
+    from tracefold.operators.hash_index import HashIndex
+
+    index = HashIndex(spark, str(tmp_path / "index"), buckets=4)
+    index.add(detectors.fingerprints(recordings[1]).select(F.col("clip_id").alias("candidate"), "h", "t"))
+    detector, names = engine.get("fingerprint"), recordings[1].select("clip_id")
+    plain = {(r["candidate"], r["matched"], r["aligned"], r["repetitions"]) for r in detector.run(spark, *recordings, {}).collect()}
+    assert {(r["candidate"], r["matched"], r["aligned"], r["repetitions"]) for r in detector.run(spark, recordings[0], names, {"index": index}).collect()} == plain
+    found = detector.run(spark, recordings[0], names.filter("clip_id = 'other'"), {"index": index})
+    assert {r["candidate"] for r in found.collect()} <= {"other"}
+
+
 def test_harmony_ranks_the_same_recording_first(spark, recordings):
     found = engine.get("harmonic").run(spark, *recordings, {})
     rows = {r["candidate"]: r for r in found.collect()}

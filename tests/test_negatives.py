@@ -67,3 +67,18 @@ def test_performers_then_languages_share_what_is_used(spark):
     few = sampling.matched_negatives(frame(spark, rows), exclude, 5, 4).collect()
     assert len(few) == 4 and {r["kind"] for r in few} == {"negative_same_performer"} and {(r["kind"], r["key"]) for r in few} <= set(want)
     assert sampling.matched_negatives(frame(spark, []), exclude, 5, 4).count() == 0
+
+
+def test_a_sample_uses_each_work_once(spark):
+    rng = np.random.default_rng(11)
+    title = lambda k: f"a rather long title {k}"
+    rows = [(k, f"band{rng.integers(0, 9)}", title(k // 3), False, "en" if k % 6 < 3 else "de") for k in range(90)]  # thirty works of three performances
+    rows += [(1000 + k, f"band{rng.integers(0, 9)}", title(500 + k), False, str(rng.choice(["en", "fr"]))) for k in range(40)]  # forty of one
+    for singles in (True, False):
+        got = sampling.sample_pairs(frame(spark, rows), 12, 8, 3, singles).collect()
+        pos, neg = [r for r in got if r["label"] == 1], [r for r in got if r["label"] == 0]
+        assert len(pos) == 12 and len(neg) == 8 and all(r["other_work_title"] is None and r["left_id"] // 3 == r["right_id"] // 3 for r in pos)
+        titles = [r["work_title"] for r in pos] + [t for r in neg for t in (r["work_title"], r["other_work_title"])]
+        assert len(titles) == len(set(titles)) and all((r["left_id"] >= 1000) == singles == (r["right_id"] >= 1000) for r in neg)
+        by = {r[0]: r for r in rows}
+        assert all(r["language"] == (by[r["left_id"]][4] if by[r["left_id"]][4] == by[r["right_id"]][4] else None) for r in neg)

@@ -195,3 +195,85 @@ def test_estimates_of_signatures(spark):
         a, b = signature(words(items[r["item_id"]])), signature(words(docs[r["doc_id"]]))
         assert r["estimate"] == pytest.approx(np.mean(np.array(a) == np.array(b)), abs=1e-6)
         assert any(a[2 * k : 2 * k + 2] == b[2 * k : 2 * k + 2] for k in range(64))
+
+
+# ---- negatives, melodies and spans over whole tables ---------------------------------------------------------------
+
+
+def test_negatives_of_the_catalogue(spark, sf):
+    from tests.test_negatives import one_by_one
+    from tracefold.plans.adapters import catalogue
+    from tracefold.queries import QUERIES
+
+    rows = [(r["performance_id"], r["performer"], r["work_title"], r["instrumental"], r["language"]) for r in catalogue(spark, sf).collect()]
+    used = {title for p, _, title, *_ in rows if p % 10 == 0}
+    want = {("negative_same_performer", k): v for k, v in one_by_one(rows, "performer", 42, used).items()}
+    want |= {("negative_same_language", k): v for k, v in one_by_one(rows, "language", 42, used).items()}
+    got = {(r["kind"], r["key"]): ((r["title_a"], r["a"]), (r["title_b"], r["b"])) for r in QUERIES["q96_matched_negatives"](spark, sf).collect()}
+    assert got == want and len(got) > 5
+
+
+def test_melodies_of_the_tracks(spark, sf):
+    import hashlib
+
+    from tests.test_melody import plain_line
+    from tracefold.plans.adapters import tracks
+    from tracefold.queries import QUERIES
+
+    by = {}
+    for r in tracks(spark, sf).collect():
+        by.setdefault(r["track"], []).append((r["t"] / 86400, r["event_id"], float(r["pitch"])))
+    want = {}
+    for track, notes in by.items():
+        notes.sort()
+        points = [k / 4 for k in range(4 * int(np.floor(notes[0][0])), 4 * int(np.ceil(notes[-1][0])) + 1)]
+        near = lambda t, points=points: min(points, key=lambda p: (abs(p - t), p))
+        out = []
+        for k, a, b in plain_line([(k, s, s + 0.4, p) for k, (s, _, p) in enumerate(notes)]):
+            a, b, p = near(a * 0.01), near(b * 0.01), notes[k][2]
+            if b - a < 0.125:
+                continue
+            if out and out[-1][0] == p and out[-1][2] >= a:
+                out[-1] = (p, out[-1][1], max(out[-1][2], b))
+            else:
+                out.append((p, a, b))
+        steps = ",".join(str(round(y[0] - x[0])) for x, y in zip(out, out[1:]))
+        want[track] = (len(out), sum(b - a for _, a, b in out), hashlib.md5(steps.encode()).hexdigest())
+    got = {r["track"]: (r["notes"], r["days"], r["digest"]) for r in QUERIES["q98_quantised_melody"](spark, sf).collect()}
+    assert {k: (v[0], v[2]) for k, v in got.items()} == {k: (v[0], v[2]) for k, v in want.items()} and all(abs(got[k][1] - want[k][1]) < 1e-6 for k in want)
+
+
+def test_spans_of_items_in_documents(spark, sf):
+    import math
+    import re
+    from collections import Counter
+
+    from tracefold.queries import QUERIES
+
+    def tokens(text):
+        ws = [w for w in (re.sub(r"[^\w]+", "", x.lower()) for x in (text or "").split()) if w]
+        return [w for k, w in enumerate(ws) if not k or w != ws[k - 1]]
+
+    docs = {r["doc_id"]: tokens(r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    items = {r["item_id"]: tokens(r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    runs = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    df = Counter(g for w in docs.values() for g in runs(w, 3))
+    want = {}
+    for q, a in items.items():
+        for c, b in docs.items():
+            if not runs(a, 5) & runs(b, 5):
+                continue
+            spans, i = [], 0
+            while i < len(a):
+                best = max((next((n for n in range(len(a) - i + 1) if i + n == len(a) or j + n == len(b) or a[i + n] != b[j + n]), 0) for j in range(len(b))), default=0)
+                if best >= min(2, len(a), len(b)):
+                    grams = [tuple(a[i + k : i + k + 3]) for k in range(best - 2)] if best >= 3 else []
+                    spans.append((best, np.mean([math.log(len(docs) / max(1, df[g])) for g in grams]) if grams else math.log(len(docs))))
+                    i += best
+                else:
+                    i += 1
+            want[q, c] = (len(spans), sum(n for n, _ in spans), max(n for n, _ in spans), round(float(np.mean([x for _, x in spans])), 6))
+    got = {(r["query"], r["candidate"]): (r["spans"], r["words"], r["longest"], r["idf"]) for r in QUERIES["q99_text_spans"](spark, sf).collect()}
+    assert got.keys() == want.keys() and got
+    for k, v in got.items():
+        assert v[:3] == want[k][:3] and abs(v[3] - want[k][3]) < 1e-5

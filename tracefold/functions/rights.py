@@ -80,3 +80,20 @@ def clock_text(seconds: Column) -> Column:
 
 def mistakes_per_hundred(precision: Column) -> Column:
     return F.round((1 - precision) * 100)
+
+
+#: Multipliers of the scatter hash (fixed values).
+SCATTER = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
+
+
+def _times32(x: Column, factor: int) -> Column:
+    """The low 32 bits of a product, unsigned; by halves, so that nothing overflows."""
+    low, high = factor & 0xFFFF, factor >> 16
+    return (x * F.lit(low) + F.shiftleft((x * F.lit(high)).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def scatter(index: Column, seed: Column) -> Column:
+    """A place in [0, 1) that looks random and is the same for the same index and seed (both small non-negative numbers)."""
+    x = _times32(index.cast("long") + 1, SCATTER[0]).bitwiseXOR(_times32(seed.cast("long") + 1, SCATTER[1]))
+    x = _times32(x.bitwiseXOR(F.shiftright(x, 15)), SCATTER[2])
+    return (x.bitwiseXOR(F.shiftright(x, 13)) % 100_000) / F.lit(100_000.0)

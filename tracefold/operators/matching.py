@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.music import landmark_hash
-from ..storage import small_side
+from ..storage import is_small
+from .joins import dealt_join
 
 #: The transformation grid: semitones and tempo ratios (fixed values).
 SEMITONES = tuple(range(-6, 7))
@@ -18,11 +19,12 @@ def hash_hits(query: DataFrame, candidates: DataFrame, q_key: str = "query", c_k
 
     ``query`` has its key, ``i`` (number of the occurrence), ``h`` and ``t``; ``candidates`` a key, ``h``, ``t``. A
     query side of few rows is broadcast, so that candidates are matched where they are read and no common hash
-    gathers them in one task.
+    gathers them in one task. Of a large one, both sides are shuffled by hash and common hashes dealt out in blocks.
     """
     q = query.select(F.col(q_key).alias("query"), "i", "h", F.col("t").alias("qt"))
     c = candidates.select(F.col(c_key).alias("candidate"), "h", F.col("t").alias("ct"))
-    return c.join(small_side(q), "h").select("query", "candidate", "i", "qt", (F.col("ct") - F.col("qt")).alias("dt"))
+    both = c.join(F.broadcast(q), "h") if is_small(q) else dealt_join(c, q, "h", ["candidate", "ct"], ["query", "i"])
+    return both.select("query", "candidate", "i", "qt", (F.col("ct") - F.col("qt")).alias("dt"))
 
 
 def matched_hashes(hits: DataFrame, least: int) -> DataFrame:

@@ -120,6 +120,25 @@ def matched_negatives(catalogue: DataFrame, exclude: DataFrame, seed: int, most:
     return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
+def sample_pairs(catalogue: DataFrame, positives: int, negatives: int, seed: int, from_singles: bool = True) -> DataFrame:
+    """``label, kind, work_title, other_work_title, language, left_id, right_id``: a whole calibration sample.
+
+    Positives are two performances of one work, at most one pair a work. Negatives are of two works, none of which
+    the positives or another negative use, drawn from works with a single performance (nobody can have covered
+    them), or from the pool of the positives.
+    """
+    grouped = groups(catalogue)
+    pool = qualifying(grouped)
+    pos = materialised(positive_pairs(catalogue, pool, seed, positives), "positives")
+    source = catalogue.join((singletons(grouped) if from_singles else pool).select("work_title"), "work_title", "left_semi")
+    neg = matched_negatives(source, pos, seed, negatives)
+    language = catalogue.select("performance_id", F.col("language").alias("_language"))
+    neg = neg.join(language.toDF("a", "la"), "a").join(language.toDF("b", "lb"), "b").withColumn("language", F.when(F.col("la") == F.col("lb"), F.col("la")))
+    one = pos.select(F.lit(1).alias("label"), F.lit("positive").alias("kind"), "work_title", F.lit(None).cast("string").alias("other_work_title"), "language", F.col("a").alias("left_id"), F.col("b").alias("right_id"))
+    none = neg.select(F.lit(0).alias("label"), "kind", F.col("title_a").alias("work_title"), F.col("title_b").alias("other_work_title"), "language", F.col("a").alias("left_id"), F.col("b").alias("right_id"))
+    return one.unionByName(none)
+
+
 def first_by_key(df: DataFrame, key: str, *order: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(*order)
     return df.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import dealt_join
+
 
 def fold_repeats(df: DataFrame, key: str, order: list[str], symbol: str) -> DataFrame:
     """Rows whose symbol differs from the one before, numbered anew as ``pos`` from 1."""
@@ -56,7 +58,7 @@ def diagonal_runs(a: DataFrame, b: DataFrame, key: str, order: str, symbol: str,
     Runs of ``least`` symbols are joined as one key, which leaves only places where that many agree; seeds that
     follow each other on a diagonal form an island, and a run is as long as its island plus the seed's rest.
     """
-    hits = _seeds(a, key, order, symbol, least, "left", "i").join(_seeds(b, key, order, symbol, least, "right", "j"), "gram").filter("left < right")
+    hits = dealt_join(_seeds(a, key, order, symbol, least, "left", "i"), _seeds(b, key, order, symbol, least, "right", "j"), "gram", ["left", "i"], ["right", "j"]).filter("left < right")
     w = Window.partitionBy("left", "right", "d").orderBy("i")
     hits = hits.withColumn("d", F.col("i") - F.col("j")).withColumn("island", F.col("i") - F.row_number().over(w))
     return hits.groupBy("left", "right", "d", "island").agg(F.min("i").alias("i"), F.min("j").alias("j"), (F.count("*") + least - 1).alias("run")).drop("d", "island")
@@ -77,8 +79,13 @@ def longest_common_per_start(a: DataFrame, b: DataFrame, key: str, order: str, s
 def sharing(df: DataFrame, key: str, order: str, symbol: str, least: int) -> DataFrame:
     """``left, right``: pairs of sequences that have a run of ``least`` symbols in common."""
     g = ngrams(df, key, order, symbol, range(least, least + 1)).select(key, "gram").distinct()
-    a, b = g.select(F.col(key).alias("left"), "gram"), g.select(F.col(key).alias("right"), "gram")
-    return a.join(b, "gram").filter("left < right").select("left", "right").distinct()
+    return meeting(g, key, "gram").select("left", "right").distinct()
+
+
+def meeting(rows: DataFrame, key: str, on: str) -> DataFrame:
+    """``left, right`` and ``on``: pairs of keys that share a value; values of many keys are dealt out in blocks."""
+    a, b = rows.select(F.col(key).alias("left"), on), rows.select(F.col(key).alias("right"), on)
+    return dealt_join(a, b, on, ["left"], ["right"]).filter("left < right")
 
 
 def analysis_windows(df: DataFrame, key: str, duration: str, width: float = 10.0, hop: float = 5.0, shortest: float = 1.0) -> DataFrame:

@@ -18,6 +18,7 @@ from .. import sources
 from ..functions import kernels, music
 from ..functions import predicates as pr
 from ..operators import calibration, commonality, fusion, matching, pairs
+from ..operators.hash_index import HashIndex
 from ..streaming import STAGE
 from . import detectors, engine
 from .jobs import Job
@@ -173,12 +174,12 @@ def analyze(
     spark: SparkSession, queries: DataFrame, candidate_clips: DataFrame, candidates: DataFrame, frequencies: DataFrame | None = None, corpus_size: int = 0,
     hooks: Hooks | None = None, texts: DataFrame | None = None, alignment: kernels.Alignment = kernels.DEFAULT, folder: str | None = None,
     on_result: OnResult | None = None, listener: Callable[[dict], None] | None = None, models: dict[str, calibration.Model] | None = None,
-    phrases: tuple[DataFrame, int] | None = None, shingles: tuple[DataFrame, int] | None = None,
+    phrases: tuple[DataFrame, int] | None = None, shingles: tuple[DataFrame, int] | None = None, index: HashIndex | None = None,
 ) -> Analysis:
     """The run over ``queries`` and ``candidate_clips`` (tables of clips) and ``candidates`` (the manifest, keyed by ``candidate``).
 
     ``frequencies`` (``pattern, df``) and ``corpus_size`` are the corpus of chords, ``phrases`` and ``shingles``
-    those of intervals and words (table and size); ``texts`` are the candidates' lyrics (``clip_id, text,
+    those of intervals and words (table and size); ``index`` has the candidates' fingerprints; ``texts`` are the candidates' lyrics (``clip_id, text,
     instrumental``); ``models`` are calibrated scores by class. A query that could not be read has no ranking; if
     none could, the run fails, which is an event and a result like any other.
 
@@ -231,7 +232,8 @@ def analyze(
     # level 1
     harmonic = stage("harmonic", 1, guarded("harmonic", lambda: readable, lambda: heard, {"alignment": alignment}))
     # one run has the plain pass and, for those that the harmony suggests, the grid
-    fingerprint = stage("fingerprint", 1, guarded("fingerprint", lambda: readable, lambda: heard, {"harmonic": harmonic.filter("status = 'ok'")} if harmonic is not None else {}))
+    given = {"index": index} | ({"harmonic": harmonic.filter("status = 'ok'")} if harmonic is not None else {})
+    fingerprint = stage("fingerprint", 1, guarded("fingerprint", lambda: readable, lambda: heard, given))
     size = spark.createDataFrame([(corpus_size,)], "n long")
     frequencies = spark.createDataFrame([], "pattern string, df long") if frequencies is None else frequencies
     common = job.store("commonality", lambda: commonality_of(harmonic, frequencies, size) if harmonic is not None else spark.createDataFrame([], "query string, candidate string, mean_idf double, corpus_frequency long"))

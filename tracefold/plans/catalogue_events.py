@@ -9,7 +9,8 @@ from ..functions import predicates as pr
 from ..functions import rights
 from ..functions import text as tx
 from ..operators import fusion
-from ..storage import small_side
+from ..operators.joins import dealt_join
+from ..storage import is_small, materialised
 from .adapters import candidates, measurements, read, rounded, tracks, with_
 
 SIZE = 150
@@ -30,19 +31,26 @@ def q60(spark, d):
 
 
 def signed(spark, d, table, key, permutations=128):
-    """``key, s, band``: MinHash signatures of three-word shingles, once under each band of two places."""
+    """``key, s``: MinHash signatures of three-word shingles, computed once."""
     rows = tx.computed(read(spark, d, table).select(key, "text"), "w", tx.words(F.col("text")))
     rows = tx.computed(rows.select(key, "w"), "g", F.array_distinct(tx.array_ngrams(F.col("w"), 3, " "))).filter(F.size("g") > 0)
-    rows = tx.computed(rows.select(key, "g"), "s", tx.minhash(F.col("g"), permutations))
+    return materialised(rows.select(key, tx.minhash(F.col("g"), permutations).alias("s")), "signatures")
+
+
+def banded(signatures, key, permutations=128):
+    """``key, band``: hashes of each two places; the signatures stay behind."""
     bands = F.transform(F.sequence(F.lit(0), F.lit(permutations // 2 - 1)), lambda b: F.xxhash64(b, F.get("s", 2 * b), F.get("s", 2 * b + 1)))
-    return rows.select(key, "s", F.explode(bands).alias("band"))
+    return signatures.select(key, F.explode(bands).alias("band"))
 
 
 def q73(spark, d):
     """Estimated Jaccard similarity of every benchmark item with the documents that agree with it in a band."""
-    a, b = signed(spark, d, "benchmark", "item_id").withColumnRenamed("s", "sa"), signed(spark, d, "documents", "doc_id").withColumnRenamed("s", "sb")
-    met = b.join(small_side(a), "band").dropDuplicates(["item_id", "doc_id"])
-    return met.select("item_id", "doc_id", rounded(tx.estimated_jaccard(F.col("sa"), F.col("sb"))).alias("estimate"))
+    a, b = signed(spark, d, "benchmark", "item_id"), signed(spark, d, "documents", "doc_id")
+    x, y = banded(a, "item_id"), banded(b, "doc_id")
+    both = y.join(F.broadcast(x), "band") if is_small(x) else dealt_join(y, x, "band", ["doc_id"], ["item_id"])
+    met = materialised(both.select("item_id", "doc_id").distinct(), "met")
+    scored = met.join(a.withColumnRenamed("s", "sa"), "item_id").join(b.withColumnRenamed("s", "sb"), "doc_id")
+    return scored.select("item_id", "doc_id", rounded(tx.estimated_jaccard(F.col("sa"), F.col("sb"))).alias("estimate"))
 
 
 def q74(spark, d):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import rights
 from ..functions import text as tx
 from ..operators import calibration, fusion, pairs, sampling
 from ..operators.hash_index import HashIndex
@@ -99,7 +100,7 @@ def q99(spark, d):
     return each.groupBy("query", "candidate").agg(F.count("*").alias("spans"), F.sum("s.words").alias("words"), F.max("s.words").alias("longest"), rounded(F.avg("s.idf")).alias("idf"))
 
 
-def q100(spark, d):
+def q72(spark, d):
     """How many measurements each limit of the cascade lets through, where it stands, and how close the nearest ones are."""
     limits = {"EXACT_PEAK_RATIO": "peak", "MODIFIED_PEAK_RATIO": "peak", "EXCERPT_PEAK_RATIO": "peak", "VERSION_MAX_PEAK_RATIO": "peak", "EXACT_MIN_SPAN_S": "span_len", "MODIFIED_QMAX": "qmax", "VERSION_QMAX": "qmax",
               "LYRICS_MAX_QMAX": "qmax", "VERSION_COVERAGE": "coverage", "EXCERPT_WORK_MAX_COVERAGE": "coverage", "VERSION_SEMANTIC_SIM": "semantic", "LYRICS_JACCARD": "jaccard"}
@@ -109,7 +110,18 @@ def q100(spark, d):
     return rows.groupBy("name", "threshold").agg(F.count("x").alias("measured"), F.count_if(over).alias("above"), rounded(F.min(F.when(over, F.col("x")))).alias("least_above"), rounded(F.max(F.when(~over, F.col("x")))).alias("most_below"))
 
 
-QUERIES = {"q94_evidence_statuses": q94, "q95_stored_index": q95, "q96_matched_negatives": q96, "q97_calibrated_verdicts": q97, "q98_quantised_melody": q98, "q99_text_spans": q99, "q100_thresholds_applied": q100}
+def q100(spark, d):
+    """Where the points of each track's events stand on a scattered picture."""
+    e = read(spark, d, "events").select("event_id", rights.scatter(F.col("event_id"), F.col("user_id")).alias("place"))
+    return e.select("event_id", rounded(F.col("place")).alias("place"))
+
+
+def q101(spark, d):
+    """The whole calibration sample of the catalogue: positives, then negatives from single performances."""
+    return sampling.sample_pairs(catalogue(spark, d), 40, 40, 42)
+
+
+QUERIES = {"q94_evidence_statuses": q94, "q95_stored_index": q95, "q96_matched_negatives": q96, "q97_calibrated_verdicts": q97, "q98_quantised_melody": q98, "q99_text_spans": q99, "q72_thresholds": q72, "q100_scatter": q100, "q101_calibration_sample": q101}
 
 
 def _score(model: calibration.Model) -> str:
@@ -130,7 +142,9 @@ WHERE candidate % 7 <> 0 AND (candidate % 11 <> 0 OR dt + qt < 40) GROUP BY 1, 2
     "q97_calibrated_verdicts": with_("measurements", "verdicts") + f""", c AS (SELECT verdict_class, CASE WHEN verdict_class IN ('EXACT', 'VERSION') THEN 'calibrated' ELSE 'uncalibrated' END AS probability_status,
  CASE verdict_class WHEN 'EXACT' THEN {_score(MODELS['EXACT'])} WHEN 'VERSION' THEN {_score(MODELS['VERSION'])} ELSE probability END AS p FROM ver)
 SELECT verdict_class, probability_status, floor(p * 20)::BIGINT AS bin, count(*) AS n, round(avg(p), 9) AS probability FROM c GROUP BY 1, 2, 3""",
-    "q100_thresholds_applied": with_("measurements") + """, lim(name, threshold, c) AS (VALUES ('EXACT_PEAK_RATIO', 0.6::DOUBLE, 'peak'), ('MODIFIED_PEAK_RATIO', 0.5, 'peak'), ('EXCERPT_PEAK_RATIO', 0.4, 'peak'), ('VERSION_MAX_PEAK_RATIO', 0.4, 'peak'), ('EXACT_MIN_SPAN_S', 15, 'span_len'),
+    "q100_scatter": """WITH a AS (SELECT event_id, xor((event_id + 1)::HUGEINT * 2654435761 % 4294967296, (user_id + 1)::HUGEINT * 2246822507 % 4294967296) AS x FROM events),
+b AS (SELECT event_id, xor(x, x // 32768) * 3266489909 % 4294967296 AS x FROM a) SELECT event_id, round((xor(x, x // 8192) % 100000)::DOUBLE / 100000.0::DOUBLE, 6) AS place FROM b""",
+    "q72_thresholds": with_("measurements") + """, lim(name, threshold, c) AS (VALUES ('EXACT_PEAK_RATIO', 0.6::DOUBLE, 'peak'), ('MODIFIED_PEAK_RATIO', 0.5, 'peak'), ('EXCERPT_PEAK_RATIO', 0.4, 'peak'), ('VERSION_MAX_PEAK_RATIO', 0.4, 'peak'), ('EXACT_MIN_SPAN_S', 15, 'span_len'),
  ('MODIFIED_QMAX', 0.5, 'qmax'), ('VERSION_QMAX', 0.25, 'qmax'), ('LYRICS_MAX_QMAX', 0.4, 'qmax'), ('VERSION_COVERAGE', 0.5, 'coverage'), ('EXCERPT_WORK_MAX_COVERAGE', 0.4, 'coverage'), ('VERSION_SEMANTIC_SIM', 0.7, 'semantic'), ('LYRICS_JACCARD', 0.5, 'jaccard')),
 m AS (SELECT name, threshold, CASE c WHEN 'peak' THEN peak WHEN 'span_len' THEN span_len WHEN 'qmax' THEN qmax WHEN 'coverage' THEN coverage WHEN 'semantic' THEN semantic ELSE jaccard END AS x FROM meas, lim)
 SELECT name, threshold, count(x) AS measured, count(*) FILTER (x > threshold) AS above, round(min(x) FILTER (x > threshold), 6) AS least_above, round(max(x) FILTER (x <= threshold), 6) AS most_below FROM m GROUP BY 1, 2""",

@@ -79,7 +79,7 @@ def q87(spark, d):
 def q88(spark, d):
     """Pages as fetch items: ids from their addresses, messages as reasons."""
     p = read(spark, d, "pages")
-    message = F.concat(F.lit("\x1b[0;31mERROR:\x1b[0m [generic]  page "), F.col("page_id").cast("string"), F.lit(":\n  "), F.left("html", F.lit(400)))
+    message = F.concat(F.lit("\x1b[0;31mERROR:\x1b[0m [generic]  page "), F.col("page_id").cast("string"), F.lit(":\n  "), F.col("html"))
     p = p.withColumn("video_id", F.lit(" "))
     return p.select("page_id", sources.url_identifier(F.col("url")).alias("id"), sources.first_given("video_id", "url").alias("source"), F.length(sources.reason_text(message)).cast("long").alias("reason_length"))
 
@@ -147,7 +147,7 @@ x AS (SELECT c.candidate, coalesce(r.status, 'not_applicable') AS status, r.peak
 SELECT candidate, status, CASE status WHEN 'ok' THEN 'done' WHEN 'not_applicable' THEN 'skipped' ELSE status END AS stage, CASE WHEN status = 'ok' THEN round(peak, 6) END AS peak FROM x""",
     "q86_signal_scalars": "SELECT p_partkey, round(log2(p_size::DOUBLE) * 36, 6) AS log_frequency, round(least(1.0::DOUBLE, abs((p_partkey % 9)::DOUBLE - (p_size % 9)::DOUBLE) / 4), 6) AS cost, replace(p_type, ' ', chr(31)) AS pattern FROM part",
     "q87_artifact_keys": with_("candidates") + " SELECT candidate, left(sha256('fp|frame=2048;hop=512;rate=22050|' || audio_path || '|' || (candidate * 1000)::VARCHAR), 32) AS artifact FROM cand",
-    "q88_fetch_items": r"""WITH m AS (SELECT page_id, url, regexp_replace(trim(regexp_replace('ERROR: [generic]  page ' || page_id::VARCHAR || ':' || chr(10) || '  ' || left(html, 400), '\s+', ' ', 'g')), '^ERROR: ?', '') AS t FROM pages)
+    "q88_fetch_items": r"""WITH m AS (SELECT page_id, url, regexp_replace(trim(regexp_replace('ERROR: [generic]  page ' || page_id::VARCHAR || ':' || chr(10) || '  ' || html, '\s+', ' ', 'g')), '^ERROR: ?', '') AS t FROM pages)
 SELECT page_id, CASE WHEN regexp_extract(url, '(?:v=|youtu\.be/)([A-Za-z0-9_-]{11})', 1) <> '' THEN regexp_extract(url, '(?:v=|youtu\.be/)([A-Za-z0-9_-]{11})', 1) ELSE right(regexp_replace(url, '[^A-Za-z0-9_-]', '_', 'g'), 32) END AS id,
  trim(url) AS source, length(left(regexp_replace(t, '^\[[^\]]*\] ?', ''), 300)) AS reason_length FROM m""",
     "q89_catalogue_rows": """SELECT trim(p_type) AS work_title, CASE WHEN p_size % 3 = 0 THEN NULL ELSE 'en' END AS language, p_size % 5 IN (0, 2) AS instrumental, count(*) AS n, min(p_brand) AS performer FROM part WHERE p_partkey % 10 <> 0 GROUP BY 1, 2, 3""",

@@ -73,10 +73,8 @@ def q08(spark, d):
 
 def q09(spark, d):
     s = sequences.intervals(numbered(tracks(spark, d)), "track", "pos", "pitch")
-    g = sequences.ngrams(s, "track", "pos", "step", MELODIC).select("track", "n", "gram").distinct()
-    a, b = g.toDF("left", "n", "gram"), g.toDF("right", "n", "gram")
-    shared = a.join(b, ["n", "gram"]).filter("left < right")
-    return shared.groupBy("left", "right").agg(F.max("n").alias("longest"), F.count("*").alias("shared"))
+    g = sequences.ngrams(s, "track", "pos", "step", MELODIC).select("track", F.struct("n", "gram").alias("phrase")).distinct()
+    return sequences.meeting(g, "track", "phrase").groupBy("left", "right").agg(F.max("phrase.n").alias("longest"), F.count("*").alias("shared"))
 
 
 def q16(spark, d):

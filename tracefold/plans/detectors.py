@@ -31,14 +31,22 @@ def _hashed(pairs_: DataFrame, *more: str, semitones=0, tempo=1.0) -> DataFrame:
 
 
 class Fingerprint:
-    """Plain matching of all candidates, and the transformation grid for those that the harmony suggests."""
+    """Plain matching of all candidates, and the transformation grid for those that the harmony suggests.
+
+    With ``context["index"]``, a ``HashIndex`` of fingerprints, the candidates' clips are not read: those that the
+    index has are matched there.
+    """
 
     name, level = "fingerprint", 1
 
     def run(self, spark: SparkSession, queries: DataFrame, candidates: DataFrame, context: dict) -> DataFrame:
         floor, least = threshold("FINGERPRINT_NOISE_FLOOR"), int(threshold("FINGERPRINT_MIN_HASHES"))
-        q, c = fingerprints(queries), fingerprints(candidates)
-        hits = matching.hash_hits(q, c, "clip_id", "clip_id")
+        q, index = fingerprints(queries), context.get("index")
+        if index is None:
+            c = fingerprints(candidates)
+        else:
+            c = index.postings().select(F.col("candidate").alias("clip_id"), "h", "t").join(candidates.select("clip_id").distinct(), "clip_id", "left_semi")
+        hits = matching.hash_hits(q, c, "clip_id", "clip_id") if index is None else index.hits(q, "clip_id").join(candidates.select(F.col("clip_id").alias("candidate")).distinct(), "candidate", "left_semi")
         plain = pairs.offset_analyses(hits, least).filter(F.col("peak_ratio") >= floor)
         plain = plain.withColumn("semitones", F.lit(0.0)).withColumn("tempo", F.lit(1.0))
         if (harmonic := context.get("harmonic")) is None:

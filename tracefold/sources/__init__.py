@@ -263,12 +263,46 @@ def artifacts(spark: SparkSession, path: str, wanted: DataFrame, key: Column, co
     """Read-through table of computed artifacts: ``wanted`` rows whose key is stored are read, the others computed and stored.
 
     ``key`` is an expression over ``wanted`` (``artifact_key`` of path, time, size and parameters); ``compute`` maps
-    rows with ``artifact`` to ``schema``, which has ``artifact``. What cannot be read counts as not stored.
+    rows with ``artifact`` to ``schema``, which has ``artifact``. What cannot be read, or no longer has the checksum
+    it was stored with, counts as not stored. Every call adds a folder of its own, so calls at once do not disturb
+    each other; if two compute the same key, the one of the first folder's name is read by everybody.
     """
+    import uuid
+
+    keyed = wanted.withColumn("artifact", key)
+    made = compute(pending(keyed, stored_artifacts(spark, path, schema), "artifact"))
+    names = spark.createDataFrame([], schema).columns
+    made.select(*names, F.xxhash64(*names).alias("_sum")).write.parquet(f"{path}/run={uuid.uuid4().hex}")
+    return stored_artifacts(spark, path, schema).join(keyed.select("artifact").distinct(), "artifact", "left_semi")
+
+
+def stored_artifacts(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One whole row for each key of an artifact table."""
+    from pyspark.sql import Window
+
+    names = spark.createDataFrame([], schema).columns
     try:
-        stored = spark.read.schema(schema).parquet(path)
+        rows = spark.read.schema(f"{schema}, _sum long, run string").option("ignoreCorruptFiles", True).parquet(path)
     except AnalysisException:
-        stored = spark.createDataFrame([], schema)
-    keyed = wanted.withColumn("artifact", key)
-    compute(pending(keyed, stored, "artifact")).write.mode("append").parquet(path)
-    return spark.read.schema(schema).parquet(path).join(keyed.select("artifact").distinct(), "artifact", "left_semi")
+        return spark.createDataFrame([], schema)
+    whole = rows.filter(F.col("_sum") == F.xxhash64(*names))
+    return whole.withColumn("_r", F.row_number().over(Window.partitionBy("artifact").orderBy("run"))).filter("_r = 1").select(*names)
+
+
+def prewarm(spark: SparkSession, folder: str, candidates: DataFrame, clips_: DataFrame, kinds: dict[str, tuple[Column, Callable[[DataFrame], DataFrame], str]]) -> DataFrame:
+    """Computes what is missing of the candidates' artifacts ahead of any query: ``candidate, kind, reason`` of what could not be.
+
+    ``kinds`` maps a kind to its key over ``clips_``, how it is computed from clips with ``artifact``, and its schema
+    (with ``artifact, status, reason``). Candidates without a clip, and clips that are not ok, fail for every kind;
+    an artifact of another status than ok fails for its own. Without failures the table is empty: all is warm.
+    """
+    out = spark.createDataFrame([], "candidate string, kind string, reason string")
+    known = candidates.select("candidate").join(clips_.select(F.col("clip_id").alias("candidate"), "status", "reason"), "candidate", "left")
+    broken = known.filter(~F.col("status").eqNullSafe("ok")).select("candidate", F.coalesce("reason", F.lit("audio_missing")).alias("reason"))
+    ready = clips_.filter("status = 'ok'").join(candidates.select(F.col("candidate").alias("clip_id")), "clip_id", "left_semi")
+    for kind, (key, compute, schema) in kinds.items():
+        found = artifacts(spark, f"{folder}/{kind}", ready, key, compute, schema)
+        named = ready.withColumn("artifact", key).select(F.col("clip_id").alias("candidate"), "artifact").join(found.select("artifact", "status", "reason"), "artifact", "left")
+        failed = named.filter(~F.col("status").eqNullSafe("ok")).select("candidate", F.lit(kind).alias("kind"), F.coalesce("reason", F.lit("not computed")).alias("reason"))
+        out = out.unionByName(failed).unionByName(broken.withColumn("kind", F.lit(kind)))
+    return out

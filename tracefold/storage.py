@@ -31,6 +31,14 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, rows: int = 200_000) -> DataFrame:
+#: Rows of a table that may be broadcast.
+SMALL = 200_000
+
+
+def is_small(df: DataFrame, rows: int = SMALL) -> bool:
+    return df.limit(rows + 1).count() <= rows
+
+
+def small_side(df: DataFrame, rows: int = SMALL) -> DataFrame:
     """The table with a broadcast hint if it has few enough rows, else as it is, left to a shuffle join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if is_small(df, rows) else df

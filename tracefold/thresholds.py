@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from types import MappingProxyType
 
-from pyspark.sql import DataFrame, SparkSession
-
 #: name -> (value, source: "cal" calibrated, "man" set by hand). Fixed values.
 _VALUES = {
     "EXACT_PEAK_RATIO": (0.60, "cal"),
@@ -42,7 +40,3 @@ def threshold(name: str, overrides: dict[str, float] | None = None) -> float:
     if overrides and name in overrides:
         return overrides[name]
     return REGISTRY[name][0]
-
-
-def thresholds_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(n, v, s) for n, (v, s) in REGISTRY.items()], "name string, value double, source string")
