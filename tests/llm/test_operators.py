@@ -514,3 +514,12 @@ def test_empty_tables(spark, empty, labels, docs):
         assert df.count() == 0
     assert decontamination.find_contained(docs, bench).count() == 0
     assert decontamination.drop_contaminated(docs, bench).count() == len(TEXTS)
+
+
+@pytest.mark.parametrize("block", [40, 1 << 20])
+def test_an_item_id_with_two_texts_has_rows_for_each(spark, block):
+    one, other = "alpha beta gamma delta epsilon zeta", "one two three four five six seven"
+    items = spark.createDataFrame([(1, one), (1, other), (1, one), (2, one)], "item_id long, text string")
+    texts = spark.createDataFrame([(7, f"x {one} y {other}"), (8, f"so {other}"), (9, None), (7, f"x {one} y {other}")], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["item_id"], r["item_shingles"]) for r in decontamination.find_contained(texts, items, block_bytes=block).collect())
+    assert got == {(7, 1, 2): 2, (7, 1, 3): 2, (7, 2, 2): 2, (8, 1, 3): 1}

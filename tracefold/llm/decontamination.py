@@ -7,9 +7,9 @@ contain one of these, so the search has no false negatives whatever the document
 only the classes whose smallest item's share it has shingles enough to contain. Sketch hits are verified by counting
 all of the item's shingles in the document.
 
-The sketches of one block of items are broadcast; blocks are cut by bytes and hold neighbouring sizes. A task works
-on one block and then forgets it: a larger benchmark takes more passes and not more memory. Documents are never
-shuffled.
+The sketches of one block of items are broadcast; blocks are cut by bytes and hold neighbouring sizes. Blocks are
+searched one after another: a larger benchmark takes more passes and not more memory, on the driver neither.
+Documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -121,23 +121,32 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes:
 
 def find_contained(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text", width: int = 5, threshold: float = 0.8, block_bytes: int = BLOCK_BYTES,
+    item_text_col: str = "text", width: int = 5, threshold: float = 0.8, block_bytes: int = BLOCK_BYTES, scratch: Scratch | None = None,
 ) -> DataFrame:
     """One row per document row and contained item: ``doc_id, item_id, shared, item_shingles, containment``.
 
     Words are lower-cased runs of letters and digits; shingles are sets of ``width`` successive words, or an
     item's whole word sequence where it is shorter. Null or wordless texts contain nothing and are contained
     in nothing; items with a null id take no part; repeated documents and items of the same text each give
-    their rows; empty tables give no rows; other columns are ignored, whatever their names.
+    their rows, an item that repeats whole gives one, and an id with different texts has rows for each of them;
+    texts of any length are searched whole; empty tables give no rows; other columns are ignored, whatever
+    their names.
+
+    A benchmark of one block is searched when the result is read. Of a larger one each block is searched at once,
+    its rows written to ``scratch`` and its broadcast dropped before the next, so one block at a time is held.
     """
     spark = docs.sparkSession
+    scratch = scratch or Scratch(spark)
     work = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = "doc_id long, item_id long, shared long, item_shingles long, containment double"
-    parts = []
+    parts, held = [], None
     for block in item_blocks(benchmark, item_col, item_text_col, block_bytes):
-        rows = spark.sparkContext.broadcast([(r[0], r[1]) for r in block.toLocalIterator()])
+        if held is not None:  # another block follows: what the last one finds is written before it goes
+            parts[-1] = scratch.store(parts[-1], "contained")
+            held.destroy()
+        held = spark.sparkContext.broadcast([(r[0], r[1]) for r in block.toLocalIterator()])
 
-        def run(batches, rows=rows):
+        def run(batches, rows=held):
             with index_of(rows.value, width, threshold) as index:
                 for batch in batches:
                     for part in slices(batch):
@@ -146,7 +155,6 @@ def find_contained(
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 4 else pa.int64()) for k, c in enumerate(columns)], ["doc_id", "item_id", "shared", "item_shingles", "containment"])
 
         parts.append(work.mapInArrow(run, schema))
-    # tasks of a union belong to one part each, so each holds one block
     return reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], schema)
 
 
@@ -160,14 +168,15 @@ def drop_contaminated(
     stay or go together; texts of any length are searched whole; an empty table stays empty, and an empty
     benchmark, or one of null texts and ids, drops nothing. Between blocks the rows still there are written.
     """
-    spark, kept = docs.sparkSession, docs
+    spark, kept, held = docs.sparkSession, docs, None
     scratch = scratch or Scratch(spark)
-    for k, block in enumerate(item_blocks(benchmark, item_col, item_text_col, block_bytes)):
-        rows = spark.sparkContext.broadcast([(r[0], r[1]) for r in block.toLocalIterator()])
-        if k:  # the step before ends here, so that two blocks are never in one task
+    for block in item_blocks(benchmark, item_col, item_text_col, block_bytes):
+        if held is not None:  # the step before ends here, so that two blocks are never held
             kept = scratch.store(kept, "clean")
+            held.destroy()
+        held = spark.sparkContext.broadcast([(r[0], r[1]) for r in block.toLocalIterator()])
 
-        def run(batches, rows=rows):
+        def run(batches, rows=held):
             with index_of(rows.value, width, threshold) as index:
                 for batch in batches:
                     clean = [t is None or not index.search(t) for part in slices(batch) for t in part.column(text_col).to_pylist()]

@@ -49,7 +49,8 @@ def count_tokens(
     """One row per input row: id, ``n_bytes``, ``n_tokens``, ``over_limit`` (more than ``limit`` tokens).
 
     A null text counts as empty (0 bytes, 0 tokens); a null id stays null; repeated rows are counted each;
-    texts of any length are encoded whole; other columns are ignored, whatever their names.
+    texts of any length are encoded whole; an empty table gives no rows; other columns are ignored, whatever their
+    names.
     """
     spark = docs.sparkSession
     work = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -45,7 +45,8 @@ def sentence_words(text: str) -> list[tuple[int, int, set[str]]]:
 def training_bags(docs: DataFrame, labels: DataFrame, each: int, longest: int, held_out_remainder: int, modulus: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """``(label, buckets, sentence sizes)`` of a bounded sample of labelled documents, chosen by a hash of the id.
 
-    Of rows that repeat an id one is learned from, so the sample is bounded by ids and not by rows.
+    Of rows that repeat an id one is learned from, so the sample is bounded by ids and not by rows: the one whose
+    label and hashed words, as bytes, come first.
     """
     spark = docs.sparkSession
     usable = labels.filter(F.col("toxic").isin(0, 1) & (id_bucket("doc_id", modulus) != held_out_remainder)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
