@@ -37,12 +37,10 @@ def sentences(text: Column) -> Column:
 
 
 def array_ngrams(items: Column, n: int, separator: str = "\x1f") -> Column:
-    """Runs of ``n`` successive elements joined to strings; none where the array is shorter."""
-    m = F.greatest(F.size(items) - n + 1, F.lit(0))
-    runs = F.slice(items, 1, m)
-    for k in range(1, n):
-        runs = F.zip_with(runs, F.slice(items, k + 1, m), lambda a, b: F.concat_ws(separator, a, b))
-    return runs
+    """Runs of ``n`` successive elements joined to strings; none where the array is shorter, NULL for a NULL array."""
+    m = F.size(items) - n + 1
+    runs = F.transform(F.sequence(F.lit(1), m), lambda k: F.array_join(F.slice(items, k, n), separator))
+    return F.when(m > 0, runs).when(items.isNotNull(), F.array().cast("array<string>"))
 
 
 def computed(df: DataFrame, name: str, column: Column) -> DataFrame:
