@@ -259,7 +259,7 @@ def analyze(
     chosen = short.select("query", "candidate")
     spoken = stage("transcript", 2, lambda: transcribed(readable, hooks))
     lyrics = None
-    if spoken is not None and texts is not None:
+    if job.has("lyrics") or (spoken is not None and texts is not None):
         lyrics = stage("lyrics", 2, lambda: lyrics_of(spark, spoken, texts, chosen, hooks, shingles))
     if (sung := hooks.sung()) is None:
         melodic = stage("melodic", 2, lambda: ("failed", "model_unavailable", None))
