@@ -96,10 +96,14 @@ def pair_hashes(pairs: DataFrame, key: str, ticks: float, semitones=0, tempo=1.0
     return pairs.withColumn("h", h).withColumn("t", F.col("t1") / pace).filter("h is not null")
 
 
+def variants(semitones=SEMITONES, tempos=TEMPOS) -> list[tuple[int, float, float]]:
+    """Variant, semitones and tempo: 13 x 11 transformations at most, so a fixed size."""
+    return [(k, float(s), float(t)) for k, (s, t) in enumerate((s, t) for s in semitones for t in tempos)]
+
+
 def grid(spark, semitones=SEMITONES, tempos=TEMPOS) -> DataFrame:
-    """``variant, semitones, tempo``: 13 x 11 transformations at most, so a fixed size."""
-    rows = [(k, float(s), float(t)) for k, (s, t) in enumerate((s, t) for s in semitones for t in tempos)]
-    return spark.createDataFrame(rows, "variant int, semitones double, tempo double")
+    """``variants`` as a table ``variant, semitones, tempo``."""
+    return spark.createDataFrame(variants(semitones, tempos), "variant int, semitones double, tempo double")
 
 
 def best_variant(results: DataFrame, *keys: str) -> DataFrame:

@@ -68,7 +68,7 @@ def q07(spark, d):
 def q08(spark, d):
     """Longest common runs of folded event types, from the eight symbols on that count as evidence."""
     f = _folded(spark, d).select("track", "pos", "symbol")
-    return sequences.longest_common_runs(f, f, "track", "pos", "symbol", 8)
+    return sequences.longest_common_runs(f, "track", "pos", "symbol", 8)
 
 
 def q09(spark, d):
