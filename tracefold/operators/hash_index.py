@@ -18,10 +18,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import small_side
+from ..storage import materialised, small_side
 
 #: Postings of a hash that one part holds.
 LONGEST = 100_000
+#: Groups of hashes that are counted before single hashes are.
+GROUPS = 1 << 20
 
 
 class HashIndex:
@@ -80,7 +82,11 @@ class HashIndex:
 
     def _laid_out(self, rows: DataFrame, first: int) -> DataFrame:
         """Rows with their part; hashes of ``rows`` that need parts are noted before. Splits only grow, so postings laid out earlier are still found."""
-        heavy = rows.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > self.longest)
+        # few groups of hashes have so many postings that a hash of theirs may; only those are counted by hash
+        group = F.pmod(F.xxhash64("h"), F.lit(GROUPS)).alias("_g")
+        crowded = materialised(rows.groupBy(group).agg(F.count("*").alias("n")).filter(F.col("n") > self.longest).select("_g"), "groups")
+        some = rows.withColumn("_g", group).join(F.broadcast(crowded), "_g", "left_semi") if not crowded.isEmpty() else rows.limit(0)
+        heavy = some.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > self.longest)
         heavy.select("h", F.ceil(F.col("n") / self.longest).cast("int").alias("parts"), F.lit(first).alias("first")).write.mode("append").parquet(f"{self.path}/splits")
         part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("candidate"), F.col("parts"))).cast("int")
         return rows.join(small_side(self.splits(first)), "h", "left").withColumn("part", part).drop("parts")
@@ -120,14 +126,21 @@ class HashIndex:
         if not gens:
             h, candidate = self.kinds
             return self.spark.createDataFrame([], f"h {h}, part int, candidate {candidate}, t double")
-        rows = self._postings(gens[0]).filter(F.col("gen").isin(gens))
+        return self._live(self._postings(gens[0]).filter(F.col("gen").isin(gens))).select("h", "part", "candidate", "t")
+
+    def _live(self, rows: DataFrame) -> DataFrame:
+        """The rows (``candidate``, ``gen``) that are not hidden: an outer join, as Spark would move an anti join below the join that made the rows."""
         hidden = self._hidden().select(F.col("candidate").alias("_c"), "until")
-        live = rows.join(small_side(hidden), (F.col("candidate") == F.col("_c")) & (F.col("gen") < F.col("until")), "left_anti")
-        return live.select("h", "part", "candidate", "t")
+        return rows.join(small_side(hidden), F.col("candidate") == F.col("_c"), "left").filter(F.col("until").isNull() | (F.col("gen") >= F.col("until")))
 
     def hits(self, query: DataFrame, key: str = "query", merge: bool = False) -> DataFrame:
-        """``query, candidate, i, qt, dt`` as ``matching.hash_hits``: a query of few rows is broadcast, else it moves to the buckets (``merge``: always)."""
+        """``query, candidate, i, qt, dt`` as ``matching.hash_hits``: a query of few rows is broadcast, else it moves to the buckets (``merge``: always).
+
+        What is hidden is dropped from the hits, so postings do not move to meet the candidates' table however large it is.
+        """
         q = query.select(F.col(key).alias("query"), "i", "h", F.col("t").alias("qt"))
         q = q.join(small_side(self.splits()), "h", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
         q = q.hint("merge") if merge else small_side(q)
-        return self.postings().join(q, ["h", "part"]).select("query", "candidate", "i", "qt", (F.col("t") - F.col("qt")).alias("dt"))
+        gens = self.generations()
+        found = self._live(self._postings(gens[0]).filter(F.col("gen").isin(gens)).join(q, ["h", "part"])) if gens else self.postings().join(q, ["h", "part"])
+        return found.select("query", "candidate", "i", "qt", (F.col("t") - F.col("qt")).alias("dt"))
