@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import predicates as pr
 from ..functions import rights
 from ..functions import text as tx
-from ..operators import fusion
+from ..operators import fusion, pairs
 from ..operators.joins import dealt_join
 from ..storage import is_small, materialised
 from .adapters import candidates, measurements, read, rounded, tracks, with_
@@ -34,7 +34,7 @@ def signed(spark, d, table, key, permutations=128):
     """``key, s``: MinHash signatures of three-word shingles, computed once."""
     rows = tx.computed(read(spark, d, table).select(key, "text"), "w", tx.words(F.col("text")))
     rows = tx.computed(rows.select(key, "w"), "g", F.array_distinct(tx.array_ngrams(F.col("w"), 3, " "))).filter(F.size("g") > 0)
-    return materialised(rows.select(key, tx.minhash(F.col("g"), permutations).alias("s")), "signatures")
+    return materialised(pairs.minhashes(rows, key, "g", permutations, "s"), "signatures")
 
 
 def banded(signatures, key, permutations=128):
