@@ -9,7 +9,7 @@ from ..functions import rights
 from ..functions import text as tx
 from ..operators import calibration, fusion, pairs, sampling
 from ..operators.hash_index import HashIndex
-from ..storage import materialised, shared_folder, small_side
+from ..storage import is_small, materialised, shared_folder, small_side
 from ..thresholds import threshold
 from .adapters import candidates, catalogue, measurements, read, rounded, text_hashes, tracks, with_
 from .analysis import statuses
@@ -75,26 +75,34 @@ def q98(spark, d):
     return m.select("track", F.size("line").cast("long").alias("notes"), F.aggregate("line", F.lit(0.0), lambda s, x: s + x["end"] - x["start"]).alias("days"), F.md5(F.array_join("intervals", ",")).alias("digest"))
 
 
-def common_texts(spark, d) -> DataFrame:
-    """``query, candidate, a, b``: tokens of items and documents that share a run of five words."""
-    def tokens(table, key):
-        t = tx.computed(read(spark, d, table).select(key, "text"), "w", tx.tokens(F.coalesce("text", F.lit(""))))
-        return t.select(key, "w")
+def tokens(spark, d, table, key) -> DataFrame:
+    """``key, w``: the tokens of each text, made once."""
+    t = tx.computed(read(spark, d, table).select(key, "text"), "w", tx.tokens(F.coalesce("text", F.lit(""))))
+    return materialised(t.select(key, "w"), "tokens")
+
+
+def runs_among(rows, key, n, wanted, name, separator) -> DataFrame:
+    """``key, name``: the different runs of ``n`` tokens of each row that are among ``wanted``, which is joined if it is large."""
+    if is_small(wanted):
+        return pairs.wanted_runs(rows, key, "w", n, wanted, name, separator)
+    return rows.select(key, F.explode(F.array_distinct(tx.array_ngrams(F.col("w"), n, separator))).alias(name)).join(wanted, name, "left_semi")
 
-    items, docs = tokens("benchmark", "item_id"), tokens("documents", "doc_id")
-    grams = lambda df, key: df.select(key, F.explode(F.array_distinct(tx.array_ngrams(F.col("w"), 5, " "))).alias("g"))
-    met = materialised(grams(docs, "doc_id").join(small_side(grams(items, "item_id")), "g").select(F.col("item_id").alias("query"), F.col("doc_id").alias("candidate")).distinct(), "met")
+
+def common_texts(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """``query, candidate, a, b``: tokens of items and documents that share a run of five words."""
+    grams = items.select("item_id", F.explode(F.array_distinct(tx.array_ngrams(F.col("w"), 5, " "))).alias("g"))
+    shared = runs_among(docs, "doc_id", 5, materialised(grams.select("g").distinct(), "grams"), "g", " ")
+    met = materialised(shared.join(small_side(grams), "g").select(F.col("item_id").alias("query"), F.col("doc_id").alias("candidate")).distinct(), "met")
     a, b = items.select(F.col("item_id").alias("query"), F.col("w").alias("a")), docs.select(F.col("doc_id").alias("candidate"), F.col("w").alias("b"))
     return b.join(small_side(met), "candidate").join(a, "query")
 
 
 def q99(spark, d):
     """Spans that items and documents have in common, with the idf of their three-word shingles among the documents."""
-    docs = tx.computed(read(spark, d, "documents").select("doc_id", "text"), "w", tx.tokens(F.coalesce("text", F.lit(""))))
-    grams = docs.select("doc_id", F.explode(F.array_distinct(tx.array_ngrams(F.col("w"), 3))).alias("pattern"))
-    found = materialised(Lyrics.spans(common_texts(spark, d)), "spans")
-    wanted = small_side(found.select(F.explode("patterns").alias("pattern")).distinct())
-    frequencies = grams.join(wanted, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("df"))
+    docs = tokens(spark, d, "documents", "doc_id")
+    found = materialised(Lyrics.spans(common_texts(tokens(spark, d, "benchmark", "item_id"), docs)), "spans")
+    wanted = materialised(found.select(F.explode("patterns").alias("pattern")).distinct(), "patterns")
+    frequencies = runs_among(docs, "doc_id", 3, wanted, "pattern", "\x1f").groupBy("pattern").agg(F.count("*").alias("df"))
     spans = spans_with_idf(found, (frequencies, docs.count()), ["query_from", "candidate_from", "words", "query_len", "candidate_len"])
     each = spans.select("query", "candidate", F.explode("spans").alias("s"))
     return each.groupBy("query", "candidate").agg(F.count("*").alias("spans"), F.sum("s.words").alias("words"), F.max("s.words").alias("longest"), rounded(F.avg("s.idf")).alias("idf"))
