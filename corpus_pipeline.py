@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracefold.llm._common import Scratch, table
+from tracefold.llm._common import BATCHES, Scratch, table
 from tracefold.llm.decontamination import drop_contaminated
 from tracefold.llm.packing import pack_documents
 from tracefold.llm.pii import sanitise_documents
@@ -12,12 +12,22 @@ from tracefold.llm.quality import keep_selected
 from tracefold.llm.simhash import drop_near_copies
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in small Arrow batches from now on, as stages may be computed after they return.
+
+    Executors reuse their workers from stage to stage, and these keep what their largest batch took.
+    """
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents selected by importance resampling; those rejected go.
 
     Null, empty and wordless texts have ratio 0 and are judged by it; rows of equal id (null ids too) share their
     chance; without labels of both classes all stay; an empty table stays empty; other columns are kept.
     """
+    small_batches(spark)
     return keep_selected(docs, table(spark, sf_dir, "labels"))
 
 
@@ -27,6 +37,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words (null, empty) are copies of each other; rows with a null id all stay; of rows that repeat
     an id one stays; an empty table stays empty; other columns are kept.
     """
+    small_batches(spark)
     return drop_near_copies(docs)
 
 
@@ -36,6 +47,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and wordless texts stay; rows with a null id are judged by their text; repeated rows stay or go together;
     items without id or words find nothing; an empty table stays empty; other columns are kept.
     """
+    small_batches(spark)
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -45,6 +57,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Texts without any, null ones included, are left as they are; every row stays, with a null id or repeated too;
     ``n_chars`` follows a changed text; an empty table stays empty; other columns are kept.
     """
+    small_batches(spark)
     return sanitise_documents(docs)
 
 
@@ -54,6 +67,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text is the end id alone; a null id stays null; repeated rows are packed each; an empty table
     gives no rows; other columns are ignored.
     """
+    small_batches(spark)
     return pack_documents(docs)
 
 

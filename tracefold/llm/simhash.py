@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import FEW_ROWS, Scratch, broadcast_if_small, cut, map_slices, salted, table
+from ._common import FEW_ROWS, Scratch, broadcast_if_small, cut, map_slices, salted, small_batches, table
 from ._components import components
 
 BITS = 64
@@ -267,7 +267,8 @@ def verified(docs: DataFrame, near: DataFrame, width: int, similarity: float, sc
         return of
 
     both = near.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
-    return cut(map_slices(both, "a long, b long, near boolean", make).filter("near").select("a", "b"))
+    with small_batches(docs.sparkSession):
+        return cut(map_slices(both, "a long, b long, near boolean", make).filter("near").select("a", "b"))
 
 
 def simhash_pairs(sets: DataFrame) -> DataFrame:
@@ -321,7 +322,8 @@ def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -
     copies of each other. Rows with a null id take no part and stay. Rows that repeat an id are one document
     and one of them stays. Texts of any length are read whole. An empty table stays empty; all columns are kept.
     """
-    rows = cut(signatures(docs, width, similarity))
+    with small_batches(docs.sparkSession):
+        rows = cut(signatures(docs, width, similarity))
     classes = cut(rows.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")))
     several = cut(classes.filter("rows > 1").select("same", "rep"))
     sets = rows.join(broadcast_if_small(several), "same", "left").filter("rep is null or rep = doc_id").withColumnRenamed("doc_id", "id")
