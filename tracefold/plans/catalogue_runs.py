@@ -50,7 +50,7 @@ def q83(spark, d):
 
 def q84(spark, d):
     """Shortlists of three: harmonic results, else fingerprints, else everybody."""
-    m = measurements(spark, d).groupBy("query", "supplier").agg(F.max("qmax").alias("qmax"), F.max("peak").alias("peak"), F.min("lyrics_status").alias("low"))
+    m = engine.dealt(measurements(spark, d), "query").groupBy("query", "supplier").agg(F.max("qmax").alias("qmax"), F.max("peak").alias("peak"), F.min("lyrics_status").alias("low"))
     m = m.withColumn("harmonic", F.when((F.col("query") % 5 != 0) & (F.col("low") == "ok"), "ok").otherwise("failed")).withColumn("fingerprint", F.when(F.col("peak") > 0.5, "ok"))
     return engine.shortlisted(m, "query", "harmonic", "fingerprint", [F.desc("qmax"), F.col("supplier")], 3).select("query", "supplier", "harmonic", "fingerprint")
 

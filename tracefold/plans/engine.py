@@ -13,6 +13,17 @@ from ..storage import materialised
 
 #: Longest shortlist that is ranked or measured expensively.
 SHORTLIST = 20
+#: Rows that a task gets, about, where the rows of a query are brought together.
+ROWS_A_TASK = 1 << 18
+
+
+def dealt(rows: DataFrame, query: str, most: int = ROWS_A_TASK) -> DataFrame:
+    """The rows dealt out by query, before anything is sorted or aggregated, to as many tasks as they ask for.
+
+    What a task sorts or aggregates afterwards stays as small on a large table as on a small one; a query has few rows.
+    """
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-rows.count() // most)), query)
 
 
 class Detector(Protocol):
