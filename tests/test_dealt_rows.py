@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tracefold.plans import catalogue_runs, engine
+from tracefold.plans import catalogue_fusion, catalogue_runs, engine
 
 
 def largest(df, key):
@@ -18,7 +18,7 @@ def test_tasks_follow_the_rows(spark):
 
 
 def test_shortlists_and_rankings_deal_rows_out_first(spark, sf, monkeypatch):
-    for q in (catalogue_runs.q84,):
+    for q in (catalogue_runs.q84, catalogue_fusion.q37):
         want = sorted(map(tuple, q(spark, sf).collect()))
         monkeypatch.setattr(engine.dealt, "__defaults__", (100,))
         got = q(spark, sf)

@@ -96,7 +96,7 @@ def shortlisted(entries: DataFrame, query: str, harmonic: str, fingerprint: str,
 
 def ranking(verdicts: DataFrame, candidates: DataFrame, k: int = SHORTLIST) -> DataFrame:
     """The shortlist of each query (its k best by probability), ranked with chronology deciding near ties."""
-    best = verdicts.groupBy("query", F.col("supplier").alias("candidate")).agg(F.max(F.struct(F.coalesce("probability", F.lit(-1.0)).alias("p"), "verdict_class")).alias("b"))
+    best = dealt(verdicts, "query").groupBy("query", F.col("supplier").alias("candidate")).agg(F.max(F.struct(F.coalesce("probability", F.lit(-1.0)).alias("p"), "verdict_class")).alias("b"))
     best = best.select("query", "candidate", F.when(F.col("b.p") >= 0, F.col("b.p")).alias("probability"), F.col("b.verdict_class").alias("verdict_class"))
     w = Window.partitionBy("query").orderBy(F.desc_nulls_last("probability"), "candidate")
     short = best.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r").join(candidates.select("candidate", "published"), "candidate", "left")
