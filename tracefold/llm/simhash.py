@@ -200,13 +200,18 @@ def signatures(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     return map_slices(work, "doc_id long, same binary, fp long, n int, rare array<long>, cold int", make)
 
 
+def may_reach(a: tuple[str, str], b: tuple[str, str], similarity: float):
+    """Whether two sets (size, place of a common shingle in their order) may reach the similarity, by their sizes and by what follows that shingle."""
+    (n, pos), (m, at) = a, b
+    most = F.least(F.col(n) - F.col(pos), F.col(m) - F.col(at))
+    return (most * F.lit(1 + similarity) >= F.lit(similarity) * (F.col(n) + F.col(m)) - F.lit(1e-6)) & (F.least(n, m) >= F.lit(similarity) * F.greatest(n, m) - F.lit(1e-6))
+
+
 def pairs_within(members: DataFrame, similarity: float, apart: str = "a < b") -> DataFrame:
     """Pairs of a bucket that may reach the similarity by their sizes and by what follows their first common shingle."""
     sides = [members.select(F.col("key").alias(f"key_{s}"), F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("pos").alias(f"pos_{s}"), F.col("root").alias(f"root_{s}")) for s in "ab"]
-    most = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    enough = most * F.lit(1 + similarity) >= F.lit(similarity) * (F.col("n_a") + F.col("n_b")) - F.lit(1e-6)
-    sized = F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b") - F.lit(1e-6)
-    return sides[0].join(sides[1], (F.col("key_a") == F.col("key_b")) & F.expr("a < b") & F.expr(apart) & sized & enough).select("a", "b")
+    may = may_reach(("n_a", "pos_a"), ("n_b", "pos_b"), similarity)
+    return sides[0].join(sides[1], (F.col("key_a") == F.col("key_b")) & F.expr("a < b") & F.expr(apart) & may).select("a", "b")
 
 
 def block_cells(members: DataFrame, similarity: float, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -242,12 +247,10 @@ def crowded_pairs(members: DataFrame, similarity: float, block: int = BLOCK) ->
         return rows.select(F.col("key").alias(f"key_{s}"), F.col("i").alias(f"i_{s}"), F.col("j").alias(f"j_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "pos", "root")))
 
     a, b = side("i", "a"), side("j", "b")
-    most = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    enough = most * F.lit(1 + similarity) >= F.lit(similarity) * (F.col("n_a") + F.col("n_b")) - F.lit(1e-6)
-    sized = F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b") - F.lit(1e-6)
+    may = may_reach(("n_a", "pos_a"), ("n_b", "pos_b"), similarity)
     once = (F.col("i_a") < F.col("j_a")) | (F.col("id_a") < F.col("id_b"))
     same = (F.col("key_a") == F.col("key_b")) & (F.col("i_a") == F.col("i_b")) & (F.col("j_a") == F.col("j_b"))
-    return a.join(b, same & once & (F.col("root_a") != F.col("root_b")) & sized & enough).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+    return a.join(b, same & once & (F.col("root_a") != F.col("root_b")) & may).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
 
 
 def verified(docs: DataFrame, near: DataFrame, width: int, similarity: float, scratch: Scratch) -> DataFrame:
@@ -271,6 +274,26 @@ def verified(docs: DataFrame, near: DataFrame, width: int, similarity: float, sc
         return cut(map_slices(both, "a long, b long, near boolean", make).filter("near").select("a", "b"))
 
 
+def plausible(near: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the different pairs ``(a, b)`` that may have the similarity by all that their prefixes share, and not by one shingle alone.
+
+    What two sets share lies in both prefixes or beyond the one that ends first in the order of shingles. Edits make rare
+    shingles, which fill prefixes, so few pairs below the similarity are left. Prefixes are moved as 16 bits a shingle,
+    much less than texts: shingles that agree there by chance count as common, and those that agree within a set are
+    counted apart, so no pair is lost.
+    """
+    near = cut(near.filter("a <> b").distinct())
+    wanted = cut(near.select(F.col("a").alias("id")).unionAll(near.select("b")).distinct())
+    short = F.transform("rare", lambda x: (x.bitwiseAND(F.lit(0xFFFF)) - F.lit(0x8000)).cast("short"))
+    few = sets.join(broadcast_if_small(wanted), "id", "left_semi").select("id", "n", short.alias("p"))
+    both = near.join(few.toDF("a", "_n", "_p"), "a").join(few.toDF("b", "_m", "_q"), "b").withColumn("_c", F.array_intersect("_p", "_q"))
+    again = F.size("_p") - F.size(F.array_distinct("_p"))
+    beyond = F.greatest(F.col("_n") - F.size("_p"), F.col("_m") - F.size("_q"))
+    most = F.size("_c") + again + beyond
+    sized = F.least("_n", "_m") >= F.lit(similarity) * F.greatest("_n", "_m") - F.lit(1e-6)
+    return both.filter(sized & (most * F.lit(1 + similarity) >= F.lit(similarity) * (F.col("_n") + F.col("_m")) - F.lit(1e-6))).select("a", "b")
+
+
 def simhash_pairs(sets: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` of ids that connect all ``sets`` (``id, fp``) whose fingerprints differ by two bits or less."""
     first = cut(sets.groupBy("fp").agg(F.min("id").alias("first")))
@@ -279,6 +302,15 @@ def simhash_pairs(sets: DataFrame) -> DataFrame:
     return across.unionAll(sets.join(first, "fp").filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")))
 
 
+def nearest_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs that ``simhash_pairs`` finds among ``sets`` (``id, fp, n``) those whose sizes allow the similarity, and of these
+    the one of fewest differing bits from each id to a smaller one: as many as there are ids at most, however many lie together."""
+    pairs, own = simhash_pairs(sets), sets.select("id", "fp", "n")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    both = pairs.join(own.toDF("a", "_f", "_n"), "a").join(own.toDF("b", "_g", "_m"), "b").filter(F.least("_n", "_m") >= F.lit(similarity) * F.greatest("_n", "_m") - F.lit(1e-6))
+    return both.groupBy("b").agg(F.min(F.struct(distance("_f", "_g").alias("d"), F.col("a"))).alias("_near")).select(F.col("_near.a").alias("a"), "b")
+
+
 def rooted(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """``rows`` (``id``) with the ``root`` of the id among the edges, itself where it has none."""
     roots = cut(components(edges)).select(F.col("node").alias("id"), F.col("root").alias("_known"))
@@ -288,28 +320,30 @@ def rooted(rows: DataFrame, edges: DataFrame) -> DataFrame:
 def near_copy_pairs(docs: DataFrame, sets: DataFrame, width: int, similarity: float, light: int = 16) -> DataFrame:
     """Edges ``(a, b)`` that connect all ``sets`` (``id, fp, n, rare``) of the given Jaccard similarity.
 
-    SimHash first: pairs at two bits or less, from the deletion-variant index, are verified and contracted. It
-    misses near copies whose fingerprints lie farther apart, so an exact search over what is not yet connected
-    follows. Sets are indexed under the shingles of their prefixes, of which two of the similarity share one; what
+    SimHash first: of pairs at two bits or less, from the deletion-variant index, one an id is verified and
+    contracted. Texts are moved for as many pairs as there are ids then, and not for the square of a group. That
+    leaves near copies unconnected, as do fingerprints that lie farther apart, so an exact search over what is not yet
+    connected follows. Sets are indexed under the shingles of their prefixes, of which two of the similarity share one; what
     many documents share comes last in the order and so seldom into a prefix. Buckets up to ``light`` are paired.
-    In larger ones all are first paired with the smallest member; then, block against block, every pair that is not
-    yet connected. Members of keys that a sample knows as frequent are counted by an aggregation and not gathered
+    In larger ones all are first paired with the smallest member, as far as sizes allow; then, block against block, every
+    pair that is not yet connected. Of both, texts are moved only for pairs whose prefixes share enough. Members of keys that a sample knows as frequent are counted by an aggregation and not gathered
     by key; a key that it does not know has a small share of all documents.
     """
     scratch = Scratch(docs.sparkSession)
-    found = verified(docs, simhash_pairs(sets), width, similarity, scratch)
+    found = verified(docs, nearest_links(sets, similarity), width, similarity, scratch)
     index = rooted(sets.select("id", "n", "rare", "cold"), found).select("id", "n", "root", "cold", F.posexplode("rare").alias("pos", "key"))
     of = Window.partitionBy("key")
     kept = ("key", "id", "n", "pos", "root", "of", "lo")
-    cold = index.filter("pos < cold").withColumn("of", F.count("*").over(of)).withColumn("lo", F.min(F.struct("id", "root")).over(of)).filter("of > 1").select(*kept)
+    cold = index.filter("pos < cold").withColumn("of", F.count("*").over(of)).withColumn("lo", F.min(F.struct("id", "root", "n", "pos")).over(of)).filter("of > 1").select(*kept)
     warm = index.filter("pos >= cold")
-    counts = cut(warm.groupBy("key").agg(F.count("*").alias("of"), F.min(F.struct("id", "root")).alias("lo")).filter("of > 1"))  # of frequent keys: a bounded table
-    members = scratch.store(cold.unionAll(warm.join(broadcast_if_small(counts), "key").select(*kept)).select("key", "id", "n", "pos", "root", "of", F.col("lo.id").alias("lo"), (F.col("lo.root") != F.col("root")).alias("new")), "members")
+    counts = cut(warm.groupBy("key").agg(F.count("*").alias("of"), F.min(F.struct("id", "root", "n", "pos")).alias("lo")).filter("of > 1"))  # of frequent keys: a bounded table
+    members = scratch.store(cold.unionAll(warm.join(broadcast_if_small(counts), "key").select(*kept)).select("key", "id", "n", "pos", "root", "of", F.col("lo.id").alias("lo"), ((F.col("lo.root") != F.col("root")) & may_reach(("n", "pos"), ("lo.n", "lo.pos"), similarity)).alias("new")), "members")
     crowded = members.filter(F.col("of") > light)
     near = pairs_within(members.filter(F.col("of") <= light), similarity, "root_a <> root_b").unionAll(crowded.filter("new").select(F.col("lo").alias("a"), F.col("id").alias("b")))
-    found = found.unionAll(verified(docs, near, width, similarity, scratch))
+    found = found.unionAll(verified(docs, plausible(near, sets, similarity), width, similarity, scratch))
     if not crowded.isEmpty():
-        found = found.unionAll(verified(docs, crowded_pairs(rooted(crowded.select("key", "id", "n", "pos"), found), similarity), width, similarity, scratch))
+        near = crowded_pairs(rooted(crowded.select("key", "id", "n", "pos"), found), similarity)
+        found = found.unionAll(verified(docs, plausible(near, sets, similarity), width, similarity, scratch))
     scratch.release()
     return found
 
